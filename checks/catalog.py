@@ -28,6 +28,7 @@ from twinledger.operators import ordinals
 from twinledger.operators import positional_diff as pdiff
 from twinledger.operators import schema as sc
 from twinledger.plans import imports, runs
+from twinledger.session import tune
 from twinledger.sources import feeds as sources
 from twinledger.sources import sinks
 
@@ -57,8 +58,7 @@ def query(sql: str | None = None, name: str | None = None):
         key = name or fn.__name__
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return as_double(fn(spark, sf_dir))
+            return as_double(fn(tune(spark), sf_dir))
 
         QUERIES[key] = run
         if sql is not None:
@@ -903,8 +903,8 @@ SELECT upper('cust-' || l_suppkey || '.com') AS CustomerDomainName, 'Sku' || l_l
 FROM lineitem WHERE l_partkey % 89 <> 0""")
 def expression_columns(spark, sf_dir):
     # The cells are mapped as loaded: cleaning would strip the zeros of the tax column, a text class name.
-    mapped = sc.map_canonical(feeds.frame(spark, sf_dir, feeds.RAW_DISTRIBUTOR), fixed.DISTRIBUTOR)
-    rows = sc.normalise_mapped(mapped.where(sc.has_key(mapped)))
+    raw = feeds.frame(spark, sf_dir, feeds.RAW_DISTRIBUTOR)
+    rows = sc.normalise_mapped(sc.map_canonical(raw.where(sc.has_key(raw, fixed.DISTRIBUTOR)), fixed.DISTRIBUTOR))
     return rows.select("CustomerDomainName", "SkuName", "OrderId", "Subtotal", "Total", "TermAndBillingCycle")
 
 

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from twinledger.options import Options
+from twinledger.session import spread
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -228,7 +229,7 @@ FROM {{lineitem}}
 
 def frame(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """A feed text over the parquet tables."""
-    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in text}
+    used = {t: spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in TABLES if "{" + t + "}" in text}
     return spark.sql(text, **used)
 
 

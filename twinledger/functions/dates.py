@@ -10,30 +10,28 @@ from . import text as tx
 
 # Accepted date formats.
 _TIME = r"\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?"
-ISO = rf"^\d{{4}}([-/])\d{{1,2}}\1\d{{1,2}}(?:[T ]{_TIME} ?(?:Z|[+-]\d{{2}}:\d{{2}})?)?$"
+ISO = rf"^\d{{4}}([-/])\d{{1,2}}\1\d{{1,2}}(?:[T ]{_TIME}(?:Z|[+-]\d{{2}}:\d{{2}})?)?$"
+ISO_DAY = r"^\d{4}-\d{2}-\d{2}$"
 US = rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})( {_TIME})?$"
-NAMED = (
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2} [AaPp][Mm]$", "M/d/yyyy h:mm:ss a"),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2} [AaPp][Mm]$", "M/d/yyyy h:mm a"),
-    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
-    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
-    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
-    (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", "d MMMM yyyy"),
-    (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+# Month names and 12-hour times: one guard, one pattern of optional sections.
+NAMED = r"^\d{1,2}([ -])[A-Za-z]{3,9}\1\d{4}$|^[A-Za-z]{3,9} \d{1,2}, \d{4}$|^\d{1,2}/\d{1,2}/\d{4} [\d:]{4,8} [AP]M$"
+NAMED_PATTERN = (
+    "[M/d/yyyy h:mm:ss a][M/d/yyyy h:mm a][d MMM yyyy][d MMMM yyyy][d-MMM-yyyy][d-MMMM-yyyy]"
+    "[MMM d, yyyy][MMMM d, yyyy]"
 )
 
 UNREADABLE = "0001-01-01"
 
 
 def parse_timestamp(c: Column) -> Column:
-    """NULL when unreadable. The regex guards keep the slow pattern parsers off the common cells."""
+    """NULL when unreadable. The regex guards keep failing casts and the pattern parser off ordinary cells."""
     t = tx.strip(c)
-    iso = F.regexp_replace(F.translate(t, "/", "-"), r" ?Z$", "Z")
     us = F.regexp_replace(t, US, "$3-$1-$2$4")
-    parsed = F.when(t.rlike(ISO), iso.try_cast("timestamp")).when(t.rlike(US), us.try_cast("timestamp"))
-    for shape, pattern in NAMED:
-        parsed = parsed.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(pattern)))
-    return parsed
+    return (
+        F.when(t.rlike(ISO), F.translate(t, "/", "-").try_cast("timestamp"))
+        .when(t.rlike(US), us.try_cast("timestamp"))
+        .when(t.rlike(NAMED), F.try_to_timestamp(t, F.lit(NAMED_PATTERN)))
+    )
 
 
 def parse_date(c: Column) -> Column:
@@ -41,7 +39,9 @@ def parse_date(c: Column) -> Column:
 
 
 def date_text(c: Column) -> Column:
-    return F.date_format(parse_timestamp(c), "yyyy-MM-dd")
+    """ISO text of a date, NULL when unreadable; plain ISO days take the short way."""
+    day = F.when(c.rlike(ISO_DAY), c.try_cast("date")).otherwise(parse_date(c))
+    return day.cast("string")
 
 
 def date_or_lowest(df: DataFrame, name: str) -> Column:

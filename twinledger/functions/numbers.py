@@ -28,6 +28,8 @@ LENIENT = (
 PLAIN_STYLE = rf"^\s*(?:[+-]?{_GROUPED}|{_GROUPED}\s*[+-])\s*$"
 MONEY = rf"^(?:[+-]?{_UNGROUPED}{_EXPONENT}|{_UNGROUPED}{_EXPONENT}[+-])$"
 WHOLE = r"^\s*[+-]?\d+\s*$"
+ORDINARY = rf"^\s*[+-]?{_UNGROUPED}\s*$"
+CANONICAL = r"^(?:0|-?[1-9]\d*)(?:\.\d+)?$"
 
 _NEGATIVE = r"^\s*-|\(|-\s*$"
 _DECORATION = r"[\s,()]|^\s*[+-]|[+-]\s*$"
@@ -41,9 +43,8 @@ def _read(c: Column, kind: T.DataType) -> Column:
 
 def lenient_decimal(c: Column) -> Column:
     """Sign at either end, thousands, parentheses, exponent and spaces allowed."""
-    # Most cells are plain numbers: the cast settles them without a regex.
-    filled = F.nullif(F.trim(c), F.lit(""))
-    return F.coalesce(filled.try_cast(AMOUNT), F.when(filled.rlike(LENIENT), _read(filled, AMOUNT)))
+    # The guards matter: a failing cast costs far more than a match. Most cells are ordinary.
+    return F.when(c.rlike(ORDINARY), F.trim(c).try_cast(AMOUNT)).when(c.rlike(LENIENT), _read(c, AMOUNT))
 
 
 def rule_decimal(c: Column) -> Column:
@@ -105,22 +106,38 @@ def number_text(c: Column) -> Column:
     Works on the digits themselves, so precision and trailing zeros survive.
     What the lenient grammar rejects is retried with all other characters removed.
     """
-    source = F.when(c.rlike(LENIENT), c).otherwise(F.regexp_replace(c, r"[^\d.\-]", ""))
-    return lenient_number_text(source)
+    kept = _only_number_characters(c)
+    return _canonical(c).when(kept.rlike(CANONICAL), kept).when(kept.rlike(LENIENT), _tidy_digits(kept))
 
 
 def lenient_number_text(c: Column) -> Column:
-    digits = F.regexp_replace(c, _DECORATION, "")
-    exact = F.call_function(
-        "format_number", digits.try_cast("decimal(38,10)"), F.lit("0.##########")
-    )
-    size = F.when(digits.rlike("[eE]"), exact).otherwise(
-        F.regexp_replace(
-            F.regexp_replace(F.regexp_replace(digits, r"^0+(?=\d)", ""), r"^(?=\.)", "0"), r"\.$", ""
-        )
+    return _canonical(c)
+
+
+def is_unreadable_number(c: Column) -> Column:
+    return ~c.rlike(LENIENT) & ~_only_number_characters(c).rlike(LENIENT)
+
+
+def _only_number_characters(c: Column) -> Column:
+    return F.regexp_replace(c, r"[^\d.\-]", "")
+
+
+def _canonical(c: Column) -> Column:
+    exact = F.call_function("format_number", _read(c, T.DecimalType(38, 10)), F.lit("0.##########"))
+    return (
+        F.when(c.rlike(CANONICAL), c)
+        .when(c.rlike(LENIENT) & c.rlike("[eE]"), exact)
+        .when(c.rlike(LENIENT), _tidy_digits(c))
     )
-    negative = c.rlike(_NEGATIVE) & size.rlike("[1-9]")
-    return F.when(c.rlike(LENIENT), F.when(negative, F.concat(F.lit("-"), size)).otherwise(size))
+
+
+def _tidy_digits(c: Column) -> Column:
+    """Leading minus, no grouping, no surplus zeros in front. Each step reads the one before only once."""
+    bare = F.translate(c, " ,+\t", "")
+    minus_first = F.regexp_replace(bare, r"^\((.*)\)$|^([^-].*)-$", "-$1$2")
+    no_zeros = F.regexp_replace(minus_first, r"^(-?)0+(?=\d)", "$1")
+    whole = F.regexp_replace(no_zeros, r"^(-?)\.", "$10.")
+    return F.regexp_replace(whole, r"\.$|^-(?=0(?:\.0*)?$)", "")
 
 
 # --- Numbers shown as text ------------------------------------------------------------

@@ -32,11 +32,12 @@ def clean(c: Column) -> Column:
 
 
 def collapse_spaces(c: Column) -> Column:
-    return F.regexp_replace(c, r"\s+", " ")
+    # Guarded: most cells have nothing to collapse, and a match is cheaper than a rebuilt string.
+    return F.when(c.rlike(r"\s\s|[^\S ]"), F.regexp_replace(c, r"\s+", " ")).otherwise(c)
 
 
 def strip_leading_zeros(c: Column) -> Column:
-    return F.regexp_replace(c, "^0+", "")
+    return F.ltrim(c, F.lit("0"))
 
 
 def key(c: Column) -> Column:
@@ -80,6 +81,15 @@ def column(df: DataFrame, name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def with_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that are computed once per row, whatever reads them later.
+
+    A filter on a plain computed column is pushed below it with a second copy of
+    its expression. The one-element ``inline`` keeps the filter above.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def is_text(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.StringType)
 

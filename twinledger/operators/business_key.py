@@ -273,6 +273,9 @@ def run_log(keys: DataFrame, options: Options = DEFAULTS, left: DataFrame | None
     lists are not put into a message; ``key_presence`` has them. Given the
     feeds, a partner mismatch is logged too.
     """
+    # Always true, but it makes every part below need the same grouped columns, so that
+    # the grouping's exchange is computed once and reused.
+    keys = keys.where(F.col("Status").isNotNull() | F.col("is_excluded"))
     l, r = options.left_label, options.right_label
     pair = F.concat_ws("|", *KEYS)
     status = F.col("Status")

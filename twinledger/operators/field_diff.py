@@ -206,8 +206,8 @@ def field_differences(left: DataFrame, right: DataFrame, options: Options = DEFA
 
 
 def discrepancy_count(left: DataFrame, right: DataFrame, options: Options = DEFAULTS) -> DataFrame:
-    """One row: differing pairs plus one-sided keys, with the summary line. Forms no pairs."""
-    pairs = difference_counts(left, right, options).select(F.col("pairs").alias("n"))
-    missing = missing_keys(left, right, options).select(F.lit(1).cast("long").alias("n"))
-    total = pairs.unionByName(missing).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("discrepancies"))
+    """One row: differing pairs plus one-sided keys, with the summary line."""
+    total = field_differences(left, right, options).agg(
+        F.coalesce(F.sum("PairCount"), F.lit(0)).cast("long").alias("discrepancies")
+    )
     return total.withColumn("summary", F.format_string("Discrepancies found: %d", "discrepancies"))

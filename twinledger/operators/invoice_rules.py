@@ -22,7 +22,7 @@ def _inputs(df: DataFrame) -> DataFrame:
     end = dt.date_or_lowest(df, tx.first_found(df, ("ChargeEndDate",)) or "ValidTo")
     days = tx.find(df, "EffectiveDays")
     msrp = tx.first_found(df, ("MSRP",)) or "MSRPPrice"
-    return df.withColumns({
+    return tx.with_once(df, {
         "_days": dt.inclusive_days(start, end),
         "_effective": F.lit(0) if days is None else num.whole_or_zero(tx.cell(df, days)),
         "_msrp": num.rule_amount(df, msrp),
@@ -81,7 +81,7 @@ def _checks(options: Options) -> dict[str, Column]:
 def validated(df: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """Every row with the four message columns, NULL where the rule holds."""
     messages = {fixed.INVOICE_CHECKS[rule]: message for rule, message in _checks(options).items()}
-    return _inputs(df).withColumns(messages).drop(*_INPUTS)
+    return tx.with_once(_inputs(df), messages).drop(*_INPUTS)
 
 
 def invalid_rows(df: DataFrame, options: Options = DEFAULTS) -> DataFrame:

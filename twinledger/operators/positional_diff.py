@@ -66,7 +66,7 @@ def positional_differences(left: DataFrame, right: DataFrame, options: Options =
     rows = l.join(r, ROW, "full_outer").select(ROW, F.explode(cells).alias("c")).select(ROW, "c.*")
 
     a, b = F.col("a"), F.col("b")
-    typed = rows.withColumns({
+    typed = tx.with_once(rows, {
         "da": num.lenient_decimal(a), "db": num.lenient_decimal(b),
         "ta": dt.parse_timestamp(a), "tb": dt.parse_timestamp(b),
     })

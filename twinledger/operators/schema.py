@@ -184,8 +184,19 @@ def map_canonical(df: DataFrame, kind: str, options: Options = DEFAULTS) -> Data
     return df.select(*[c.alias(n) for n, c in built.items()], *[tx.column(df, m) for m in passed])
 
 
-def has_key(df: DataFrame) -> Column:
-    return ~tx.is_blank(tx.cell(df, "CustomerDomainName")) & ~tx.is_blank(tx.cell(df, "ProductId"))
+def has_key(df: DataFrame, kind: str, options: Options = DEFAULTS) -> Column:
+    """Whether a raw row has both key parts, directly or through their fallbacks.
+
+    Asked of the raw columns, each read once: on the mapped ones the filter would
+    be pushed down with several copies of their cleaning.
+    """
+    rules = options.column_maps[kind]
+
+    def filled(name: str, fallback: str) -> Column:
+        own = _resolve(df, rules[name], {}) if rules.get(name) else F.lit("")
+        return tx.strip(F.concat(own, tx.cell(df, fallback))) != ""
+
+    return filled("CustomerDomainName", "CustomerName") & filled("ProductId", "PartNumber")
 
 
 def is_date_name(name: str) -> bool:

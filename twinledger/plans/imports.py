@@ -32,10 +32,21 @@ def _marks(df: DataFrame) -> list[str]:
     return [c for c in (sc.ROW, sc.FILE) if c in df.columns]
 
 
+def _cleaned(raw: DataFrame) -> DataFrame:
+    """Clean cells in a projection of their own: later steps read each cell several times."""
+    marks = _marks(raw)
+    return raw.select(*[
+        tx.column(raw, n) if n in marks else tx.clean(tx.cell(raw, n)).alias(n) for n in raw.columns
+    ])
+
+
 def normalise(raw: DataFrame) -> DataFrame:
     """Cleans every cell by its column's class: date, number or text. Unreadable cells stay."""
+    cells = _cleaned(raw)
+    marks = _marks(raw)
+
     def value(name: str):
-        c = tx.clean(tx.cell(raw, name))
+        c = tx.column(cells, name)
         if sc.is_date_name(name):
             return F.coalesce(dt.date_text(c), c)
         if sc.is_number_name(name):
@@ -44,12 +55,12 @@ def normalise(raw: DataFrame) -> DataFrame:
         keep_zeros = "id" in name.lower() or "sku" in name.lower()
         return text if keep_zeros else tx.strip_leading_zeros(text)
 
-    marks = _marks(raw)
-    return raw.select(*[tx.column(raw, n) if n in marks else value(n).alias(n) for n in raw.columns])
+    return cells.select(*[tx.column(cells, n) if n in marks else value(n).alias(n) for n in cells.columns])
 
 
 def normalise_findings(raw: DataFrame, file_name: str = "") -> DataFrame:
     """Dates and numbers that could not be read, and amounts too large to be compared."""
+    cells = _cleaned(raw)
     common = {
         "row": F.col(sc.ROW) if sc.ROW in raw.columns else None,
         "file_name": F.col(sc.FILE) if sc.FILE in raw.columns else file_name,
@@ -58,38 +69,36 @@ def normalise_findings(raw: DataFrame, file_name: str = "") -> DataFrame:
     for name in raw.columns:
         if name in (sc.ROW, sc.FILE):
             continue
-        c = tx.clean(tx.cell(raw, name))
-        filled = ~tx.is_blank(c)
+        c = tx.column(cells, name)
         if sc.is_date_name(name):
             rules.append(finding(
-                filled & dt.parse_timestamp(c).isNull(), level="Error", rule="Q7", column=name, raw=c,
+                (c != "") & dt.parse_timestamp(c).isNull(), level="Error", rule="Q7", column=name, raw=c,
                 description=F.concat(F.lit("Invalid date '"), c, F.lit("' – unable to parse.")), **common))
         elif sc.is_number_name(name):
-            text = num.number_text(c)
             rules.append(finding(
-                filled & text.isNull(), level="Error", rule="Q7", column=name, raw=c,
+                (c != "") & num.is_unreadable_number(c), level="Error", rule="Q7", column=name, raw=c,
                 description=F.concat(F.lit("Invalid numeric '"), c, F.lit("' – unable to parse.")), **common))
             rules.append(finding(
-                filled & text.isNotNull() & text.try_cast(num.AMOUNT).isNull(), level="Error", rule="Q7",
-                column=name, raw=c,
+                (F.length(c) > 12) & ~num.is_unreadable_number(c) & num.number_text(c).try_cast(num.AMOUNT).isNull(),
+                level="Error", rule="Q7", column=name, raw=c,
                 description=F.concat(F.lit("Number '"), c, F.lit("' is out of range.")), **common))
-    return collect_findings(raw, rules)
+    return collect_findings(cells, rules)
 
 
-def _keep_keyed(mapped: DataFrame) -> tuple[DataFrame, DataFrame]:
-    keyed = sc.has_key(mapped)
-    rejects = mapped.where(~keyed).select(
+def _keep_keyed(df: DataFrame, kind: str, options: Options) -> tuple[DataFrame, DataFrame]:
+    keyed = sc.has_key(df, kind, options)
+    rejects = df.where(~keyed).select(
         F.lit("WARN").alias("level"),
         F.lit("Row skipped: missing CustomerDomainName or ProductId").alias("message"),
-        *_marks(mapped),
+        *_marks(df),
     )
-    return mapped.where(keyed), rejects
+    return df.where(keyed), rejects
 
 
 def canonical_right(normalised: DataFrame, options: Options = DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """The vendor feed from cleaned cells: mapped, usage-plan rows dropped, terms derived."""
-    kept, rejects = _keep_keyed(sc.map_canonical(normalised, fixed.MICROSOFT, options))
-    rows = sc.normalise_mapped(kept, options)
+    kept, rejects = _keep_keyed(normalised, fixed.MICROSOFT, options)
+    rows = sc.normalise_mapped(sc.map_canonical(kept, fixed.MICROSOFT, options), options)
     rows = sc.split_term(drop_usage_plan(rows, fixed.USAGE_PLAN_RIGHT_COLUMN))
     return sc.reorder(rows, fixed.RIGHT_LEADING_COLUMNS), rejects
 
@@ -98,9 +107,9 @@ def canonical_left(
     normalised: DataFrame, options: Options = DEFAULTS, kind: str = fixed.PARTNER
 ) -> tuple[DataFrame, DataFrame]:
     """The company's own feed from cleaned cells: mapped, renamed, SKU zeros and usage-plan rows dropped."""
-    mapped = sc.map_canonical(normalised, kind, _with_old_names(normalised, options, kind))
-    kept, rejects = _keep_keyed(mapped)
-    rows = sc.normalise_mapped(kept, options)
+    options = _with_old_names(normalised, options, kind)
+    kept, rejects = _keep_keyed(normalised, kind, options)
+    rows = sc.normalise_mapped(sc.map_canonical(kept, kind, options), options)
     rows = rows.withColumn("SkuId", tx.strip_leading_zeros(F.col("SkuId")))
     rows = drop_usage_plan(rows, fixed.USAGE_PLAN_LEFT_COLUMN)
     return sc.reorder(sc.ensure_columns(rows, fixed.CANONICAL_COLUMNS), fixed.LEADING_COLUMNS), rejects
