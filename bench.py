@@ -30,7 +30,8 @@ def main() -> None:
     chosen = sys.argv[1:] or HEADLINE
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
-        .config("spark.ui.enabled", "false").config("spark.driver.memory", "16g")
+        .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -19,7 +19,8 @@ from .feeds import TABLES
 def session() -> SparkSession:
     spark = (
         SparkSession.builder.master("local[8]").appName("checks")
-        .config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8")
+        .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -69,7 +69,7 @@ def friendly_name(name: str) -> str:
 def find(df: DataFrame, name: str) -> str | None:
     """The frame's own spelling of a column name, or None."""
     wanted = name.lower()
-    return next((c for c in df.columns if c.lower() == wanted), None)
+    return next((c for c in df.schema.names if c.lower() == wanted), None)
 
 
 def first_found(df: DataFrame, names: Sequence[str]) -> str | None:
