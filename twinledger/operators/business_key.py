@@ -62,8 +62,11 @@ def group_totals(left: DataFrame, right: DataFrame) -> DataFrame:
             sums.append(F.coalesce(F.sum(f"{side}_{name}"), zero).cast(num.TOTAL).alias(f"{side}_{name}"))
         price = F.try_divide(F.sum(f"{side}_Weighted"), F.sum(f"{side}_Quantity"))
         sums.append(F.coalesce(price, zero).cast(num.TOTAL).alias(f"{side}_UnitPrice"))
+    # The flag is an aggregate although the keys decide it: a filter on it then stays above the
+    # grouping, whose exchange the reports share.
+    blank = F.bool_or((F.col(KEYS[0]) == "") | (F.col(KEYS[1]) == "")).alias("is_blank_key")
     return both.groupBy(*KEYS).agg(
-        F.sum("left_rows").alias("left_rows"), F.sum("right_rows").alias("right_rows"), *sums
+        F.sum("left_rows").alias("left_rows"), F.sum("right_rows").alias("right_rows"), blank, *sums
     )
 
 
@@ -95,10 +98,7 @@ def compare_keys(left: DataFrame, right: DataFrame, options: Options = DEFAULTS)
     """
     left, right = prepare_side(left), prepare_side(right)
     totals = group_totals(left, slice_partner(left, right))
-    totals = totals.withColumns({
-        "is_excluded": is_excluded(F.col(KEYS[0]), options),
-        "is_blank_key": (F.col(KEYS[0]) == "") | (F.col(KEYS[1]) == ""),
-    })
+    totals = totals.withColumn("is_excluded", is_excluded(F.col(KEYS[0]), options))
     equal = F.lit(True)
     for name in fixed.TOTALS:
         equal = equal & (F.abs(_difference(name)) <= F.lit(options.tolerance_for(name)))

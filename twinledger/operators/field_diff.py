@@ -4,7 +4,7 @@ Every left row of a key is compared with every right row of it, so a key's
 result grows with the product of its rows. Keys whose product stays within
 ``Options.pair_limit`` are listed pair by pair through an equi join. For larger
 keys the same result is given per distinct left value with the exact number of
-row pairs that differ, computed without forming pairs: see ``differing_pairs``.
+row pairs that differ, computed without forming pairs: see ``equal_counts``.
 """
 
 from __future__ import annotations
@@ -20,7 +20,10 @@ from .schema import ROW
 
 KEYS = ("InvoiceNumber", "SkuId")
 _UNITS = 1_000_000  # an amount of six decimals as a whole number
-_BUCKET = 10 * _UNITS
+_BUCKET = _UNITS
+_SALTS = 32
+# Keys holding at least this share of all rows: there can be no more of them than its inverse.
+_HEAVY_SHARE = 10_000
 
 
 def _key(df: DataFrame, name: str) -> Column:
@@ -96,15 +99,14 @@ def _profile(df: DataFrame, fields: list[str]) -> DataFrame:
     return rows.groupBy(*KEYS, "Field", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def differing_pairs(left: DataFrame, right: DataFrame, options: Options = DEFAULTS) -> DataFrame:
-    """Per key, field and distinct left value: how many row pairs differ. Exact, and forms no pairs.
+def equal_counts(left: DataFrame, right: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+    """Per key, field and distinct left value: the right rows of the key that count as equal.
 
-    A left value differs from all right rows of its key except those within
-    tolerance. Amounts are whole numbers of millionths, cut into ranges of ten;
-    right values near a range's edge are copied to the neighbouring range, and a
-    sliding sum inside each range counts the right rows within tolerance. Values
-    are distinct beforehand, so a range holds a bounded number of rows however
-    many the key has. Other text is counted by equal text.
+    Forms no pairs. Amounts are whole numbers of millionths, cut into ranges of
+    one; right values near a range's edge are copied to the neighbouring range,
+    and a sliding sum inside each range counts the right rows within tolerance.
+    Values are distinct beforehand, so a range holds a bounded number of rows
+    however many the key has. Other text is counted by equal text.
     """
     fields = _fields(left, right)
     tolerance = int(options.numeric_tolerance * _UNITS)
@@ -126,36 +128,46 @@ def differing_pairs(left: DataFrame, right: DataFrame, options: Options = DEFAUL
     r = measured(right).groupBy(*group, "units").agg(F.sum("n").alias("n"))
     low, high = F.col("units") - tolerance, F.col("units") + tolerance
     copies = F.sequence(F.floor(low / bucket), F.floor(high / bucket))
+    none = F.lit(0).cast("long")
     marks = l.select(
         *group, F.floor(F.col("units") / bucket).alias("bucket"), "units", "value",
-        F.col("n").alias("left_n"), F.lit(0).cast("long").alias("right_n"), F.lit(True).alias("is_left"),
+        F.col("n").alias("left_rows"), none.alias("right_n"), F.lit(True).alias("is_left"),
     ).unionByName(
         r.select(
             *group, F.explode(copies).alias("bucket"), "units", F.lit(None).cast("string").alias("value"),
-            F.lit(0).cast("long").alias("left_n"), F.col("n").alias("right_n"), F.lit(False).alias("is_left"),
+            none.alias("left_rows"), F.col("n").alias("right_n"), F.lit(False).alias("is_left"),
         )
     )
     near = Window.partitionBy(*group, "bucket").orderBy("units").rangeBetween(-tolerance, tolerance)
-    counted = marks.withColumn("equal", F.sum("right_n").over(near)).where("is_left")
-    totals = r.groupBy(*KEYS, "Field").agg(F.sum("n").alias("right_rows"))
+    counted = marks.withColumn("equal_rows", F.sum("right_n").over(near)).where("is_left")
+    return counted.select(*KEYS, "Field", "value", "left_rows", "equal_rows")
+
+
+def difference_counts(left: DataFrame, right: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+    """Differing row pairs per key and field, exact and without forming pairs, for keys of any size."""
+    equal = equal_counts(left, right, options).groupBy(*KEYS, "Field").agg(
+        F.sum("left_rows").alias("left_rows"),
+        F.sum(F.col("left_rows") * F.col("equal_rows")).alias("equal_pairs"),
+    )
+    # Every field of a key has as many right rows as the key: one row per key joins one row per field.
+    totals = key_rows(left, right).where("left_rows > 0 AND right_rows > 0").select(*KEYS, "right_rows")
+    pairs = F.col("left_rows") * F.col("right_rows") - F.col("equal_pairs")
     return (
-        counted.join(totals, [*KEYS, "Field"])
-        .select(
-            *KEYS, "Field", "value",
-            F.col("left_n").alias("left_rows"),
-            "right_rows",
-            (F.col("left_n") * (F.col("right_rows") - F.col("equal"))).alias("pairs"),
-        )
+        equal.join(totals, list(KEYS))
+        .select(*KEYS, "Field", "left_rows", "right_rows", pairs.alias("pairs"))
+        .where("pairs > 0")
     )
 
 
-def difference_counts(left: DataFrame, right: DataFrame, options: Options = DEFAULTS) -> DataFrame:
-    """Differing row pairs per key and field, for keys of any size."""
+def _value_counts(left: DataFrame, right: DataFrame, totals: DataFrame, options: Options) -> DataFrame:
+    """Differing row pairs per distinct left value. Salted: a large key's values meet its total in many tasks."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
+    spread = totals.select(*KEYS, F.col("right_rows"), salts.alias("_salt"))
+    salted = equal_counts(left, right, options).withColumn("_salt", F.pmod(F.hash("value"), F.lit(_SALTS)))
+    pairs = F.col("left_rows") * (F.col("right_rows") - F.col("equal_rows"))
     return (
-        differing_pairs(left, right, options)
-        .groupBy(*KEYS, "Field")
-        .agg(F.sum("left_rows").alias("left_rows"), F.max("right_rows").alias("right_rows"),
-             F.sum("pairs").alias("pairs"))
+        salted.join(spread, [*KEYS, "_salt"])
+        .select(*KEYS, "Field", "value", pairs.alias("pairs"))
         .where("pairs > 0")
     )
 
@@ -170,14 +182,27 @@ def field_differences(left: DataFrame, right: DataFrame, options: Options = DEFA
     """
     fields = _fields(left, right)
     keys = key_rows(left, right)
-    hot = keys.where(_is_hot(options)).select(*KEYS)
-    l, r = _side(left, fields), _side(right, fields)
-    listed = _listed_pairs(
-        l.join(hot, list(KEYS), "left_anti"), r.join(hot, list(KEYS), "left_anti"), fields, options
-    )
-    counted = differing_pairs(
-        l.join(hot, list(KEYS), "left_semi"), r.join(hot, list(KEYS), "left_semi"), options
-    ).where("pairs > 0")
+    large = keys.where(_is_hot(options))
+    # The heaviest keys are at most 10,000 by their share of the rows, so they are split off by
+    # broadcast before any shuffle; a key below that share fits a task.
+    rows_of_key = F.col("left_rows") + F.col("right_rows")
+    total = keys.agg(F.sum(rows_of_key)).scalar()
+    is_heavy = rows_of_key * _HEAVY_SHARE >= total
+    heavy, rest = large.where(is_heavy).select(*KEYS), large.where(~is_heavy).select(*KEYS)
+
+    def split(side: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of ordinary keys and rows of large keys."""
+        light = side.join(F.broadcast(heavy), list(KEYS), "left_anti")
+        hot = side.join(F.broadcast(heavy), list(KEYS), "left_semi")
+        return (
+            light.join(rest, list(KEYS), "left_anti"),
+            hot.unionByName(light.join(rest, list(KEYS), "left_semi")),
+        )
+
+    light_left, hot_left = split(_side(left, fields))
+    light_right, hot_right = split(_side(right, fields))
+    listed = _listed_pairs(light_left, light_right, fields, options)
+    counted = _value_counts(hot_left, hot_right, large, options)
     other = f"{options.right_label} Value"
     empty = F.lit("")
 
