@@ -5,6 +5,7 @@ Spark results show amounts as DOUBLE, so both engines return the same types.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -841,6 +842,33 @@ def normalise_date(spark, sf_dir):
     )
 
 
+# --- Files ------------------------------------------------------------------------------------------------
+
+
+def as_csv(feed: DataFrame) -> str:
+    """Writes a feed as CSV files to a new folder beside the checkpoints, which all executors share."""
+    folder = f"{ordinals.ensure_checkpoint_dir(feed.sparkSession)}/feed-{uuid.uuid4().hex}"
+    writer = feed.write.option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    return folder
+
+
+@query("""
+SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS invoices,
+       true AS rows_are_dense, CAST(sum(CAST(l_quantity AS INT)) AS BIGINT) AS quantity FROM lineitem""")
+def csv_feed_scan(spark, sf_dir):
+    rows = sources.scan_csv(spark, as_csv(feeds.frame(spark, sf_dir, feeds.RAW_LEFT)))
+    # Rows of a file are numbered 1..n: the largest number, the count and the sum of the numbers agree.
+    files = rows.groupBy("_file").agg(
+        F.count(F.lit(1)).alias("n"), F.max("_row").alias("last"), F.sum("_row").alias("numbers"),
+        F.sum(num.amount(rows, "Quantity")).alias("quantity"))
+    invoices = rows.agg(F.count_distinct("PartnerInvoiceNumber")).scalar()
+    dense = (F.col("last") == F.col("n")) & (F.col("numbers") * 2 == F.col("n") * (F.col("n") + 1))
+    return files.agg(
+        F.sum("n").alias("n"), F.max(invoices).alias("invoices"), F.bool_and(dense).alias("rows_are_dense"),
+        F.sum("quantity").cast("long").alias("quantity"))
+
+
 # --- Imports --------------------------------------------------------------------------------------------
 
 
@@ -873,6 +901,16 @@ def canonical_map_right(spark, sf_dir):
         "SubscriptionDescription", "MpnId")
 
 
+@query(SQL["canonical_map_right"])
+def csv_import(spark, sf_dir):
+    path = as_csv(feeds.frame(spark, sf_dir, feeds.RAW_RIGHT))
+    rows = imports.import_feed(spark, path, fixed.MICROSOFT).rows
+    return rows.select(
+        "CustomerDomainName", "ProductId", "SkuId", "ChargeType", "Term", "BillingCycle", "InvoiceNumber",
+        "ProductName", "UnitPrice", "Quantity", "Subtotal", "ChargeStartDate", "ChargeEndDate",
+        "SubscriptionDescription", "MpnId")
+
+
 @query(f"""
 SELECT upper('cust-' || l_suppkey || '.com') AS CustomerDomainName,
        upper(CASE WHEN l_partkey % 89 = 0 THEN 'pn-' || l_partkey ELSE 'p' || l_partkey END) AS ProductId,
