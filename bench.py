@@ -20,10 +20,9 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from checks.catalog import QUERIES  # noqa: E402
 
 HEADLINE = (
-    "compare_business_key", "compare_summary", "run_log_levels", "net_price_mismatch", "two_pass",
-    "field_diff", "field_diff_count", "field_diff_hot_keys", "positional_diff", "invoice_rules",
-    "invoice_rule_counts", "dq_findings", "dq_summary", "findings_topn", "normalise_number",
-    "normalise_date", "canonical_map_right", "canonical_map_left", "import_findings", "expression_columns",
+    "compare_business_key", "run_log_levels", "net_price_mismatch", "field_diff", "field_diff_hot_keys",
+    "positional_diff", "invoice_rules", "dq_summary", "findings_topn", "normalise_number",
+    "canonical_map_right", "import_findings",
 )
 
 

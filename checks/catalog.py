@@ -1032,6 +1032,19 @@ def feed_row_counts(spark, sf_dir):
     return counted.select("feed", "n")
 
 
+@query(f"""
+SELECT 'exact' AS spelling, CAST(count(*) AS BIGINT) AS kept FROM ({feeds.sql(feeds.LEFT)}) x WHERE ProductName <> 'Azure plan'
+UNION ALL
+SELECT 'any case', CAST(count(*) AS BIGINT) FROM ({feeds.sql(feeds.LEFT)}) x WHERE lower(ProductName) <> 'azure plan'""")
+def usage_plan_filter(spark, sf_dir):
+    feed = feeds.frame(spark, sf_dir, feeds.LEFT)
+
+    def kept(spelling: str, rows: DataFrame) -> DataFrame:
+        return rows.agg(F.count(F.lit(1)).alias("kept")).select(F.lit(spelling).alias("spelling"), "kept")
+    return kept("exact", filters.drop_usage_plan(feed, "ProductName")).unionByName(
+        kept("any case", filters.drop_usage_plan_any_case(feed, "ProductName")))
+
+
 @query("""
 SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Microsoft' WHEN 1 THEN 'Partner' WHEN 2 THEN 'Distributor' END AS source_type
 FROM orders""")
