@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def reachable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package from where the driver has it, if they can see that folder.
+
+    Elsewhere the package has to be installed on the workers or given with ``--py-files``.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+    return spark
+
+
 def folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a local session without one gets its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
