@@ -79,7 +79,8 @@ class Shard:
         return np.unpackbits(np.frombuffer(raw, np.uint8))
 
     def _plane(self, plane: int) -> np.ndarray:
-        return np.concatenate([self._bits(plane, b) for b in range(self._blocks)])[:self.size].astype(bool)
+        held = [self._bits(plane, b) for b in range(self._blocks)]
+        return np.concatenate([np.zeros(0, np.uint8), *held])[:self.size].astype(bool)
 
     def _zeros(self, plane: int) -> int:
         return self.size - int(self._ones[plane, -1])
