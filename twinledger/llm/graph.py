@@ -16,7 +16,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     links is no hot group. Every round is written to the shared folder. Links to oneself
     are allowed and give a component of one; nulls are left out.
     """
-    pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
+    both_known = links.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    pairs = both_known.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     pairs = written(pairs.distinct(), "links")
     before = None
     while True:

@@ -173,11 +173,6 @@ def short_bands(grams: np.ndarray, rule: Rule) -> int:
     return found
 
 
-def looked_at(n: int, rule: Rule) -> bool:
-    """Whether a set of this size can be similar to another than its equals."""
-    return n > 0 and (rule.largest(n) > n or rule.differ(n, n) >= 2)
-
-
 def profile(texts: DataFrame, rule: Rule, size: int) -> DataFrame:
     """One pass: per document n, short and its keys for round one; and rows of common n-grams with counts."""
 
@@ -191,10 +186,8 @@ def profile(texts: DataFrame, rule: Rule, size: int) -> DataFrame:
                 sets = shingle_sets(raws[s], size)
                 keys, short = [], []
                 for grams in sets:
-                    some = looked_at(len(grams), rule)
-                    short.append(short_bands(grams, rule) if some else 0)
-                    found = entries(grams, rule, None, 0)[0] if some else np.zeros(0, U64)
-                    # Sets of one size differ in an even number, so small ones are the same or not: all their segments.
+                    short.append(short_bands(grams, rule) if len(grams) else 0)
+                    found = entries(grams, rule, None, 0)[0] if len(grams) else np.zeros(0, U64)
                     thin = found if len(grams) < 32 else found[found % U64(_ROUND_ONE) == 0]
                     keys.append(np.unique(thin).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
@@ -249,7 +242,7 @@ def packed(labelled: DataFrame, rule: Rule, size: int, hints, short: int, bucket
                 sets = shingle_sets(raws[s], size)
                 keys, flags, owner = [np.zeros(0, U64)], [np.zeros(0, np.uint8)], [np.zeros(0, np.uint16)]
                 for i, grams in enumerate(sets):
-                    if not looked_at(len(grams), rule):
+                    if not len(grams):
                         continue
                     weights = None
                     if len(common):

@@ -5,7 +5,8 @@ is no letter as one blank, hashed to 4,096 places), times the inverse document
 frequency, normalised. Per language, spherical k-means makes up to ``clusters``
 centroids. A text gets the language of the centroid with the greatest cosine; one whose
 cosine is below the language's limit is rejected as too far from all centroids. The
-limit is a share of the smallest cosines of the language's own training texts.
+limit is a share of the smallest cosines of the language's own training texts, and less for
+texts of few trigrams, whose cosine can't be great.
 
 Training takes at most ``per_language`` labelled texts of each label, chosen by a hash
 of doc_id; the model's size depends on the number of labels only. Prediction reads whole
@@ -35,6 +36,7 @@ PLACES = 4096
 UNKNOWN = "und"
 _BLOCK = 1_000_000
 _ROWS = 256
+_FULL = 200  # distinct trigrams from which on the limit holds in full
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -87,11 +89,14 @@ class Model:
         told = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.labels else []
         for at in range(0, len(told), _ROWS):
             rows = told[at:at + _ROWS]
-            near = weigh(trigram_counts([texts[i] for i in rows]), self.idf) @ self.centroids.T
-            for i, c, score in zip(rows, near.argmax(axis=1), near.max(axis=1)):
+            counts = trigram_counts([texts[i] for i in rows])
+            near = weigh(counts, self.idf) @ self.centroids.T
+            # The cosine of a short text can't be great: the limit falls with the root of its distinct trigrams.
+            ease = np.sqrt(np.minimum(1.0, (counts > 0).sum(axis=1) / _FULL))
+            for i, c, score, share in zip(rows, near.argmax(axis=1), near.max(axis=1), ease):
                 labels[i] = self.labels[c]
                 scores[i] = min(1.0, max(0.0, float(score)))
-                rejected[i] = scores[i] < self.limits[labels[i]]
+                rejected[i] = scores[i] < share * self.limits[labels[i]]
         return labels, scores, rejected
 
 
@@ -99,9 +104,14 @@ def train(
     docs: DataFrame, per_language: int = 400, clusters: int = 4, lowest: float = 0.01, slack: float = 0.5,
 ) -> Model:
     """Fits on ``docs`` with doc_id, text and lang; rows without text, letters or label are left out."""
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    sample = docs.select("doc_id", "text", "lang").filter(
+    labelled = docs.select("doc_id", "text", "lang").filter(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
+    ).withColumn("hash", F.xxhash64("doc_id"))
+    # Of a label with many rows, hashes below a bound that twice the wanted number is expected to meet.
+    share = labelled.groupBy("lang").agg((F.lit(2.0 * per_language) / F.count("*")).alias("share"))
+    by_hash = Window.partitionBy("lang").orderBy("hash", "doc_id", F.xxhash64("text"))
+    sample = labelled.join(share, "lang").filter(
+        F.pmod("hash", F.lit(1 << 32)) < F.col("share") * (1 << 32)
     ).withColumn("turn", F.row_number().over(by_hash)).filter(F.col("turn") <= per_language)
 
     def features(batches) -> Iterator[pd.DataFrame]:
