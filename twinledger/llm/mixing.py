@@ -107,7 +107,10 @@ def mix(
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document once per repetition, the partly taken one cut after its last word."""
-    taken = mix(docs, **options)
+    own = [c for c in docs.columns if c in ("doc_id", "text", "source")]
+    rest = [c for c in docs.columns if c not in own]
+    carried = docs.select(*own, F.struct(F.lit(0).alias("_none"), *[F.col(f"`{c}`") for c in rest]).alias("_rest"))
+    taken = mix(carried, **options)
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
     cut = F.when(F.col("extra") >= F.col("size"), F.col("text")).otherwise(
         F.array_join(F.slice(words, F.lit(1), F.col("extra").cast("int")), " "))
@@ -115,5 +118,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         F.array_repeat(F.col("text"), F.col("whole").cast("int")),
         F.when(F.col("extra") > 0, F.array(cut)).otherwise(F.array().cast("array<string>")),
     )
-    out = [F.col(c) if c != "text" else F.col("copy").alias("text") for c in docs.columns]
-    return taken.filter("taken > 0").withColumn("copy", F.explode(copies)).select(*out)
+    names = {"text": F.col("_copy")} | {c: F.col("_rest").getField(c) for c in rest}
+    return taken.filter("taken > 0").withColumn("_copy", F.explode(copies)).select(
+        *[names.get(c, F.col(c)).alias(c) for c in docs.columns])
