@@ -420,11 +420,26 @@ gone AS (
 """
 
 
-@query(pairs_sql() + f"""
-SELECT i AS InvoiceNumber, s AS SkuId, {friendly('f')} AS "Field Name", a AS "Our Value", b AS "{R} Value",
-       'Mismatch in ' || f AS Explanation, '' AS "Suggested Action", '' AS Reason, CAST(1 AS BIGINT) AS PairCount FROM diff
-UNION ALL
-SELECT i, s, 'Row', i || '|' || s, '', e, '', e, CAST(1 AS BIGINT) FROM gone""")
+def sides_sql() -> str:
+    """Per side, key, field and value: its rows, and the row pairs in which it differs."""
+    def counted(side: str) -> str:
+        return "\nUNION ALL ".join(f"SELECT i, s, '{f}' AS f, {f} AS v FROM {side}" for f in fixed.DIFF_FIELDS)
+    return pairs_sql() + f""",
+ln AS (SELECT i, s, f, v, count(*) AS n FROM ({counted('l')}) GROUP BY i, s, f, v),
+rn AS (SELECT i, s, f, v, count(*) AS n FROM ({counted('r')}) GROUP BY i, s, f, v),
+ld AS (SELECT i, s, f, a AS v, count(*) AS pairs FROM diff GROUP BY i, s, f, a),
+rd AS (SELECT i, s, f, b AS v, count(*) AS pairs FROM diff GROUP BY i, s, f, b),
+lone AS (SELECT i, s, '{L}' AS side, e, (SELECT count(*) FROM l WHERE l.i = gone.i AND l.s = gone.s) AS n FROM gone WHERE e = '{MISSING_RIGHT}'
+  UNION ALL SELECT i, s, '{R}', e, (SELECT count(*) FROM r WHERE r.i = gone.i AND r.s = gone.s) FROM gone WHERE e = '{MISSING_LEFT}'),
+shown AS (
+  SELECT i AS InvoiceNumber, s AS SkuId, {friendly('f')} AS "Field Name", '{L}' AS Side, v AS "Our Value", '' AS "{R} Value",
+         'Mismatch in ' || f AS Explanation, '' AS "Suggested Action", '' AS Reason, n AS RowCount, pairs AS PairCount FROM ld JOIN ln USING (i, s, f, v)
+  UNION ALL SELECT i, s, {friendly('f')}, '{R}', '', v, 'Mismatch in ' || f, '', '', n, pairs FROM rd JOIN rn USING (i, s, f, v)
+  UNION ALL SELECT i, s, 'Row', side, i || '|' || s, '', e, '', e, n, CAST(1 AS BIGINT) FROM lone)
+"""
+
+
+@query(sides_sql() + "SELECT * FROM shown")
 def field_diff(spark, sf_dir):
     return fd.field_differences(*lines(spark, sf_dir))
 
@@ -441,51 +456,49 @@ def field_diff_count(spark, sf_dir):
 
 
 def hot_sql() -> str:
-    """Per key, field and distinct left value: pairs that differ, by sliding counts."""
+    """Per key, field and distinct value: rows and differing pairs of either side, by sliding counts."""
     fields = ("Quantity", "Subtotal", "TaxTotal")
 
     def cells(text: str) -> str:
         return "\nUNION ALL ".join(
-            f"SELECT upper(InvoiceNumber) AS i, upper(SkuId) AS s, '{f}' AS f, {f} AS v FROM ({feeds.sql(text)}) x"
+            f"SELECT upper(InvoiceNumber) AS i, upper(SkuId) AS s, '{f}' AS f, {f} AS shown FROM ({feeds.sql(text)}) x"
             for f in fields)
     return f"""
-WITH lc AS (SELECT i, s, f, v, count(*) AS n FROM ({cells(feeds.LEFT_HOT)}) GROUP BY ALL),
-rc AS (SELECT i, s, f, TRY_CAST(v AS DECIMAL(18,6)) AS v, count(*) AS n FROM ({cells(feeds.RIGHT_HOT)}) GROUP BY ALL),
-rt AS (SELECT i, s, f, sum(n) AS m FROM rc GROUP BY ALL),
-both_sides AS (
-  SELECT i, s, f, CAST(v AS DECIMAL(18,6)) AS v, v AS shown, n AS ln, 0 AS rn FROM lc
-  UNION ALL SELECT i, s, f, v, NULL, 0, n FROM rc WHERE v IS NOT NULL),
+WITH held AS (
+  SELECT i, s, f, shown, TRY_CAST(shown AS DECIMAL(18,6)) AS v, sum(ln) AS ln, sum(rn) AS rn FROM (
+    SELECT *, 1 AS ln, 0 AS rn FROM ({cells(feeds.LEFT_HOT)}) UNION ALL SELECT *, 0, 1 FROM ({cells(feeds.RIGHT_HOT)}))
+  GROUP BY i, s, f, shown),
+totals AS (SELECT i, s, f, sum(ln) AS lt, sum(rn) AS rt FROM held GROUP BY i, s, f),
 near AS (
-  SELECT *, sum(rn) OVER (PARTITION BY i, s, f ORDER BY v
-                          RANGE BETWEEN 0.010000 PRECEDING AND 0.010000 FOLLOWING) AS eq FROM both_sides),
+  SELECT *, sum(rn) OVER w AS req, sum(ln) OVER w AS leq FROM held
+  WINDOW w AS (PARTITION BY i, s, f ORDER BY v RANGE BETWEEN 0.010000 PRECEDING AND 0.010000 FOLLOWING)),
 counted AS (
-  SELECT i, s, f, shown, CAST(ln AS BIGINT) AS ln, CAST(m AS BIGINT) AS m, CAST(ln * (m - eq) AS BIGINT) AS pairs
-  FROM near JOIN rt USING (i, s, f) WHERE shown IS NOT NULL)
+  SELECT i, s, f, shown, CAST(ln AS BIGINT) AS ln, CAST(rn AS BIGINT) AS rn, CAST(rt AS BIGINT) AS rt,
+         CAST(ln * (rt - req) AS BIGINT) AS lp, CAST(rn * (lt - leq) AS BIGINT) AS rp
+  FROM near JOIN totals USING (i, s, f))
 """
 
 
 @query(hot_sql() + """
-SELECT i AS InvoiceNumber, s AS SkuId, f AS "Field", CAST(sum(ln) AS BIGINT) AS left_rows, max(m) AS right_rows,
-       CAST(sum(pairs) AS BIGINT) AS pairs
-FROM counted GROUP BY ALL HAVING sum(pairs) > 0""".replace("GROUP BY ALL", "GROUP BY i, s, f"))
+SELECT i AS InvoiceNumber, s AS SkuId, f AS "Field", CAST(sum(ln) AS BIGINT) AS left_rows, max(rt) AS right_rows,
+       CAST(sum(lp) AS BIGINT) AS pairs
+FROM counted GROUP BY i, s, f HAVING sum(lp) > 0""")
 def field_diff_hot_keys(spark, sf_dir):
     return fd.difference_counts(*hot_lines(spark, sf_dir))
 
 
 @query(hot_sql() + f"""
-SELECT i AS InvoiceNumber, s AS SkuId, {friendly('f')} AS "Field Name", shown AS "Our Value", CAST(NULL AS VARCHAR) AS "{R} Value",
-       'Mismatch in ' || f || ' (' || pairs || ' row pairs)' AS Explanation, '' AS "Suggested Action", '' AS Reason,
-       pairs AS PairCount FROM counted WHERE pairs > 0""")
+SELECT i AS InvoiceNumber, s AS SkuId, {friendly('f')} AS "Field Name", '{L}' AS Side, shown AS "Our Value", '' AS "{R} Value",
+       'Mismatch in ' || f AS Explanation, '' AS "Suggested Action", '' AS Reason, ln AS RowCount, lp AS PairCount FROM counted WHERE lp > 0
+UNION ALL SELECT i, s, {friendly('f')}, '{R}', '', shown, 'Mismatch in ' || f, '', '', rn, rp FROM counted WHERE rp > 0""")
 def field_diff_by_value(spark, sf_dir):
-    return fd.field_differences(*hot_lines(spark, sf_dir), replace(OPTIONS, pair_limit=0))
+    return fd.field_differences(*hot_lines(spark, sf_dir))
 
 
-@query(pairs_sql() + f"""
-SELECT i AS InvoiceNumber, s AS SkuId, f AS "Field Name", a AS "Our Value" FROM diff WHERE lower('Mismatch in ' || f) LIKE '%in tot%'
-UNION ALL SELECT i, s, 'Row', i || '|' || s FROM gone WHERE lower(e) LIKE '%in tot%'""")
+@query(sides_sql() + """SELECT InvoiceNumber, SkuId, "Field Name", Side, "Our Value" FROM shown WHERE lower(Explanation) LIKE '%in tot%'""")
 def diff_search(spark, sf_dir):
     found = fi.search(fd.field_differences(*lines(spark, sf_dir)), "in Tot")
-    return found.select(*fd.KEYS, "Field Name", "Our Value")
+    return found.select(*fd.KEYS, "Field Name", "Side", "Our Value")
 
 
 # --- Positional comparison ---------------------------------------------------------------------

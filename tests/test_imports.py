@@ -221,5 +221,5 @@ def test_imported_feeds_compare(spark, tmp_path):
 
 
 def test_options_from_parts():
-    assert replace(Options(), pair_limit=3).pair_limit == 3
+    assert replace(Options(), max_detailed_rows=3).max_detailed_rows == 3
     assert Options().missing_left == "Missing in MSPHub"

@@ -1,16 +1,18 @@
 """Field comparison per composite key (invoice number and SKU), many rows to many.
 
-Every left row of a key is compared with every right row of it, so a key's
-result grows with the product of its rows. Keys whose product stays within
-``Options.pair_limit`` are listed pair by pair through an equi join. For larger
-keys the same result is given per distinct left value with the exact number of
-row pairs that differ, computed without forming pairs: see ``equal_counts``.
+Every left row of a key is compared with every right row of it, so the row pairs grow
+with the product of a key's rows. They are counted exactly and never formed: values are
+made distinct per key and field, and a sliding sum over ranges of amounts counts the
+other side's rows within tolerance (``value_counts``). The result has one shape and one
+plan for keys of any size: per key, field and distinct value of either side its rows and
+the row pairs in which it differs, and one row per key found on one side only.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import fixed_values as fixed
 from ..functions import numbers as num
@@ -20,10 +22,6 @@ from .schema import ROW
 
 KEYS = ("InvoiceNumber", "SkuId")
 _UNITS = 1_000_000  # an amount of six decimals as a whole number
-_BUCKET = _UNITS
-_SALTS = 32
-# Keys holding at least this share of all rows: there can be no more of them than its inverse.
-_HEAVY_SHARE = 10_000
 
 
 def _key(df: DataFrame, name: str) -> Column:
@@ -56,183 +54,135 @@ def key_rows(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def missing_keys(left: DataFrame, right: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """One row per key found on one side only."""
-    return _missing(key_rows(left, right), options)
+    return _missing(key_rows(left, right), options).select(*KEYS, "Explanation")
 
 
 def _missing(keys: DataFrame, options: Options) -> DataFrame:
     side = F.when(F.col("left_rows") == 0, options.missing_left).otherwise(options.missing_right)
-    return keys.where("left_rows = 0 OR right_rows = 0").select(*KEYS, side.alias("Explanation"))
+    found = F.when(F.col("left_rows") == 0, options.right_label).otherwise(options.left_label)
+    return keys.where("left_rows = 0 OR right_rows = 0").select(
+        *KEYS, side.alias("Explanation"), found.alias("Side"), (F.col("left_rows") + F.col("right_rows")).alias("RowCount"))
 
 
-def _is_hot(options: Options) -> Column:
-    # In doubles: the product of two row counts may pass the long range.
-    return F.col("left_rows").cast("double") * F.col("right_rows") > options.pair_limit
+def _cells(df: DataFrame, fields: list[str], is_left: bool) -> DataFrame:
+    cells = F.array(*[F.struct(F.lit(f).alias("Field"), F.col(f).alias("value")) for f in fields])
+    return _side(df, fields).select(*KEYS, ROW, F.lit(is_left).alias("is_left"), F.explode(cells).alias("c")).select(
+        *KEYS, ROW, "is_left", "c.*")
 
 
-def values_equal(a: Column, b: Column, options: Options = DEFAULTS) -> Column:
-    """Within tolerance when both are amounts (blank is 0), else same text ignoring case."""
-    a, b = tx.strip(a), tx.strip(b)
-    da, db = num.money_decimal(a), num.money_decimal(b)
-    near = F.abs(da - db) <= F.lit(options.numeric_tolerance)
-    return F.when(da.isNotNull() & db.isNotNull(), near).otherwise(F.upper(a) == F.upper(b))
+def _profile(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct cell values per key and field with each side's rows and first row: combined before the shuffle."""
+    fields = _fields(left, right)
+    rows = _cells(left, fields, True).unionByName(_cells(right, fields, False))
+    mine, theirs = F.col("is_left"), ~F.col("is_left")
+    return rows.groupBy(*KEYS, "Field", "value").agg(
+        F.count_if(mine).alias("left_rows"), F.count_if(theirs).alias("right_rows"),
+        F.min(F.when(mine, F.col(ROW))).alias("left_first"), F.min(F.when(theirs, F.col(ROW))).alias("right_first"),
+    )
 
 
-def _listed_pairs(left: DataFrame, right: DataFrame, fields: list[str], options: Options) -> DataFrame:
-    """Differing fields of every row pair. Only fields whose texts differ leave the join's row."""
-    l = left.select(*KEYS, F.struct(*fields).alias("l"), F.col(ROW).alias("lrow"))
-    r = right.select(*KEYS, F.struct(*fields).alias("r"), F.col(ROW).alias("rrow"))
-    cells = F.array_compact(F.array(*[
-        F.when(
-            F.col(f"l.{f}") != F.col(f"r.{f}"),
-            F.struct(F.lit(f).alias("Field"), F.col(f"l.{f}").alias("a"), F.col(f"r.{f}").alias("b")),
-        )
-        for f in fields
-    ]))
-    pairs = l.join(r, list(KEYS)).select(*KEYS, "lrow", "rrow", F.explode(cells).alias("c"))
-    return pairs.select(*KEYS, "lrow", "rrow", "c.*").where(~values_equal(F.col("a"), F.col("b"), options))
+def value_counts(left: DataFrame, right: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+    """Per key, field and distinct value: each side's rows, and how many of the other side's rows count as equal.
 
+    Amounts are equal within tolerance (blank is 0), other text when the same ignoring case.
+    Amounts are cut into ranges; values near a range's edge are copied to the neighbouring range,
+    and a sliding sum inside each range counts. Values are distinct, so a range holds a bounded
+    number of rows however many the key has.
+    """
+    tolerance = int(options.numeric_tolerance * _UNITS)
+    width = max(_UNITS, 4 * tolerance)
+    value = tx.strip(F.col("value"))
+    money = num.money_decimal(value)
+    units = T.DecimalType(34, 0)
+    measured = _profile(left, right).select(
+        "*",
+        F.coalesce((money * _UNITS).cast(units), F.lit(0).cast(units)).alias("units"),
+        F.when(money.isNull(), F.upper(value)).otherwise("").alias("text"),
+        money.isNotNull().alias("is_amount"),
+    )
 
-def _profile(df: DataFrame, fields: list[str]) -> DataFrame:
-    """Distinct cell values per key and field with their row counts: duplicates combine before the shuffle."""
-    cells = F.array(*[F.struct(F.lit(f).alias("Field"), F.col(f).alias("value")) for f in fields])
-    rows = df.select(*KEYS, F.explode(cells).alias("c")).select(*KEYS, "c.*")
-    return rows.groupBy(*KEYS, "Field", "value").agg(F.count(F.lit(1)).alias("n"))
+    def range_of(u: Column) -> Column:
+        return F.floor(u / F.lit(width)).cast(units)
+
+    u = F.col("units")
+    ranges = F.when(F.col("is_amount"), F.array_distinct(F.array(
+        range_of(u), range_of(u - tolerance), range_of(u + tolerance)))).otherwise(F.array(range_of(u)))
+    marks = measured.withColumn("range", F.explode(ranges)).withColumn(
+        "place", (u - F.col("range") * F.lit(width)).cast("long"))
+    group = [*KEYS, "Field", "is_amount", "text", "range"]
+    near = Window.partitionBy(*group).orderBy("place").rangeBetween(-tolerance, tolerance)
+    counted = marks.withColumns({
+        "right_equal": F.sum("right_rows").over(near), "left_equal": F.sum("left_rows").over(near),
+    }).where((F.col("place") >= 0) & (F.col("place") < width))
+    return counted.select(
+        *KEYS, "Field", "value", "left_rows", "right_rows", "left_first", "right_first", "left_equal", "right_equal")
 
 
-def equal_counts(left: DataFrame, right: DataFrame, options: Options = DEFAULTS) -> DataFrame:
-    """Per key, field and distinct left value: the right rows of the key that count as equal.
+def _pairs(left: DataFrame, right: DataFrame, keys: DataFrame, options: Options) -> DataFrame:
+    """``value_counts`` of the keys on both sides with the differing row pairs of each side's rows.
 
-    Forms no pairs. Amounts are whole numbers of millionths, cut into ranges of
-    one; right values near a range's edge are copied to the neighbouring range,
-    and a sliding sum inside each range counts the right rows within tolerance.
-    Values are distinct beforehand, so a range holds a bounded number of rows
-    however many the key has. Other text is counted by equal text.
+    Every field of a key has as many rows as the key: one row per key joins its values.
     """
-    fields = _fields(left, right)
-    tolerance = int(options.numeric_tolerance * _UNITS)
-    bucket = max(_BUCKET, 4 * tolerance)
-
-    def measured(df: DataFrame) -> DataFrame:
-        shown = _profile(_side(df, fields), fields)
-        value = tx.strip(F.col("value"))
-        money = num.money_decimal(value)
-        return shown.select(
-            *KEYS, "Field", "value", "n",
-            F.coalesce((money * _UNITS).cast("long"), F.lit(0)).alias("units"),
-            F.when(money.isNull(), F.upper(value)).otherwise("").alias("text"),
-            money.isNotNull().alias("is_amount"),
-        )
-
-    group = [*KEYS, "Field", "is_amount", "text"]
-    l = measured(left)
-    r = measured(right).groupBy(*group, "units").agg(F.sum("n").alias("n"))
-    low, high = F.col("units") - tolerance, F.col("units") + tolerance
-    copies = F.sequence(F.floor(low / bucket), F.floor(high / bucket))
-    none = F.lit(0).cast("long")
-    marks = l.select(
-        *group, F.floor(F.col("units") / bucket).alias("bucket"), "units", "value",
-        F.col("n").alias("left_rows"), none.alias("right_n"), F.lit(True).alias("is_left"),
-    ).unionByName(
-        r.select(
-            *group, F.explode(copies).alias("bucket"), "units", F.lit(None).cast("string").alias("value"),
-            none.alias("left_rows"), F.col("n").alias("right_n"), F.lit(False).alias("is_left"),
-        )
-    )
-    near = Window.partitionBy(*group, "bucket").orderBy("units").rangeBetween(-tolerance, tolerance)
-    counted = marks.withColumn("equal_rows", F.sum("right_n").over(near)).where("is_left")
-    return counted.select(*KEYS, "Field", "value", "left_rows", "equal_rows")
+    totals = keys.where("left_rows > 0 AND right_rows > 0").select(
+        *KEYS, F.col("left_rows").alias("left_total"), F.col("right_rows").alias("right_total"))
+    return value_counts(left, right, options).join(totals, list(KEYS)).withColumns({
+        "left_pairs": F.col("left_rows") * (F.col("right_total") - F.col("right_equal")),
+        "right_pairs": F.col("right_rows") * (F.col("left_total") - F.col("left_equal")),
+    })
 
 
-def difference_counts(left: DataFrame, right: DataFrame, options: Options = DEFAULTS) -> DataFrame:
-    """Differing row pairs per key and field, exact and without forming pairs, for keys of any size."""
-    equal = equal_counts(left, right, options).groupBy(*KEYS, "Field").agg(
-        F.sum("left_rows").alias("left_rows"),
-        F.sum(F.col("left_rows") * F.col("equal_rows")).alias("equal_pairs"),
-    )
-    # Every field of a key has as many right rows as the key: one row per key joins one row per field.
-    totals = key_rows(left, right).where("left_rows > 0 AND right_rows > 0").select(*KEYS, "right_rows")
-    pairs = F.col("left_rows") * F.col("right_rows") - F.col("equal_pairs")
-    return (
-        equal.join(totals, list(KEYS))
-        .select(*KEYS, "Field", "left_rows", "right_rows", pairs.alias("pairs"))
-        .where("pairs > 0")
-    )
+def _difference_counts(left: DataFrame, right: DataFrame, keys: DataFrame, options: Options) -> DataFrame:
+    return _pairs(left, right, keys, options).groupBy(*KEYS, "Field").agg(
+        F.sum("left_rows").alias("left_rows"), F.max("right_total").alias("right_rows"), F.sum("left_pairs").alias("pairs"),
+    ).where("pairs > 0")
 
 
-def _value_counts(left: DataFrame, right: DataFrame, totals: DataFrame, options: Options) -> DataFrame:
-    """Differing row pairs per distinct left value. Salted: a large key's values meet its total in many tasks."""
-    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
-    spread = totals.select(*KEYS, F.col("right_rows"), salts.alias("_salt"))
-    salted = equal_counts(left, right, options).withColumn("_salt", F.pmod(F.hash("value"), F.lit(_SALTS)))
-    pairs = F.col("left_rows") * (F.col("right_rows") - F.col("equal_rows"))
-    return (
-        salted.join(spread, [*KEYS, "_salt"])
-        .select(*KEYS, "Field", "value", pairs.alias("pairs"))
-        .where("pairs > 0")
-    )
+def difference_counts(left: DataFrame, right: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+    """Differing row pairs per key and field, exact and without forming pairs."""
+    return _difference_counts(left, right, key_rows(left, right), options)
 
 
 def field_differences(left: DataFrame, right: DataFrame, options: Options = DEFAULTS) -> DataFrame:
-    """Differing fields and one-sided keys.
+    """Differing values of either side and one-sided keys.
 
-    Columns: the two keys, field name, our value, their value, explanation,
-    suggested action, reason and PairCount. PairCount is 1 for a listed pair;
-    for a key above the pair limit a row stands for that many pairs and their
-    value is NULL. The sum of PairCount is the number of discrepancies.
+    Columns: the two keys, field name, side, our value, their value (empty on rows of the other
+    side), explanation with the value's first row number if rows are numbered, suggested action,
+    reason, RowCount and PairCount. A value's PairCount is the number of row pairs in which it
+    differs; the left side's values and the one-sided keys sum to the number of discrepancies.
     """
-    fields = _fields(left, right)
     keys = key_rows(left, right)
-    large = keys.where(_is_hot(options))
-    # The heaviest keys are at most 10,000 by their share of the rows, so they are split off by
-    # broadcast before any shuffle; a key below that share fits a task.
-    rows_of_key = F.col("left_rows") + F.col("right_rows")
-    total = keys.agg(F.sum(rows_of_key)).scalar()
-    is_heavy = rows_of_key * _HEAVY_SHARE >= total
-    heavy, rest = large.where(is_heavy).select(*KEYS), large.where(~is_heavy).select(*KEYS)
-
-    def split(side: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Rows of ordinary keys and rows of large keys."""
-        light = side.join(F.broadcast(heavy), list(KEYS), "left_anti")
-        hot = side.join(F.broadcast(heavy), list(KEYS), "left_semi")
-        return (
-            light.join(rest, list(KEYS), "left_anti"),
-            hot.unionByName(light.join(rest, list(KEYS), "left_semi")),
-        )
-
-    light_left, hot_left = split(_side(left, fields))
-    light_right, hot_right = split(_side(right, fields))
-    listed = _listed_pairs(light_left, light_right, fields, options)
-    counted = _value_counts(hot_left, hot_right, large, options)
-    other = f"{options.right_label} Value"
     empty = F.lit("")
-
-    rows = F.when(
-        F.col("lrow").isNotNull() & F.col("rrow").isNotNull(),
-        F.concat(F.lit(f" ({options.left_prefix} row "), F.col("lrow").cast("string"),
-                 F.lit(f", {options.right_prefix} row "), F.col("rrow").cast("string"), F.lit(")")),
-    ).otherwise("")
-    result = listed.select(
-        *KEYS, tx.friendly(F.col("Field")).alias("Field Name"), F.col("a").alias("Our Value"),
-        F.col("b").alias(other), F.concat(F.lit("Mismatch in "), F.col("Field"), rows).alias("Explanation"),
-        empty.alias("Suggested Action"), empty.alias("Reason"), F.lit(1).cast("long").alias("PairCount"),
+    one = F.lit(1).cast("long")
+
+    def side(label: str, name: str, prefix: str, ours: Column, theirs: Column) -> Column:
+        first = F.col(f"{name}_first").cast("string")
+        where = F.coalesce(F.concat(F.lit(f" ({prefix} row "), first, F.lit(")")), empty)
+        return F.struct(
+            F.lit(label).alias("Side"), ours.alias("ours"), theirs.alias("theirs"), where.alias("where"),
+            F.col(f"{name}_rows").alias("RowCount"), F.col(f"{name}_pairs").alias("PairCount"))
+
+    value = F.col("value")
+    found = _pairs(left, right, keys, options).select(*KEYS, "Field", F.explode(F.array(
+        side(options.left_label, "left", options.left_prefix, value, empty),
+        side(options.right_label, "right", options.right_prefix, empty, value),
+    )).alias("s")).where("s.PairCount > 0")
+    their_name = f"{options.right_label} Value"
+    result = found.select(
+        *KEYS, tx.friendly(F.col("Field")).alias("Field Name"), "s.Side", F.col("s.ours").alias("Our Value"),
+        F.col("s.theirs").alias(their_name), F.concat(F.lit("Mismatch in "), F.col("Field"), F.col("s.where")).alias("Explanation"),
+        empty.alias("Suggested Action"), empty.alias("Reason"), "s.RowCount", "s.PairCount",
     )
-    result = result.unionByName(counted.select(
-        *KEYS, tx.friendly(F.col("Field")).alias("Field Name"), F.col("value").alias("Our Value"),
-        F.lit(None).cast("string").alias(other),
-        F.concat(F.lit("Mismatch in "), F.col("Field"), F.lit(" ("), F.col("pairs").cast("string"),
-                 F.lit(" row pairs)")).alias("Explanation"),
-        empty.alias("Suggested Action"), empty.alias("Reason"), F.col("pairs").alias("PairCount"),
-    ))
     return result.unionByName(_missing(keys, options).select(
-        *KEYS, F.lit("Row").alias("Field Name"), F.concat_ws("|", *KEYS).alias("Our Value"),
-        empty.alias(other), "Explanation", empty.alias("Suggested Action"),
-        F.col("Explanation").alias("Reason"), F.lit(1).cast("long").alias("PairCount"),
+        *KEYS, F.lit("Row").alias("Field Name"), "Side", F.concat_ws("|", *KEYS).alias("Our Value"),
+        empty.alias(their_name), "Explanation", empty.alias("Suggested Action"),
+        F.col("Explanation").alias("Reason"), "RowCount", one.alias("PairCount"),
     ))
 
 
 def discrepancy_count(left: DataFrame, right: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """One row: differing pairs plus one-sided keys, with the summary line."""
-    total = field_differences(left, right, options).agg(
-        F.coalesce(F.sum("PairCount"), F.lit(0)).cast("long").alias("discrepancies")
-    )
+    keys = key_rows(left, right)
+    counts = _difference_counts(left, right, keys, options).select("pairs").unionAll(
+        keys.where("left_rows = 0 OR right_rows = 0").select(F.lit(1).cast("long").alias("pairs")))
+    total = counts.agg(F.coalesce(F.sum("pairs"), F.lit(0)).cast("long").alias("discrepancies"))
     return total.withColumn("summary", F.format_string("Discrepancies found: %d", "discrepancies"))

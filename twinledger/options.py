@@ -35,10 +35,6 @@ class Options:
     min_partner_discount: Decimal = Decimal("18.0")
     max_partner_discount: Decimal = Decimal("20.1")
 
-    # Field comparison: a key with more row pairs than this is reported per
-    # distinct left value with an exact pair count, not pair by pair.
-    pair_limit: int = 1_000_000
-
     # Labels.
     left_label: str = fixed.LEFT_LABEL
     right_label: str = fixed.RIGHT_LABEL
