@@ -3,84 +3,94 @@
 A tokenizer's file of the tokenizers library is loaded in each Python worker. Its
 encoding never joins what stands before a run of white space with what stands after
 the run's begin, so a text is cut there into units, equal units are encoded once and
-looked up afterwards. The look-up table of a worker has at most ``_UNITS`` entries
-and is emptied when full: that bounds memory and changes no result.
+looked up afterwards; marks behind a word of letters are units of their own. Such words
+are one pre-token each, so the file's model is asked directly for their ids. A worker's
+look-up table begins anew at ``_UNITS`` entries and keeps one older generation: that
+bounds memory and changes no result.
 """
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
+
+_UNITS = 250_000
+_LONGEST = 100  # bytes of a unit that is kept
+#: A word of Latin letters with nothing but sentence marks behind it is a unit, and no token goes on from it to these marks.
+_LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+_WORD = re.compile(b" ?" + _LETTERS)
+_WITH_BLANKS = re.compile(
+    rb"\n(?=[A-Za-z\xc3])| ?" + _LETTERS + rb"(?=[.,;:!?|]*(?:[ \n]|\Z))|[ \n]*[^ \n]+|[ \n]+")
+_WITHOUT_BLANKS = re.compile(_LETTERS + rb"(?=[.,;:!?|]*(?:[ \t-\r]|\Z))|[^ \t-\r]+")
+#: White space other than blank and line feed, in any library's view: a text that has some is encoded as a whole.
+_ODD_BLANK = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 
-import numpy as np
 
-_UNITS = 600_000
-_LONGEST = 100  # of a unit that is kept
-_BLANK_THEN_WORD = re.compile(rb"[ \n]*[^ \n]+|[ \n]+")
-#: A word of letters that is followed by sentence marks: these are encoded apart.
-_WORD_AND_MARKS = re.compile("([ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]+)")
-#: White space other than blank and line feed, in any library's view: no cut beside it.
-_ODD_BLANK = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies spell bytes: visible ones as themselves, the others as U+0100 and on."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_SPELT = _byte_letters()
+
+
+class _Units(dict):
+    """The ids of units, found when first asked for."""
+
+    def __init__(self, encoder: Encoder, older: dict[bytes, bytes]):
+        self.encoder, self.older = encoder, older
+
+    def __missing__(self, unit: bytes) -> bytes:
+        ids = self.older.get(unit)
+        if ids is None:
+            ids = self.encoder.unit(unit)
+        if len(unit) <= _LONGEST:
+            self[unit] = ids
+        return ids
 
 
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, with one tokenizer file.
 
-    ``blanks`` says whether white space belongs to tokens (byte-level vocabularies) or
-    is dropped (vocabularies with word ends).
+    ``blanks`` says whether white space belongs to tokens and letters keep their case (byte-level
+    vocabularies), or white space is dropped and letters are lower-cased (vocabularies with word ends).
     """
 
     def __init__(self, path: str, blanks: bool):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.blanks = blanks
-        self.known: dict[bytes, bytes | None] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def _units(self, text: str) -> list[bytes]:
-        raw = text.encode("utf-8", "replace")
-        return _BLANK_THEN_WORD.findall(raw) if self.blanks else raw.split()
-
-    def _learn(self, units: Iterable[bytes]) -> dict[bytes, bytes | None]:
-        """The ids of new units; None for those that can't be cut off from their neighbours."""
-        parts: dict[bytes, tuple[str, ...]] = {}
-        learnt: dict[bytes, bytes | None] = {}
-        for unit in units:
-            text = unit.decode("utf-8")
-            if _ODD_BLANK.search(text):
-                learnt[unit] = None
-            else:
-                m = _WORD_AND_MARKS.fullmatch(text)
-                parts[unit] = m.groups() if m else (text,)
-        words = {w: self.known.get(w.encode()) for found in parts.values() for w in found}
-        new = [w for w, ids in words.items() if ids is None]
-        words.update(zip(new, self.whole(new)))
-        self.known.update((w.encode(), words[w]) for w in new if len(w) <= _LONGEST)
-        for unit, found in parts.items():
-            learnt[unit] = b"".join([words[w] for w in found])
-        self.known.update((u, ids) for u, ids in learnt.items() if len(u) <= _LONGEST)
-        return learnt
+        self.units = _Units(self, {})
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def unit(self, unit: bytes) -> bytes:
+        if not _WORD.fullmatch(unit):
+            return self.whole(unit.decode("utf-8"))
+        if not self.blanks and (lower := unit.decode().lower().encode()) != unit:
+            return self.units[lower]
+        spelt = unit.decode("latin-1").translate(_SPELT)
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text."""
-        if len(self.known) > _UNITS:
-            self.known = {}
-        known = self.known
-        cut = [self._units(t) for t in texts]
-        if fresh := {u for units in cut for u in units if u not in known}:
-            learnt = self._learn(fresh)
-            if any(len(u) > _LONGEST for u in fresh):
-                known = known | learnt
-        for text, units in zip(texts, cut):
-            ids = [known[u] for u in units]
-            yield self.whole([text])[0] if None in ids else b"".join(ids)
+        for text in texts:
+            if _ODD_BLANK.search(text):
+                yield self.whole(text)
+                continue
+            if len(self.units) > _UNITS:
+                self.units = _Units(self, dict(self.units))
+            raw = text.encode("utf-8", "replace")
+            cut = _WITH_BLANKS if self.blanks else _WITHOUT_BLANKS
+            yield b"".join(map(self.units.__getitem__, cut.findall(raw)))
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
