@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 from dataclasses import replace
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -203,3 +204,20 @@ def test_priority(table):
     left = table(K, line("a", total="100"), line("b", total="11"), line("c", total="100"))
     rows, _ = run(left, table(K, line("a"), line("b"), line("c", total="100")), options)
     assert {r["CustomerDomainName"]: r["Priority"] for r in rows} == {"A": "High", "B": "Low", "C": "Low"}
+
+
+@pytest.mark.parametrize("a, b", [
+    ("1000000000000", "2000000000000"), ("1E13", "7E13"), ("7.9E28", "7.8E28"), ("99999999999999999999.01", "99999999999999999999.05"),
+])
+def test_large_amounts_differ(table, a, b):
+    h = "CustomerDomainName,ProductId,Quantity,UnitPrice,Subtotal,TaxTotal,Total"
+    left, right = (table(h, ("d", "p", "1", "1", "1", "0", total)) for total in (a, b))
+    row = bk.compare_business_keys(left, right).first()
+    assert row["Status"] == "Mismatched"
+    assert bk.compare_business_keys(left, left).first()["Status"] == "Matched"
+
+
+def test_large_typed_amounts_differ(spark):
+    kind = "CustomerDomainName string, ProductId string, Quantity int, Total decimal(20,2)"
+    left, right = (spark.createDataFrame([("d", "p", 1, Decimal(t))], kind) for t in (10**13, 3 * 10**13))
+    assert bk.compare_business_keys(left, right).first()["Status"] == "Mismatched"

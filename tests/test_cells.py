@@ -1,4 +1,4 @@
-from decimal import Decimal
+from decimal import Context, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,7 +26,9 @@ NUMBERS = [
     ("-0", 0, 0, 0, 0, "0"),
     ("0012.50", "12.50", "12.50", "12.50", 0, "12.50"),
     ("+5-", None, None, None, 0, "-5"),
-    ("1234567890123", None, None, None, 0, "1234567890123"),
+    ("1234567890123", "1234567890123", "1234567890123", "1234567890123", 0, "1234567890123"),
+    ("7.9E28", "79000000000000000000000000000", None, "79000000000000000000000000000", 0, "79000000000000000000000000000"),
+    ("123456789012345678901234567890123", None, None, None, 0, "123456789012345678901234567890123"),
 ]
 
 
@@ -39,7 +41,7 @@ def test_number_grammars(spark):
     ).orderBy("i").collect()
 
     def amount(x):
-        return None if x is None else Decimal(str(x)).quantize(Decimal("0.000001"))
+        return None if x is None else Decimal(str(x)).quantize(Decimal("0.000001"), context=Context(prec=40))
     for row, (cell, lenient, rule, money, whole, text) in zip(got, NUMBERS):
         assert tuple(row)[1:] == (amount(lenient), amount(rule), amount(money), whole, text), cell
 

@@ -141,8 +141,9 @@ def test_key_fallback_and_reject(table):
 
 
 def test_out_of_range_amount_is_reported(table):
-    rows = imports.normalise_findings(table("Total", ("1234567890123.5",), ("999999999999",))).collect()
-    assert [r["description"] for r in rows] == ["Number '1234567890123.5' is out of range."]
+    rows = imports.normalise_findings(table("Total", ("123456789012345678901234567890123",), ("1E33",), ("999999999999",), ("1E13",))).collect()
+    assert [r["description"] for r in rows] == [
+        "Number '123456789012345678901234567890123' is out of range.", "Number '1E33' is out of range."]
 
 
 def test_sources(spark, tmp_path):

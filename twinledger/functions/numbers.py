@@ -1,9 +1,9 @@
 """Numbers held as text, and numbers shown as text.
 
-Amounts are DECIMAL(18,6): sums and tolerances are exact. Four grammars are
-accepted, from the lenient feed number to the strict whole number; none raises,
-unreadable text is NULL. A value of more than 12 integer digits is NULL too and
-is reported by the ingest findings.
+Amounts are DECIMAL(38,6): sums and tolerances are exact, and every value of a 128-bit
+decimal number (up to 7.9E28) fits. Four grammars are accepted, from the lenient feed
+number to the strict whole number; none raises, unreadable text is NULL. A value of more
+than 32 integer digits is NULL too and is reported by the ingest findings.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from . import text as tx
 
-AMOUNT = T.DecimalType(18, 6)
-TOTAL = T.DecimalType(28, 6)
+AMOUNT = T.DecimalType(38, 6)
+TOTAL = AMOUNT
 
 # Accepted number formats.
 _GROUPED = r"(?:\d[\d,]*\.?\d*|\.\d+)"
@@ -123,7 +123,8 @@ def _only_number_characters(c: Column) -> Column:
 
 
 def _canonical(c: Column) -> Column:
-    exact = F.call_function("format_number", _read(c, T.DecimalType(38, 10)), F.lit("0.##########"))
+    exact = F.coalesce(*[  # the narrower scale holds the greater numbers
+        F.call_function("format_number", _read(c, kind), F.lit("0.##########")) for kind in (T.DecimalType(38, 10), AMOUNT)])
     return (
         F.when(c.rlike(CANONICAL), c)
         .when(c.rlike(LENIENT) & c.rlike("[eE]"), exact)

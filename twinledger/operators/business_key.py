@@ -30,17 +30,15 @@ def _measures(df: DataFrame) -> dict[str, Column]:
         "Subtotal": num.amount(df, "Subtotal", "PartnerSubTotal"),
         "Total": num.amount(df, "Total", "PartnerTotal"),
         "TaxTotal": num.amount(df, "TaxTotal", "PartnerTaxTotal"),
-        "Weighted": num.amount(df, "UnitPrice", "PartnerUnitPrice") * quantity,
+        "Weighted": F.try_multiply(num.amount(df, "UnitPrice", "PartnerUnitPrice"), quantity),
     }
 
 
 def _one_side(df: DataFrame, is_left: bool) -> DataFrame:
     keys = [tx.key(tx.cell(df, k)).alias(k) for k in KEYS]
     values = _measures(df)
-    weighted = "decimal(37,12)"
-    empty = {n: F.lit(None).cast(weighted if n == "Weighted" else num.AMOUNT) for n in _MEASURES}
-    mine = [(c.cast(weighted) if n == "Weighted" else c) for n, c in values.items()]
-    none = list(empty.values())
+    mine = list(values.values())
+    none = [F.lit(None).cast(num.AMOUNT)] * len(mine)
     first, second = (mine, none) if is_left else (none, mine)
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
     return df.select(

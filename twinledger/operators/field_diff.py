@@ -10,9 +10,11 @@ the row pairs in which it differs, and one row per key found on one side only.
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import fixed_values as fixed
 from ..functions import numbers as num
@@ -90,30 +92,30 @@ def value_counts(left: DataFrame, right: DataFrame, options: Options = DEFAULTS)
     number of rows however many the key has.
     """
     tolerance = int(options.numeric_tolerance * _UNITS)
-    width = max(_UNITS, 4 * tolerance)
+    margin = Decimal(tolerance) / _UNITS
+    width = max(1, math.ceil(4 * margin))
     value = tx.strip(F.col("value"))
     money = num.money_decimal(value)
-    units = T.DecimalType(34, 0)
     measured = _profile(left, right).select(
         "*",
-        F.coalesce((money * _UNITS).cast(units), F.lit(0).cast(units)).alias("units"),
+        F.coalesce(money, F.lit(0).cast(num.AMOUNT)).alias("money"),
         F.when(money.isNull(), F.upper(value)).otherwise("").alias("text"),
         money.isNotNull().alias("is_amount"),
     )
 
-    def range_of(u: Column) -> Column:
-        return F.floor(u / F.lit(width)).cast(units)
+    def range_of(m: Column) -> Column:
+        return F.floor(m if width == 1 else m / F.lit(width)).cast("decimal(38,0)")
 
-    u = F.col("units")
+    m = F.col("money")
     ranges = F.when(F.col("is_amount"), F.array_distinct(F.array(
-        range_of(u), range_of(u - tolerance), range_of(u + tolerance)))).otherwise(F.array(range_of(u)))
+        range_of(m), range_of(m - F.lit(margin)), range_of(m + F.lit(margin))))).otherwise(F.array(range_of(m)))
     marks = measured.withColumn("range", F.explode(ranges)).withColumn(
-        "place", (u - F.col("range") * F.lit(width)).cast("long"))
+        "place", ((m - F.col("range") * F.lit(width)) * _UNITS).cast("long"))
     group = [*KEYS, "Field", "is_amount", "text", "range"]
     near = Window.partitionBy(*group).orderBy("place").rangeBetween(-tolerance, tolerance)
     counted = marks.withColumns({
         "right_equal": F.sum("right_rows").over(near), "left_equal": F.sum("left_rows").over(near),
-    }).where((F.col("place") >= 0) & (F.col("place") < width))
+    }).where((F.col("place") >= 0) & (F.col("place") < width * _UNITS))
     return counted.select(
         *KEYS, "Field", "value", "left_rows", "right_rows", "left_first", "right_first", "left_equal", "right_equal")
 

@@ -78,8 +78,9 @@ def normalise_findings(raw: DataFrame, file_name: str = "") -> DataFrame:
             rules.append(finding(
                 (c != "") & num.is_unreadable_number(c), level="Error", rule="Q7", column=name, raw=c,
                 description=F.concat(F.lit("Invalid numeric '"), c, F.lit("' – unable to parse.")), **common))
+            # Twelve characters without an exponent always fit.
             rules.append(finding(
-                (F.length(c) > 12) & ~num.is_unreadable_number(c) & num.number_text(c).try_cast(num.AMOUNT).isNull(),
+                ((F.length(c) > 12) | c.rlike("[eE]")) & ~num.is_unreadable_number(c) & num.number_text(c).try_cast(num.AMOUNT).isNull(),
                 level="Error", rule="Q7", column=name, raw=c,
                 description=F.concat(F.lit("Number '"), c, F.lit("' is out of range.")), **common))
     return collect_findings(cells, rules)
