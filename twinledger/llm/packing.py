@@ -204,18 +204,24 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 1024, end: in
     pieces = whole.unionByName(tails).groupBy("part", "place").agg(F.collect_list("piece").alias("pieces"))
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
-    kinds = [pa.int64()] * 7 + [pa.binary()]
 
     def cut(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                for p in sorted(row["pieces"], key=lambda p: p["start"]):
-                    piece = row["ids"][2 * p["start"]:2 * (p["start"] + p["length"])]
-                    wide = bytearray(2 * len(piece))
-                    wide[0::4], wide[1::4] = piece[0::2], piece[1::2]
-                    out.append((row["doc_id"], p["start"], p["length"], zlib.crc32(wide), row["n"], p["sequence_id"], p["offset"], piece))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+            found = batch.column("pieces")
+            flat = found.flatten()
+            doc = np.repeat(np.arange(len(found)), np.diff(found.offsets.to_numpy()))
+            start, length = flat.field("start").to_numpy(), flat.field("length").to_numpy()
+            ids, out, sums, held = batch.column("ids"), [], [], -1
+            for d, a, n in zip(doc.tolist(), start.tolist(), length.tolist()):
+                if d != held:
+                    held, raw = d, np.frombuffer(ids[d].as_buffer(), "<u2")
+                    wide = raw.astype("<u4")
+                out.append(raw[a:a + n].tobytes())
+                sums.append(zlib.crc32(wide[a:a + n]))
+            at = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id").take(at), flat.field("start"), flat.field("length"), pa.array(sums, pa.int64()),
+                batch.column("n").take(at), flat.field("sequence_id"), flat.field("offset"), pa.array(out, pa.binary())], names)
 
     return table.join(pieces, ["part", "place"]).select("doc_id", "ids", "n", "pieces").mapInArrow(
         cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -16,7 +16,7 @@ import re
 from array import array
 from collections.abc import Iterator
 
-_UNITS = 250_000
+_UNITS = 300_000
 _LONGEST = 100  # bytes of a unit that is kept
 #: A word of Latin letters with nothing but sentence marks behind it is a unit, and no token goes on from it to these marks.
 _LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
