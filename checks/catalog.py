@@ -5,6 +5,7 @@ Spark results show amounts as DOUBLE, so both engines return the same types.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
@@ -507,8 +508,7 @@ def diff_search(spark, sf_dir):
 def positions(spark, sf_dir):
     def numbered(text: str) -> DataFrame:
         feed = feeds.frame(spark, sf_dir, text)
-        bucket = F.floor(F.col("position") / 1_000_000)
-        return ordinals.bucketed_ordinals(feed, ["position"], bucket).drop("position")
+        return ordinals.bucketed_ordinals(feed, ["position"]).drop("position")
     return numbered(feeds.LEFT_POSITIONS), numbered(feeds.RIGHT_POSITIONS)
 
 
@@ -858,9 +858,20 @@ def normalise_date(spark, sf_dir):
 # --- Files ------------------------------------------------------------------------------------------------
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a local session without one gets its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share.")
+        folder = tempfile.mkdtemp(prefix="twinledger-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def as_csv(feed: DataFrame) -> str:
     """Writes a feed as CSV files to a new folder beside the checkpoints, which all executors share."""
-    folder = f"{ordinals.ensure_checkpoint_dir(feed.sparkSession)}/feed-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(feed.sparkSession)}/feed-{uuid.uuid4().hex}"
     writer = feed.write.option("header", True).option("escape", '"')
     writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
     return folder

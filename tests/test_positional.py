@@ -67,3 +67,15 @@ def test_bucketed_ordinals(spark):
     rows = ordinals.bucketed_ordinals(df, ["id"], F.floor(F.col("id") / 100)).collect()
     expected = {v: i + 1 for i, v in enumerate(v for v in range(5000) if v % 3)}
     assert {r["id"]: r["_row"] for r in rows} == expected
+
+
+def test_numbers_follow_the_data_and_keep_nulls(spark):
+    rows = [(None, 2), (None, 1), (5, 0), (7, 0), (7, 1)] + [(100 + i * i, 0) for i in range(200)]
+    for kind in ("long", "string"):
+        df = spark.createDataFrame(rows, "a long, b int").withColumn("a", F.col("a").cast(kind)).repartition(5)
+        found = sorted((r["n"], r["a"], r["b"]) for r in ordinals.running_number(df, ["a", "b"], "n").collect())
+        expected = sorted((tuple(r) for r in df.collect()), key=lambda r: (r[0] is not None, r[0] or 0 if kind == "long" else r[0] or "", r[1]))
+        assert found == [(i + 1, *r) for i, r in enumerate(expected)]
+    one = spark.createDataFrame([(None, 1)], "a long, b int")
+    assert [r["n"] for r in ordinals.running_number(one, ["a", "b"], "n").collect()] == [1]
+    assert ordinals.running_number(one.limit(0), ["a", "b"], "n").count() == 0

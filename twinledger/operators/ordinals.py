@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def file_ordinals(scan: DataFrame, row: str = "_row", file: str = "_file") -> DataFrame:
@@ -38,59 +38,44 @@ def file_ordinals(scan: DataFrame, row: str = "_row", file: str = "_file") -> Da
 
 
 def bucketed_ordinals(
-    df: DataFrame, order: Sequence[str], bucket: Column, row: str = "_row"
+    df: DataFrame, order: Sequence[str], bucket: Column | None = None, row: str = "_row"
 ) -> DataFrame:
-    """1-based position by ``order``, for a natural order given with a coarse bucket.
+    """1-based position by ``order``, for a natural order, by way of coarse buckets.
 
-    ``bucket`` must never decrease along the order (a day, a key divided by a
-    width). Rows are ranked inside their bucket and shifted by the counts of the
-    buckets before it; only the one row per bucket is ordered as a whole.
+    Without ``bucket`` the buckets are ranges of the first order column. A given one must never decrease along the order (a day, a key divided by a
+    width); NULL is a bucket of its own and comes first. Rows are ranked inside their
+    bucket and shifted by the counts of the buckets before it; only the one row per
+    bucket is ordered as a whole.
     """
-    tagged = df.withColumn("_bucket", bucket)
+    tagged = _by_range(df, order[0]) if bucket is None else df.withColumn("_bucket", bucket)
     sizes = tagged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    offsets = sizes.select(F.col("_bucket").alias("_of"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
     return (
         tagged.withColumn("_place", inside)
-        .join(offsets, "_bucket")
+        .join(offsets, F.col("_bucket").eqNullSafe(F.col("_of")))
         .withColumn(row, F.col("_before") + F.col("_place"))
-        .drop("_bucket", "_place", "_before")
+        .drop("_bucket", "_place", "_before", "_of")
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a scratch folder of its own only for a local session without one."""
-    context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share.")
-        folder = tempfile.mkdtemp(prefix="twinledger-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
+def _by_range(df: DataFrame, name: str, ranges: int = 1000) -> DataFrame:
+    """Adds a bucket that never decreases along a column: how many of its ``ranges`` - 1 percentiles lie below.
 
+    The percentiles are a scalar subquery over the same rows, so the bounds follow the data at any
+    scale; equal values share a bucket. NULL has none below. Text goes by its first two characters.
+    """
+    column, kind = F.col(f"`{name}`"), df.schema[name].dataType
+    if isinstance(kind, T.StringType):
+        return df.withColumn("_bucket", F.substring(column, 1, 2))
+    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    bounds = df.agg(F.percentile_approx(column, shares, 10 * ranges)).scalar()
+    below = F.size(F.filter(F.coalesce(F.col("_bounds"), F.array().cast(T.ArrayType(kind))), lambda b: b < column))
+    return df.withColumn("_bounds", bounds).withColumn("_bucket", below).drop("_bounds")
 
-def running_number(df: DataFrame, order: Sequence[str | Column], name: str = "Row Number") -> DataFrame:
-    """Numbers rows 1..n along a total order, for result tables shown as a list.
 
-    A range-partitioned sort, checkpointed so that both uses of it see the same
-    partitions, then per-partition offsets: one row per partition is ordered as
-    a whole.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    placed = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
-        .checkpoint()
-    )
-    sizes = placed.groupBy("_part").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    number = F.col("_before") + F.col("_id") - F.col("_first") + 1
-    return (
-        placed.join(offsets, "_part")
-        .select(number.alias(name), *[F.col(f"`{c}`") for c in df.columns])
-    )
+def running_number(df: DataFrame, order: Sequence[str], name: str = "Row Number") -> DataFrame:
+    """Numbers rows 1..n along ascending columns that order them totally, NULL first, for result tables shown as a list."""
+    numbered = bucketed_ordinals(df, order, row=name)
+    return numbered.select(F.col(f"`{name}`"), *[F.col(f"`{c}`") for c in df.columns])
