@@ -903,7 +903,7 @@ _RIGHT_PRICE = "CAST(CAST(l_extendedprice AS DECIMAL(14,4)) AS VARCHAR)"
 
 @query(f"""
 SELECT upper('cust-' || l_suppkey || '.com') AS CustomerDomainName, upper('p' || l_partkey) AS ProductId,
-       upper('00' || l_linenumber) AS SkuId, CASE WHEN l_linenumber <= 6 THEN 'Usage' ELSE 'Seat fee' END AS ChargeType,
+       CAST(l_linenumber AS VARCHAR) AS SkuId, CASE WHEN l_linenumber <= 6 THEN 'Usage' ELSE 'Seat fee' END AS ChargeType,
        CASE l_linenumber WHEN 1 THEN 'Annual' WHEN 2 THEN 'Annual' WHEN 3 THEN 'Monthly' WHEN 4 THEN 'Monthly'
             WHEN 5 THEN 'Triennial' WHEN 6 THEN 'NA' ELSE 'None' END AS Term,
        CASE l_linenumber WHEN 1 THEN CASE WHEN l_linestatus = 'F' THEN 'Annual' ELSE 'Monthly' END WHEN 2 THEN 'Annual'

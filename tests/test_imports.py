@@ -224,3 +224,10 @@ def test_imported_feeds_compare(spark, tmp_path):
 def test_options_from_parts():
     assert replace(Options(), max_detailed_rows=3).max_detailed_rows == 3
     assert Options().missing_left == "Missing in MSPHub"
+
+
+def test_padded_keys_meet(table):
+    h = "InvoiceNumber,SkuId,Quantity"
+    right = sc.normalise_mapped(table(h, ("0012", "001", "1"), ("inv7", "a1", "2"), ("(5)", "1,000", "3")))
+    left = sc.normalise_mapped(table(h, ("12", "1", "1"), ("INV7", "A1", "2"), ("-5", "1000", "3")))
+    assert right.exceptAll(left).count() == 0 == left.exceptAll(right).count()

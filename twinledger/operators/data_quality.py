@@ -155,6 +155,6 @@ def quality_summary(df: DataFrame, findings: DataFrame, options: Options = DEFAU
         F.lit("\nErrors: "), F.col("errors").cast("string"),
         F.lit("\nWarnings: "), F.col("warnings").cast("string"),
         F.lit("\nMost common error: "), F.col("top_error"),
-        F.lit("\nColumns with blanks >10%: "), F.col("blank_columns"),
+        F.lit(f"\nColumns with blanks >{(options.blank_threshold * 100).normalize():f}%: "), F.col("blank_columns"),
     )
     return summary.withColumn("summary", text)

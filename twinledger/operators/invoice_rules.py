@@ -57,7 +57,7 @@ def _checks(options: Options) -> dict[str, Column]:
             msrp > F.lit(options.msrp_floor),
             F.when(
                 partner <= 0,
-                _text("Invalid: MSRP (", num.short(msrp), ") is greater than 5, but PartnerDiscountPercentage is ",
+                _text("Invalid: MSRP (", num.short(msrp), f") is greater than {options.msrp_floor.normalize():f}, but PartnerDiscountPercentage is ",
                       percent, "%."),
             ).when(
                 (rounded < low) | (rounded > high),

@@ -208,7 +208,10 @@ def is_number_name(name: str) -> bool:
 
 
 def normalise_mapped(df: DataFrame, options: Options = DEFAULTS) -> DataFrame:
-    """Canonical text per column class: ISO dates, plain numbers, upper-case key columns."""
+    """Canonical text per column class: ISO dates, plain numbers, upper-case key columns.
+
+    Keys that read as numbers take their plain form on either side, so zero-padded ones meet.
+    """
     upper = {"customerdomainname", "productid", *[c.lower() for c in options.composite_keys]}
 
     def value(name: str) -> Column:
@@ -217,7 +220,7 @@ def normalise_mapped(df: DataFrame, options: Options = DEFAULTS) -> DataFrame:
             return F.coalesce(dt.date_text(c), c)
         if is_number_name(name):
             return F.coalesce(num.lenient_number_text(c), c)
-        return F.upper(c) if name.lower() in upper else c
+        return F.coalesce(num.lenient_number_text(c), F.upper(c)) if name.lower() in upper else c
 
     marks = (ROW, FILE)
     return df.select(*[tx.column(df, n) if n in marks else value(n).alias(n) for n in df.columns])
