@@ -3,9 +3,9 @@
 A tokenizer's file of the tokenizers library is loaded in each Python worker. Its
 encoding never joins what stands before a run of white space with what stands after
 the run's begin, so a text is cut there into units, equal units are encoded once and
-looked up afterwards; marks behind a word of letters are units of their own. Such words
-are one pre-token each, so the file's model is asked directly for their ids. A worker's
-look-up table begins anew at ``_UNITS`` entries and keeps one older generation: that
+looked up afterwards; a unit of a word of letters and marks is put together from those of
+its parts. Such words are one pre-token each, so the file's model is asked directly for
+their ids. A worker's look-up table begins anew at ``_UNITS`` entries and keeps one older generation: that
 bounds memory and changes no result.
 """
 
@@ -16,14 +16,12 @@ import re
 from array import array
 from collections.abc import Iterator
 
-_UNITS = 300_000
+_UNITS = 400_000
 _LONGEST = 100  # bytes of a unit that is kept
-#: A word of Latin letters with nothing but sentence marks behind it is a unit, and no token goes on from it to these marks.
+_BLANK_THEN_WORD = re.compile(rb"[ \n]*[^ \n]+|[ \n]+")
+#: A line feed, a word of Latin letters with a blank before it, and sentence marks: no token spans two of these.
 _LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
-_WORD = re.compile(b" ?" + _LETTERS)
-_WITH_BLANKS = re.compile(
-    rb"\n(?=[A-Za-z\xc3])| ?" + _LETTERS + rb"(?=[.,;:!?|]*(?:[ \n]|\Z))|[ \n]*[^ \n]+|[ \n]+")
-_WITHOUT_BLANKS = re.compile(_LETTERS + rb"(?=[.,;:!?|]*(?:[ \t-\r]|\Z))|[^ \t-\r]+")
+_PARTS = re.compile(rb"(\n)?( ?" + _LETTERS + rb")([.,;:!?|]+)?")
 #: White space other than blank and line feed, in any library's view: a text that has some is encoded as a whole.
 _ODD_BLANK = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 
@@ -73,11 +71,15 @@ class Encoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def unit(self, unit: bytes) -> bytes:
-        if not _WORD.fullmatch(unit):
+        found = _PARTS.fullmatch(unit)
+        if not found or unit[:2] == b"\n ":
             return self.whole(unit.decode("utf-8"))
-        if not self.blanks and (lower := unit.decode().lower().encode()) != unit:
+        feed, word, marks = found.groups()
+        if feed or marks:
+            return b"".join([self.units[part] for part in (feed, word, marks) if part])
+        if not self.blanks and (lower := word.decode().lower().encode()) != word:
             return self.units[lower]
-        spelt = unit.decode("latin-1").translate(_SPELT)
+        spelt = word.decode("latin-1").translate(_SPELT)
         return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
@@ -89,8 +91,8 @@ class Encoder:
             if len(self.units) > _UNITS:
                 self.units = _Units(self, dict(self.units))
             raw = text.encode("utf-8", "replace")
-            cut = _WITH_BLANKS if self.blanks else _WITHOUT_BLANKS
-            yield b"".join(map(self.units.__getitem__, cut.findall(raw)))
+            cut = _BLANK_THEN_WORD.findall(raw) if self.blanks else raw.split()
+            yield b"".join(map(self.units.__getitem__, cut))
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
