@@ -123,7 +123,7 @@ def compare_leaf(leaf: int, a: int, b: int, cid: np.ndarray, weight: np.ndarray,
 
 
 def near_duplicates(
-    table: DataFrame, least_cosine: float = 0.95, trees: int = 8, leaf_rows: int = 250, spill: float = 0.1,
+    table: DataFrame, least_cosine: float = 0.95, trees: int = 4, leaf_rows: int = 250, spill: float = 0.1,
     sample_rows: int = 20_000, block_rows: int = 4096, seed: int = 11,
 ) -> DataFrame:
     """``table`` (vec_id, embedding and more) with n_links, component_id and kept."""
