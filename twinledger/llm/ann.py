@@ -57,32 +57,57 @@ def rotation(size: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def scan(query: np.ndarray, turned_query: np.ndarray, rows: np.ndarray, turned: np.ndarray, squares: np.ndarray,
-         ids: np.ndarray, own: int, k: int, step: int, epsilon: float, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best rows for one query: ids and scores, best first."""
-    best_ids, best = np.zeros(0, np.int64), np.zeros(0)
-    size, length = rows.shape[1], float(query @ query)
+def _best(asks: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's k best, by query, best first; ties to the smaller id."""
+    order = np.lexsort((ids, -scores, asks))
+    head = np.searchsorted(asks[order], asks[order], "left")
+    return order[np.arange(len(order)) - head < k]
+
+
+def scan(queries: np.ndarray, owns: np.ndarray, rows: np.ndarray, ids: np.ndarray, turn: np.ndarray,
+         k: int, step: int, epsilon: float, block: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows for each query: the query's place, the row's id and the score.
+
+    A first block of rows is compared whole and gives each query its bound; of the others, the
+    columns are read block by block, and a candidate is dropped as soon as its distance so far
+    rules it out. Rows that no query wants any more are not read further.
+    """
+    size = rows.shape[1]
+    turned, turned_queries = rows @ turn, queries @ turn
+    squares, lengths = (rows * rows).sum(axis=1), (queries * queries).sum(axis=1)
+    asks, found, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    bound = np.full(len(queries), -np.inf)
     for at in range(0, len(rows), block):
-        alive = at + np.flatnonzero(ids[at:at + block] != own)
-        if len(best) == k:
-            room = np.maximum(length + squares[alive] - 2 * best[-1], 0.0)
-            far = np.zeros(len(alive))
+        part = np.arange(at, min(at + block, len(rows)))
+        alive = ids[part][None, :] != owns[:, None]
+        if at == 0 and len(part) > k:
+            whole = np.where(alive, queries @ rows[part].T, -np.inf)
+            alive &= whole >= np.partition(whole, len(part) - k, axis=1)[:, [len(part) - k]] - 1e-9
+        elif np.isfinite(bound).any():
+            room = lengths[:, None] + squares[part][None, :] - 2 * bound[:, None]
+            far = np.zeros(alive.shape)
             for d in range(0, size, step):
-                gap = turned[alive, d:d + step] - turned_query[d:d + step]
-                far = far + (gap * gap).sum(axis=1)
+                a, b = turned_queries[:, d:d + step], turned[part, d:d + step]
+                far += (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
                 seen = min(d + step, size)
-                slack = (1 + epsilon / np.sqrt(seen)) ** 2 if seen < size else 1 + 1e-9
-                stay = far * (size / seen) <= room * slack + 1e-12
-                alive, far, room = alive[stay], far[stay], room[stay]
-        scores = (rows[alive] * query).sum(axis=1)
-        best_ids, best = np.concatenate([best_ids, ids[alive]]), np.concatenate([best, scores])
-        order = np.lexsort((best_ids, -best))[:k]
-        best_ids, best = best_ids[order], best[order]
-    return best_ids, best
+                slack = (1 + epsilon / np.sqrt(seen)) ** 2 if seen < size else 1.0
+                alive &= far * (size / seen) <= np.maximum(room, 0) * slack + 1e-9 * (1 + lengths[:, None] + squares[part][None, :])
+                wanted = alive.any(axis=0)
+                if not wanted.all():
+                    part, alive, far, room = part[wanted], alive[:, wanted], far[:, wanted], room[:, wanted]
+        ask, row = np.nonzero(alive)
+        row = part[row]
+        asks, found = np.concatenate([asks, ask]), np.concatenate([found, ids[row]])
+        scores = np.concatenate([scores, (rows[row] * queries[ask]).sum(axis=1)])
+        keep = _best(asks, scores, found, k)
+        asks, found, scores = asks[keep], found[keep], scores[keep]
+        full = np.flatnonzero(np.bincount(asks, minlength=len(queries)) == k)
+        bound[full] = scores[np.searchsorted(asks, full, "right") - 1]
+    return asks, found, scores
 
 
 def search(
-    table: DataFrame, is_query: Column, k: int = 20, probe_share: float = 0.6, least_rows: int = 2000, sample_rows: int = 20_000,
+    table: DataFrame, is_query: Column, k: int = 20, probe_share: float = 0.65, least_rows: int = 2000, sample_rows: int = 20_000,
     step: int = 16, epsilon: float = 2.1, block_rows: int = 8192, block_queries: int = 2048, seed: int = 23,
 ) -> DataFrame:
     """Per query of ``table`` (vec_id, embedding) and neighbour found: query_id, rank, vec_id, score."""
@@ -159,13 +184,12 @@ def search(
         asks = pdf["asks"].to_numpy()
         matrix = np.stack([np.frombuffer(v, np.float64) for v in pdf["vector"]])
         ids, rows, queries = pdf["vec_id"].to_numpy()[~asks], matrix[~asks], matrix[asks]
-        turn = rotation(matrix.shape[1], seed)
-        turned, turned_queries, squares = rows @ turn, queries @ turn, (rows * rows).sum(axis=1)
-        out = []
-        for own, query, turned_query in zip(pdf["vec_id"].to_numpy()[asks], queries, turned_queries):
-            found, scores = scan(query, turned_query, rows, turned, squares, ids, own, k, step, epsilon, 128)
-            out.append(pd.DataFrame({"query_id": own, "vec_id": found, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        turn, owns = rotation(matrix.shape[1], seed), pdf["vec_id"].to_numpy()[asks]
+        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        for at in range(0, len(queries), 128):
+            ask, found, scores = scan(queries[at:at + 128], owns[at:at + 128], rows, ids, turn, k, step, epsilon)
+            out.append(pd.DataFrame({"query_id": owns[at:at + 128][ask], "vec_id": found, "score": scores}))
+        return pd.concat(out)
 
     found = groups.groupBy("size", "list", "row_blocks", "query_blocks").applyInPandas(look, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
