@@ -19,7 +19,8 @@ Rounds, so that groups of copies are never paired out:
    segment; the links are verified and give first components.
 3. All segments, with components as labels: within a segment only sets of different
    components are compared, so a group of thousands of copies gives no pairs.
-Every link is verified on the whole sets. Segment hashes travel as packed arrays, one per
+Candidates whose parity sketches differ in more bits than similar sets can are dropped; every
+other link is verified on the whole sets. Segment hashes travel as packed arrays, one per
 block of documents and bucket; texts are shuffled once, into a table that is bucketed by
 doc_id, so later joins do not move them.
 
@@ -46,10 +47,11 @@ from twinledger.llm.words import U64, blocks, folded, mix, shingle_sets
 _BYTES, _ROWS = 4_000_000, 8192
 _DELETION_SEGMENTS = 4
 _HINTS = 100_000
-_COMMON = 4  # documents of a block that make an n-gram worth counting
+_COMMON = 2  # documents of a block that make an n-gram worth counting
 _ROUND_ONE = 16  # one of so many segments is looked at in round 2 of the docstring
 _STAR = 2_000
-_ENTRIES = 3_000_000  # of a bucket
+_SKETCH = 1024  # bits
+_ENTRIES = 6_000_000  # of a bucket
 _BUCKET_BITS = 20
 _INDEX, _PROBE = 1, 2
 _EXACT, _DELETED = U64(0x51ED270B4D2F5C11), U64(0x2545F4914F6CDD1D)
@@ -173,10 +175,16 @@ def short_bands(grams: np.ndarray, rule: Rule) -> int:
     return found
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """Parities of the n-grams in each of ``_SKETCH`` classes: sets that differ in d n-grams differ in at most d bits."""
+    counts = np.bincount((mix(grams ^ _DELETED) % U64(_SKETCH)).astype(np.int64), minlength=_SKETCH)
+    return np.packbits((counts & 1).astype(bool)).tobytes()
+
+
 def profile(texts: DataFrame, rule: Rule, size: int) -> DataFrame:
     """One pass: per document n, short and its keys for round one; and rows of common n-grams with counts."""
 
-    names = ["doc_id", "digest", "n", "short", "keys", "gram"]
+    names = ["doc_id", "digest", "n", "short", "keys", "gram", "sketch"]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,16 +200,34 @@ def profile(texts: DataFrame, rule: Rule, size: int) -> DataFrame:
                     keys.append(np.unique(thin).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [ids[s], digests[s], pa.array([len(g) for g in sets], pa.int64()), pa.array(short, pa.int64()),
-                     pa.array(keys, pa.list_(pa.int64())), pa.nulls(len(sets), pa.int64())], names)
+                     pa.array(keys, pa.list_(pa.int64())), pa.nulls(len(sets), pa.int64()),
+                     pa.array([sketch(g) for g in sets], pa.binary())], names)
                 grams, counts = np.unique(np.concatenate([np.zeros(0, U64), *sets]), return_counts=True)
                 often = counts >= _COMMON
                 grams, counts = grams[often], counts[often]
                 none = pa.nulls(len(grams), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [none, pa.nulls(len(grams), pa.binary()), pa.array(counts), none, pa.nulls(len(grams), pa.list_(pa.int64())),
-                     pa.array(grams.view(np.int64))], names)
+                     pa.array(grams.view(np.int64)), pa.nulls(len(grams), pa.binary())], names)
+
+    return texts.mapInArrow(run, "doc_id long, digest binary, n long, short long, keys array<long>, gram long, sketch binary")
+
+
+def plausible(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow similarity; loses no similar pair."""
+    about = sets.select("doc_id", "n", "sketch")
+    both = pairs.join(about.toDF("a", "na", "sa"), "a").join(about.toDF("b", "nb", "sb"), "b")
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(na), -1) for c in ("sa", "sb"))
+            apart = np.bitwise_count(sa ^ sb).sum(axis=1, dtype=np.int64)
+            fits = (np.minimum(na, nb) * rule.den >= np.maximum(na, nb) * rule.num) & (apart <= (na + nb) * (rule.den - rule.num) // (rule.den + rule.num))
+            keep = pa.array(fits)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    return texts.mapInArrow(run, "doc_id long, digest binary, n long, short long, keys array<long>, gram long")
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, rule: Rule, size: int) -> DataFrame:
@@ -230,7 +256,7 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Rule, size: int) -> DataF
 
 
 def packed(labelled: DataFrame, rule: Rule, size: int, hints, short: int, buckets: int) -> DataFrame:
-    """Rows of bucket and payload: documents, labels, sizes, and for each segment hash its document and flags."""
+    """Rows of bucket and payload: documents, labels, sizes, sketches, and for each segment hash its document and flags."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         common, weight = hints.value
@@ -240,6 +266,8 @@ def packed(labelled: DataFrame, rule: Rule, size: int, hints, short: int, bucket
             raws = [folded(t) for t in batch.column("text").to_pylist()]
             for s in blocks(raws, _BYTES, _ROWS):
                 sets = shingle_sets(raws[s], size)
+                marks = np.frombuffer(b"".join(sketch(g) for g in sets), np.uint64).reshape(len(sets), 2, -1)
+                marks = marks[:, 0] ^ marks[:, 1]  # half as many classes
                 keys, flags, owner = [np.zeros(0, U64)], [np.zeros(0, np.uint8)], [np.zeros(0, np.uint16)]
                 for i, grams in enumerate(sets):
                     if not len(grams):
@@ -263,7 +291,7 @@ def packed(labelled: DataFrame, rule: Rule, size: int, hints, short: int, bucket
                     docs, local = np.unique(who[a:b], return_inverse=True)
                     held = (local.astype(np.uint16) << 2) | flag[a:b]
                     payloads.append(b"".join(x.tobytes() for x in (
-                        np.array([len(docs), b - a], np.int64), ids[s][docs], labels[s][docs], sizes[docs], low[a:b], held)))
+                        np.array([len(docs), b - a], np.int64), ids[s][docs], labels[s][docs], sizes[docs], marks[docs], low[a:b], held)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(bucket[heads] if len(bucket) else [], pa.int32()), pa.array(payloads, pa.binary())], ["bucket", "payload"])
 
@@ -273,7 +301,8 @@ def packed(labelled: DataFrame, rule: Rule, size: int, hints, short: int, bucket
 def _unpack(payload: bytes) -> tuple[np.ndarray, ...]:
     docs, count = np.frombuffer(payload, np.int64, 2).tolist()
     at, out = 16, []
-    for kind, n in ((np.int64, docs), (np.int64, docs), (np.int32, docs), (np.uint32, count), (np.uint16, count)):
+    words = _SKETCH // 128
+    for kind, n in ((np.int64, docs), (np.int64, docs), (np.int32, docs), (np.uint64, docs * words), (np.uint32, count), (np.uint16, count)):
         out.append(np.frombuffer(payload, kind, n, at))
         at += out[-1].nbytes
     return tuple(out)
@@ -281,9 +310,10 @@ def _unpack(payload: bytes) -> tuple[np.ndarray, ...]:
 
 def bucket_pairs(payloads: list[bytes], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs (a, b), a < b, of documents with different labels that share a segment hash."""
-    ids, labels, sizes, keys, owner, flags, base = [], [], [], [], [], [], 0
+    ids, labels, sizes, marks, keys, owner, flags, base = [], [], [], [], [], [], [], 0
     for payload in payloads:
-        i, lab, n, key, held = _unpack(payload)
+        i, lab, n, mark, key, held = _unpack(payload)
+        marks.append(mark.reshape(len(i), -1))
         ids.append(i)
         labels.append(lab)
         sizes.append(n)
@@ -291,7 +321,8 @@ def bucket_pairs(payloads: list[bytes], rule: Rule) -> tuple[np.ndarray, np.ndar
         owner.append((held >> 2).astype(np.int32) + base)
         flags.append((held & 3).astype(np.uint8))
         base += len(i)
-    ids, labels, sizes, key, owner, flag = map(np.concatenate, (ids, labels, sizes, keys, owner, flags))
+    ids, labels, sizes, marks, key, owner, flag = map(np.concatenate, (ids, labels, sizes, marks, keys, owner, flags))
+    sizes = sizes.astype(np.int64)
     order = np.argsort(key, kind="stable")
     key, owner, flag = key[order], owner[order], flag[order]
     head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -304,9 +335,11 @@ def bucket_pairs(payloads: list[bytes], rule: Rule) -> tuple[np.ndarray, np.ndar
 
     def keep(p: np.ndarray, q: np.ndarray) -> None:
         """p probes, q is indexed."""
-        good = (labels[p] != labels[q]) & (sizes[p] <= sizes[q]) & (sizes[p].astype(np.int64) * rule.den >= sizes[q].astype(np.int64) * rule.num)
-        pair = np.stack([p[good], q[good]], axis=1)
-        found.append(np.unique(np.sort(pair, axis=1), axis=0) if len(pair) > 100_000 else np.sort(pair, axis=1))
+        good = (labels[p] != labels[q]) & (sizes[p] <= sizes[q]) & (sizes[p] * rule.den >= sizes[q] * rule.num)
+        pair = np.unique(np.sort(np.stack([p[good], q[good]], axis=1), axis=1), axis=0)
+        x, y = pair.T
+        apart = np.bitwise_count(marks[x] ^ marks[y]).sum(axis=1, dtype=np.int64)
+        found.append(pair[apart <= (sizes[x] + sizes[y]) * (rule.den - rule.num) // (rule.den + rule.num)])
 
     for step in range(1, 33):  # short runs: all at once, by distance
         at = np.repeat(head[(length > step) & (length <= 33) & mixed & both], 1)
@@ -335,14 +368,16 @@ def similar_documents(docs: DataFrame, num: int = 75, den: int = 100, size: int
         F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5(F.col("text").cast("binary")))))
     least = base.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     members = written(base.select("doc_id", "digest").join(least, "digest", "left").select("doc_id", "digest", "rep"), "jaccard-members")
-    once = base.join(members.filter("doc_id = rep").select("doc_id", "digest").distinct(), ["doc_id", "digest"])
-    if members.groupBy("doc_id", "digest").count().filter("count > 1").limit(1).count():
-        once = once.dropDuplicates(["doc_id", "digest"])
-    table, parts = f"jaccard_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    once.repartition(parts, "doc_id").write.option("path", new_path(spark, "jaccard-texts")).option(
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    reps = members.filter("doc_id = rep").select("doc_id", F.col("digest").alias("_digest")).distinct()
+    table = f"jaccard_{uuid.uuid4().hex}"
+    base.filter("digest IS NOT NULL").repartition(parts, "doc_id").write.option("path", new_path(spark, "jaccard-texts")).option(
         "compression", "zstd").bucketBy(parts, "doc_id").sortBy("doc_id").saveAsTable(table)
     try:
-        links, sizes = _links(spark.table(table), rule, size)
+        once = spark.table(table).join(reps, "doc_id").filter("digest = _digest").drop("_digest")
+        if members.groupBy("doc_id", "digest").count().filter("count > 1").limit(1).count():
+            once = once.dropDuplicates(["doc_id", "digest"])
+        links, sizes = _links(once, rule, size)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
     parts_of = components(links.union(members.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
@@ -358,7 +393,7 @@ def _links(texts: DataFrame, rule: Rule, size: int) -> tuple[DataFrame, DataFram
     keyed = sets.select("doc_id", F.explode("keys").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("c")).filter("c > 1")
     stars = keyed.join(hubs, "key").filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    first = written(verified(written(stars, "jaccard-stars"), texts, rule, size), "jaccard-links")
+    first = written(verified(written(plausible(stars, sets, rule), "jaccard-stars"), texts, rule, size), "jaccard-links")
     labels = written(components(first), "jaccard-labels")
     about = sets.agg(F.coalesce(F.bit_or("short"), F.lit(0)).alias("short"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     top = found.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(_HINTS).collect()
@@ -374,5 +409,5 @@ def _links(texts: DataFrame, rule: Rule, size: int) -> tuple[DataFrame, DataFram
         return pd.DataFrame({"a": a, "b": b})
 
     pairs = packed(labelled, rule, size, hints, about.short, buckets).groupBy("bucket").applyInPandas(pairs_of, "a long, b long").distinct()
-    second = written(verified(written(pairs, "jaccard-pairs"), texts, rule, size), "jaccard-links")
+    second = written(verified(written(plausible(pairs, sets, rule), "jaccard-pairs"), texts, rule, size), "jaccard-links")
     return first.union(second), sets.select("digest", "n").distinct()
