@@ -175,6 +175,17 @@ def short_bands(grams: np.ndarray, rule: Rule) -> int:
     return found
 
 
+def thin_keys(grams: np.ndarray, rule: Rule) -> tuple[np.ndarray, int]:
+    """A share of the set's segment hashes, of small sets all, and ``short_bands``: one cut of the set for both."""
+    keys, short = [np.zeros(0, U64)], 0
+    for band, units in rule.bands(len(grams)) if len(grams) else ():
+        cut = Segments(grams, band)
+        keys.append(cut.keys())
+        short |= (len(cut.segment) < units) << band
+    found = np.concatenate(keys)
+    return found if len(grams) < 32 else found[found % U64(_ROUND_ONE) == 0], short
+
+
 def sketch(grams: np.ndarray) -> bytes:
     """Parities of the n-grams in each of ``_SKETCH`` classes: sets that differ in d n-grams differ in at most d bits."""
     counts = np.bincount((mix(grams ^ _DELETED) % U64(_SKETCH)).astype(np.int64), minlength=_SKETCH)
@@ -194,10 +205,9 @@ def profile(texts: DataFrame, rule: Rule, size: int) -> DataFrame:
                 sets = shingle_sets(raws[s], size)
                 keys, short = [], []
                 for grams in sets:
-                    short.append(short_bands(grams, rule) if len(grams) else 0)
-                    found = entries(grams, rule, None, 0)[0] if len(grams) else np.zeros(0, U64)
-                    thin = found if len(grams) < 32 else found[found % U64(_ROUND_ONE) == 0]
+                    thin, few = thin_keys(grams, rule)
                     keys.append(np.unique(thin).view(np.int64))
+                    short.append(few)
                 yield pa.RecordBatch.from_arrays(
                     [ids[s], digests[s], pa.array([len(g) for g in sets], pa.int64()), pa.array(short, pa.int64()),
                      pa.array(keys, pa.list_(pa.int64())), pa.nulls(len(sets), pa.int64()),
