@@ -103,3 +103,19 @@ def test_search_of_few_rows_and_nothing(spark):
     found = sorted((r.query_id, r.rank, r.vec_id) for r in ann.search(table(spark, rows), F.col("vec_id") % 20 == 0).collect())
     assert found == [(0, 1, 7), (0, 2, 20), (0, 3, 8), (20, 1, 0), (20, 2, 7), (20, 3, 8)]
     assert ann.search(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_links_inside_one_large_group(spark):
+    """A third of the rows are near copies of one vector, many times more than a leaf is meant to hold."""
+    rng = np.random.default_rng(4)
+    values = rng.standard_normal((3000, 32)).astype(np.float32)
+    values[:1000] = values[0] + 0.1 * rng.standard_normal((1000, 32)).astype(np.float32)
+    whole = values.astype(np.float64)
+    whole /= np.sqrt((whole * whole).sum(axis=1, keepdims=True))
+    true = (whole @ whole.T >= 0.95).sum(axis=1) - 1
+    found = embedding_dedup.near_duplicates(table(spark, list(enumerate(values))), leaf_rows=15, sample_rows=2000, block_rows=300).collect()
+    links = {r.vec_id: r.n_links for r in found}
+    assert true.sum() > 900_000
+    assert all(links[i] <= n for i, n in enumerate(true))
+    assert sum(links.values()) >= 0.99 * true.sum()
+    assert {r.component_id for r in found if r.vec_id < 1000} == {0}

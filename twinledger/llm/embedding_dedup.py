@@ -1,8 +1,8 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
 Equal vectors are one class first. Every tree splits the classes by random directions at
-the median, again and again; what lies near a split goes to both sides (spill). Vectors
-are compared within leaves, and links at or above the cosine are kept: a link counts in
+the median, again and again; what lies near a split goes to both sides (spill). Dense
+groups are not cut: they stay in one leaf, of any size. Vectors are compared within leaves, and links at or above the cosine are kept: a link counts in
 the first leaf that its two vectors share, so links are counted without listing them, and
 each leaf sends on no more than one row per vector, to the least member that it is joined
 to in this leaf. Leaves with many rows are cut into blocks, and pairs of blocks are
@@ -31,24 +31,60 @@ from twinledger.llm.graph import components
 from twinledger.llm.scratch import without, written
 from twinledger.llm.vectors import sampled, unit, usable
 
+#: Width of a cut's band, in standard deviations of how far two vectors at the cosine lie apart along a random direction.
+_MARGIN = 1.6
+#: Directions tried for a node, places of each (shares of the rows), and the share of pairs left that ends the search.
+_TRIES, _PLACES, _GOOD = 8, (0.5, 0.4, 0.6, 0.3, 0.7, 0.2, 0.8, 0.1, 0.9), 0.8
+_TILE, _HELD = 512, 1024
+
 
 class Tree:
-    """Random splits of unit vectors; leaves are numbered from ``first``."""
+    """Random splits of unit vectors; leaves are numbered from ``first``.
+
+    Both sides of a cut get the rows within ``spill`` of it, as a share, or within ``margin``
+    (over the root of the dimension), as a distance: what links at the cosine asked for then
+    mostly stays together, however dense it lies. A cut through a dense group sends much of
+    it both ways; another direction or place is taken then, and a node that no cut tried
+    leaves with fewer pairs to compare than it has is a leaf.
+    """
 
-    def __init__(self, sample: np.ndarray, least: int, spill: float, rng: np.random.Generator, first: int):
+    def __init__(self, sample: np.ndarray, least: int, spill: float, margin: float, rng: np.random.Generator, first: int):
         self.first, self.leaves = first, 0
-        self.root = self._grow(sample, least, spill, rng)
+        self.least, self.spill, self.margin, self.rng = least, spill, margin / np.sqrt(max(1, sample.shape[1])), rng
+        self.root = self._grow(sample, np.ones(len(sample), bool))
 
-    def _grow(self, sample, least, spill, rng):
-        if len(sample) >= 2 * least:
-            direction = rng.standard_normal(sample.shape[1])
+    def _cut(self, along: np.ndarray, at: float) -> tuple[float, float, float, float]:
+        """Pairs that a cut at a share of the rows leaves, as a share, and the low end, place and high end of its band."""
+        low, cut, high = np.quantile(along, [max(0.0, at - self.spill), at, min(1.0, at + self.spill)])
+        low, high = min(low, cut - self.margin / 2), max(high, cut + self.margin / 2)
+        return (along <= high).mean() ** 2 + (along >= low).mean() ** 2, low, cut, high
+
+    def _split(self, sample: np.ndarray):
+        best = (1.0, None, None)
+        for attempt in range(_TRIES):
+            direction = self.rng.standard_normal(sample.shape[1])
             direction /= np.linalg.norm(direction)
             along = sample @ direction
-            low, middle, high = np.quantile(along, [0.5 - spill, 0.5, 0.5 + spill])
-            # Rows of one heap can't be split: the node is a leaf then.
-            if (along < middle).any() and (along > middle).any():
-                return (direction, low, high, self._grow(sample[along <= middle], least, spill, rng),
-                        self._grow(sample[along > middle], least, spill, rng))
+            for at in _PLACES if attempt else (0.5,):
+                found = self._cut(along, at)
+                if found[0] < best[0]:
+                    best = (found[0], direction, found[1:])
+            if best[0] < _GOOD:
+                break
+        return best[1:]
+
+    def _grow(self, sample: np.ndarray, own: np.ndarray):
+        """``sample`` holds the rows that this node gets, ``own`` tells those that no cut has sent both ways."""
+        if own.sum() >= 2 * self.least:
+            direction, band = self._split(sample)
+            if direction is not None:
+                low, cut, high = band
+                along = sample @ direction
+                below, left, right = along <= cut, along <= high, along >= low
+                # Rows of one heap can't be split: the node is a leaf then.
+                if (along[own] < cut).any() and (along[own] > cut).any():
+                    return (direction, low, high, self._grow(sample[left], (own & below)[left]),
+                            self._grow(sample[right], (own & ~below)[right]))
         self.leaves += 1
         return self.first + self.leaves - 1
 
@@ -65,65 +101,89 @@ class Tree:
                 stack += [(left, rows[along <= high]), (right, rows[along >= low])]
 
 
-def forest(samples: dict[int, np.ndarray], trees: int, least: int, spill: float, seed: int) -> dict[int, list[Tree]]:
+def forest(
+    samples: dict[int, np.ndarray], trees: int, least: int, spill: float, least_cosine: float, seed: int,
+) -> dict[int, list[Tree]]:
     """Trees per dimension."""
+    margin = _MARGIN * np.sqrt(max(0.0, 2 - 2 * least_cosine))
     made, first = {}, 0
     for size, sample in sorted(samples.items()):
         made[size] = []
         for t in range(trees):
-            made[size].append(Tree(unit(sample), least, spill, np.random.default_rng([seed, size, t]), first))
+            made[size].append(Tree(unit(sample), least, spill, margin, np.random.default_rng([seed, size, t]), first))
             first += made[size][-1].leaves
     return made
 
 
-def _shares_earlier(members: np.ndarray, i: np.ndarray, j: np.ndarray, leaf: int) -> np.ndarray:
-    """Whether rows i and j share a leaf below ``leaf``; members has each row's leaves, padded with -1."""
-    found = np.zeros(len(i), bool)
-    earlier = np.where(members < leaf, members, -1)
-    for a in range(members.shape[1]):
-        own = earlier[i, a]
-        if (own >= 0).any():
-            for b in range(members.shape[1]):
-                found |= (own >= 0) & (own == earlier[j, b])
-    return found
+def _held(members: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+    """One column per leaf: 1 where a row is in it."""
+    spot = np.minimum(np.searchsorted(leaves, members), len(leaves) - 1)
+    row, place = np.nonzero(leaves[spot] == members)
+    out = np.zeros((len(members), len(leaves)), np.float32)
+    out[row, spot[row, place]] = 1
+    return out
+
+
+def _near(vectors: np.ndarray, left: np.ndarray, right: np.ndarray, least_cosine: float) -> np.ndarray:
+    """Which rows of ``left`` and ``right`` are linked; in single precision where that tells."""
+    low = vectors.astype(np.float32)
+    near = np.zeros((len(left), len(right)), bool)
+    for at in range(0, len(left), _TILE):
+        rows = left[at:at + _TILE]
+        close = low[rows] @ low[right].T
+        near[at:at + _TILE] = close >= least_cosine + 1e-4
+        i, j = np.nonzero(np.abs(close - least_cosine) <= 2e-4)
+        for s in range(0, len(i), 100_000):
+            p, q = i[s:s + 100_000], j[s:s + 100_000]
+            near[at + p, q] = np.einsum("nd,nd->n", vectors[rows[p]], vectors[right[q]]) >= least_cosine
+    near &= left[:, None] != right[None, :]
+    return near
 
 
 def compare_leaf(leaf: int, a: int, b: int, cid: np.ndarray, weight: np.ndarray, block: np.ndarray, vectors: np.ndarray,
                  members: np.ndarray, least_cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Per row: the weight of links that count here, and the least row of its part of the links."""
-    n, low = len(cid), vectors.astype(np.float32)
-    links, label = np.zeros(n, np.int64), np.arange(n)
+    """Per row: the weight of links that count here, and the least row of its part of the links.
+
+    ``members`` has each row's leaves, padded with -1. A link of two rows that share a leaf
+    below ``leaf`` counts there.
+    """
+    links, label = np.zeros(len(cid), np.int64), np.arange(len(cid))
     left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
-    found = []
-    for at in range(0, len(left), 512):
-        rows = left[at:at + 512]
-        near = low[rows] @ low[right].T >= least_cosine - 1e-4
-        i, j = np.nonzero(near)
-        i, j = rows[i], right[j]
-        keep = i < j if a == b else slice(None)
-        i, j = i[keep], j[keep]
-        for s in range(0, len(i), 100_000):
-            p, q = i[s:s + 100_000], j[s:s + 100_000]
-            exact = np.einsum("nd,nd->n", vectors[p], vectors[q]) >= least_cosine
-            p, q = p[exact], q[exact]
-            first = ~_shares_earlier(members, p, q, leaf)
-            np.add.at(links, p[first], weight[q[first]])
-            np.add.at(links, q[first], weight[p[first]])
-            found.append((p, q))
-    while found:  # labels go to the least until nothing moves
-        before = label.copy()
-        for p, q in found:
-            low_label = np.minimum(label[p], label[q])
-            np.minimum.at(label, p, low_label)
-            np.minimum.at(label, q, low_label)
-        label = label[label]
-        if np.array_equal(before, label):
-            break
+    near = _near(vectors, left, right, least_cosine)
+    rows, columns = near.any(axis=1), near.any(axis=0)
+    left, right, near = left[rows], right[columns], near[rows][:, columns]
+    earlier = np.where(members < leaf, members, -1)
+    shared = np.intersect1d(earlier[left], earlier[right])
+    shared = shared[shared >= 0]
+    for at in range(0, len(left), _TILE):
+        mine = left[at:at + _TILE]
+        first = near[at:at + _TILE].copy()
+        for s in range(0, len(shared), _HELD):
+            few = shared[s:s + _HELD]
+            first &= _held(earlier[mine], few) @ _held(earlier[right], few).T == 0
+        counted = first.astype(np.float64)
+        links[mine] += (counted @ weight[right]).astype(np.int64)
+        if a != b:
+            links[right] += (weight[mine] @ counted).astype(np.int64)
+    # Parts: from each row on to all that it reaches, every row taken once.
+    across, free, open_ = np.ascontiguousarray(near.T), np.ones(len(left), bool), np.ones(len(right), bool)
+    for seed in range(len(left)):
+        if free[seed]:
+            front, part = np.array([seed]), []
+            free[seed] = False
+            while len(front):
+                found = np.flatnonzero(near[front].any(axis=0) & open_)
+                open_[found] = False
+                part += [left[front], right[found]]
+                front = np.flatnonzero(across[found].any(axis=0) & free)
+                free[front] = False
+            part = np.concatenate(part)
+            label[part] = np.minimum(label[part], part.min())
     return links, label
 
 
 def near_duplicates(
-    table: DataFrame, least_cosine: float = 0.95, trees: int = 4, leaf_rows: int = 250, spill: float = 0.1,
+    table: DataFrame, least_cosine: float = 0.95, trees: int = 8, leaf_rows: int = 250, spill: float = 0.1,
     sample_rows: int = 20_000, block_rows: int = 4096, seed: int = 11,
 ) -> DataFrame:
     """``table`` (vec_id, embedding and more) with n_links, component_id and kept."""
@@ -137,7 +197,7 @@ def near_duplicates(
     samples = sampled(classes, "vector", sample_rows)
     held = sum(map(len, samples.values()))
     model = spark.sparkContext.broadcast(
-        forest(samples, trees, max(4, round(leaf_rows * held / max(total, 1))), spill, seed))
+        forest(samples, trees, max(4, round(leaf_rows * held / max(total, 1))), spill, least_cosine, seed))
 
     def assign(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
