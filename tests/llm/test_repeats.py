@@ -94,3 +94,22 @@ def test_nothing(spark):
     few = spark.createDataFrame([(1, "a  b\nc", None, None, None), (2, None, None, None, None)], SCHEMA)
     assert sorted((r.doc_id, r.kept_text, r.n_removed, r.lang) for r in sub.remove_repeats(few).collect()) == [
         (1, "a b c", 0, None), (2, "", 0, None)]
+
+
+def test_lone_documents_that_repeat_themselves(spark):
+    """Every period by itself: no other document holds any of its words."""
+    rows = [(p, " ".join(f"w{p}.{i % p}" for i in range(100)), "en", "x", 1) for p in range(1, 21)]
+    docs = reachable(spark).createDataFrame(rows, SCHEMA).repartition(4)
+    got = sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in sub.digests(docs).collect()], key=repr)
+    assert got == plain([r[:2] for r in rows], 20)
+    assert all(r[2] == 100 - r[0] for r in got)
+
+
+def test_anchors_of_long_texts(monkeypatch):
+    names, at = word_hashes([" ".join(f"w{i % 7}" for i in range(100)).encode()] * 2)
+    keys, places = sub.window_anchors(names[:100], 20)
+    monkeypatch.setattr(sub, "_WORDS", 60)
+    text, start, key, place = sub.batch_keys(names, at, 20)
+    for t in (0, 1):
+        assert np.array_equal(start[text == t], np.arange(81))
+        assert np.array_equal(key[text == t], keys) and np.array_equal(place[text == t], places)

@@ -9,7 +9,8 @@ left symbol, depend on what stands outside. So equal windows hold the same inter
 symbols, wherever they occur. Of its deepest non-empty interior, a window takes the
 symbol with the least hash as its anchor, and with it the ten words before or from it,
 whichever lie inside. Neighbouring windows mostly share their anchor: about one key in
-five words leaves a text.
+five words leaves a text. Different starts of one sequence of words have different anchors:
+neighbours that share key and anchor are one occurrence, all others are told apart.
 
 One global round counts the keys. Only windows whose key occurs more than once are then
 named themselves, by 128 bits, and a second global round finds each one's first document;
@@ -91,14 +92,17 @@ def _least(names: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return (best & U64((1 << 24) - 1)).astype(np.int64)
 
 
-def window_keys(words: np.ndarray, window: int) -> np.ndarray:
-    """The key of every window of a sequence of words; equal windows have equal keys."""
+def window_anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The key of every window of a sequence of words, and its anchor's place.
+
+    Equal windows have equal keys, and their anchors as far apart as their starts.
+    """
     count = len(words) - window + 1
     if count <= 0:
-        return np.zeros(0, U64)
+        return np.zeros(0, U64), np.zeros(0, np.int64)
     parse, half = Parse(words), window // 2
     around = run_hashes(words, half, _SECOND)
-    keys, todo = np.zeros(count, U64), np.arange(count)
+    keys, places, todo = np.zeros(count, U64), np.zeros(count, np.int64), np.arange(count)
     for level in range(_ROUNDS, -1, -1):
         low, high = parse.first[level][todo], parse.last[level][todo + window]
         told = low < high
@@ -109,27 +113,39 @@ def window_keys(words: np.ndarray, window: int) -> np.ndarray:
         before = anchor - rows >= half
         context = around[np.where(before, anchor - half, anchor)]
         keys[rows] = mix(context + parse.names[level][spot] * _PAIR[0] + before.astype(U64) + U64(2 * level))
-    return keys
+        places[rows] = anchor
+    return keys, places
 
 
-def text_keys(words: np.ndarray, window: int) -> np.ndarray:
-    """The same for a text of any length, in parts that overlap by a window."""
+def window_keys(words: np.ndarray, window: int) -> np.ndarray:
+    return window_anchors(words, window)[0]
+
+
+def text_anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same as ``window_anchors`` for a text of any length, in parts that overlap by a window."""
     if len(words) <= _WORDS:
-        return window_keys(words, window)
-    return np.concatenate([
-        window_keys(words[s:s + _WORDS + window - 1], window) for s in range(0, len(words) - window + 1, _WORDS)])
+        return window_anchors(words, window)
+    begins = range(0, len(words) - window + 1, _WORDS)
+    keys, places = zip(*(window_anchors(words[s:s + _WORDS + window - 1], window) for s in begins))
+    return np.concatenate(keys), np.concatenate([p + s for p, s in zip(places, begins)])
+
+
+def text_keys(words: np.ndarray, window: int) -> np.ndarray:
+    return text_anchors(words, window)[0]
 
 
-def batch_keys(words: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the windows of all texts of a block: text, start and key."""
+def batch_keys(words: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the windows of all texts of a block: text, start, key and the anchor's place."""
     if len(words) <= _WORDS:
         starts = np.arange(max(0, len(words) - window + 1))
         text = np.searchsorted(at, starts, "right") - 1
         inside = starts + window <= at[text + 1]
-        return text[inside], (starts - at[text])[inside], window_keys(words, window)[inside]
-    found = [text_keys(words[a:b], window) for a, b in zip(at[:-1], at[1:])]
-    sizes = [len(f) for f in found]
-    return np.repeat(np.arange(len(found)), sizes), np.concatenate([np.arange(n) for n in sizes]), np.concatenate(found)
+        keys, places = window_anchors(words, window)
+        return text[inside], (starts - at[text])[inside], keys[inside], places[inside]
+    keys, places = zip(*(text_anchors(words[a:b], window) for a, b in zip(at[:-1], at[1:])))
+    sizes = [len(k) for k in keys]
+    starts = np.concatenate([np.arange(n) for n in sizes])
+    return np.repeat(np.arange(len(keys)), sizes), starts, np.concatenate(keys), np.concatenate(places)
 
 
 def _block_rows(batch, names=("doc_id", "text")) -> Iterator[tuple[slice, list[bytes]]]:
@@ -146,16 +162,19 @@ def repeated_keys(docs: DataFrame, window: int) -> DataFrame:
             ids = np.array(batch.column("doc_id").to_pylist(), np.int64)
             for s, texts in _block_rows(batch):
                 words, at = word_hashes(texts)
-                text, start, key = batch_keys(words, at, window)
-                # A stretch of neighbouring windows with one key is one occurrence.
-                new = np.concatenate([[True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])]) if len(key) else np.zeros(0, bool)
+                text, start, key, place = batch_keys(words, at, window)
+                # A stretch of neighbouring windows with one key and one anchor is one occurrence.
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1]) | (place[1:] != place[:-1])
                 text, key = text[new], key[new]
                 order = np.lexsort((ids[s][text], key))
                 text, key = text[order], key[order]
                 lead = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
                 group = np.cumsum(lead) - 1
                 several = np.bincount(group)[group] > 1 if len(key) else np.zeros(0, bool)
-                # Keys that this block repeats are known already; of each key one row goes on to the others.
+                # Keys that this block repeats are known already, once per document; of each key one row goes on to the others.
+                doc = ids[s][text]
+                several[1:] &= lead[1:] | (doc[1:] != doc[:-1])
                 pick = np.concatenate([np.flatnonzero(several), np.flatnonzero(lead)])
                 known = np.concatenate([np.ones(int(several.sum()), bool), np.zeros(int(lead.sum()), bool)])
                 yield pa.RecordBatch.from_arrays(
@@ -169,7 +188,7 @@ def repeated_keys(docs: DataFrame, window: int) -> DataFrame:
 
 def _windows(words: np.ndarray, at: np.ndarray, keys: list[np.ndarray], window: int):
     """Text, start and two hashes of the windows whose key is among their text's ``keys``."""
-    text, start, key = batch_keys(words, at, window)
+    text, start, key, _ = batch_keys(words, at, window)
     counts = [len(k) for k in keys]
     if not sum(counts) or not len(key):
         return text[:0], start[:0], key[:0], key[:0]
