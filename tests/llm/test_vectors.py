@@ -119,3 +119,13 @@ def test_links_inside_one_large_group(spark):
     assert all(links[i] <= n for i, n in enumerate(true))
     assert sum(links.values()) >= 0.99 * true.sum()
     assert {r.component_id for r in found if r.vec_id < 1000} == {0}
+
+
+def test_search_recall_on_uneven_lengths(spark):
+    rng = np.random.default_rng(6)
+    values = rng.standard_normal((3000, 32))
+    values *= np.exp(0.6 * rng.standard_normal((3000, 1))) / np.linalg.norm(values, axis=1, keepdims=True)
+    rows = list(enumerate(values.astype(np.float32)))
+    found = ann.search(table(spark, rows), F.col("vec_id") % 100 == 0, least_rows=100).collect()
+    hits = sum(len({r.vec_id for r in found if r.query_id == q} & {i for _, i in neighbours(rows, q, 20)}) for q in range(0, 3000, 100))
+    assert hits >= 0.9 * 20 * 30

@@ -10,6 +10,10 @@ test at ``epsilon`` says that it exceeds what the query's k-th best so far allow
 candidate is abandoned. Those that are left get their inner product on the original
 vectors in double precision.
 
+Rows are placed with one column more, the root of M * M - |x| * |x|, where M is the largest
+length in the table, and queries at length M with a zero there: the nearest are then those
+of the largest inner product, whatever the lengths.
+
 Centroids are fitted on at most ``sample_rows`` rows, those with the least hash; all rows
 are indexed. Lists are cut into blocks of rows, and the queries of a list into blocks of
 queries, so no task holds a whole list. Vectors of different dimension are not compared.
@@ -52,6 +56,12 @@ def nearest(vectors: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, k), int)
 
 
+def lengthened(vectors: np.ndarray, longest: float) -> np.ndarray:
+    """Rows with a last column that makes all of them as long as the longest."""
+    rest = np.maximum(longest * longest - (vectors * vectors).sum(axis=1), 0)
+    return np.concatenate([vectors, np.sqrt(rest)[:, None]], axis=1)
+
+
 def rotation(size: int, seed: int) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng([seed, size]).standard_normal((size, size)))
     return q * np.sign(np.diag(r))
@@ -115,10 +125,12 @@ def search(
     good = table.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(
         "vec_id", F.col("embedding").cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     samples = sampled(good, "vector", sample_rows)
-    total = good.count()
+    square = F.aggregate("vector", F.lit(0.0), lambda held, x: held + x * x)
+    of_size = good.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n"), F.sqrt(F.max(square)).alias("longest")).collect()
+    total, longest = sum(r["n"] for r in of_size), {r["size"]: r["longest"] for r in of_size}
     lists = int(min(1024, max(1, round(total ** 0.5 / 2))))
     rng = np.random.default_rng(seed)
-    model = {d: centroids(s, lists, rng) for d, s in sorted(samples.items())}
+    model = {d: centroids(lengthened(s, longest[d]), lists, rng) for d, s in sorted(samples.items())}
     shared = spark.sparkContext.broadcast(model)
 
     def batch_vectors(batch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -131,7 +143,7 @@ def search(
         for batch in batches:
             for size, rows, matrix in batch_vectors(batch):
                 centres = shared.value.get(size)
-                where = nearest(matrix, centres, 1)[:, 0] if centres is not None else np.zeros(len(rows), int)
+                where = nearest(lengthened(matrix, longest[size]), centres, 1)[:, 0] if centres is not None else np.zeros(len(rows), int)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("vec_id").take(pa.array(rows)), pa.array(np.full(len(rows), size, np.int32)),
                      pa.array(where.astype(np.int32)), pa.array([v.tobytes() for v in matrix], pa.binary()),
@@ -155,7 +167,9 @@ def search(
                 if centres is None:
                     near = np.zeros((len(rows), 1), int)
                 else:
-                    near = nearest(np.stack([np.frombuffer(vectors[i], np.float64) for i in rows]), centres, len(centres))
+                    asked = np.stack([np.frombuffer(vectors[i], np.float64) for i in rows])
+                    asked = asked * (longest[size] / np.sqrt((asked * asked).sum(axis=1, keepdims=True)))
+                    near = nearest(np.pad(asked, ((0, 0), (0, 1))), centres, len(centres))
                 sums = np.cumsum(held[near], axis=1)
                 wanted = 1 + (sums < max(least_rows, probe_share * held.sum())).sum(axis=1)
                 pairs = [(i, c) for i, found, w in zip(rows, near, wanted) for c in found[:w]]
