@@ -129,3 +129,24 @@ def test_search_recall_on_uneven_lengths(spark):
     found = ann.search(table(spark, rows), F.col("vec_id") % 100 == 0, least_rows=100).collect()
     hits = sum(len({r.vec_id for r in found if r.query_id == q} & {i for _, i in neighbours(rows, q, 20)}) for q in range(0, 3000, 100))
     assert hits >= 0.9 * 20 * 30
+
+
+def test_search_of_repeated_rows(spark):
+    rng = np.random.default_rng(8)
+    rows = list(enumerate(rng.standard_normal((300, 16)).astype(np.float32)))
+    plain = {(r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(table(spark, rows), F.col("vec_id") % 20 == 0).collect()}
+    twice = ann.search(table(spark, rows * 2), F.col("vec_id") % 20 == 0).collect()
+    assert len(twice) == len(plain) == 15 * 20
+    assert [(r.query_id, r.rank, r.vec_id) for r in sorted(twice)] == [p[:3] for p in sorted(plain)]
+    # Several vectors under one vec_id: the best score of each pair of ids counts.
+    more = rows + [(i, v) for (i, _), (_, v) in zip(rows[:200], rows[100:])]
+    found = ann.search(table(spark, more), F.col("vec_id") % 20 == 0, probe_share=1.0, epsilon=100.0, block_rows=40, block_queries=5).collect()
+    for query in range(0, 300, 20):
+        best = {}
+        for i, v in more:
+            for j, q in more:
+                if j == query and i != query:
+                    best[i] = max(best.get(i, -np.inf), float(v.astype(float) @ q.astype(float)))
+        true = sorted((-score, i) for i, score in best.items())[:20]
+        mine = sorted((r.rank, r.vec_id) for r in found if r.query_id == query)
+        assert mine == [(k + 1, i) for k, (_, i) in enumerate(true)]

@@ -20,7 +20,9 @@ queries, so no task holds a whole list. Vectors of different dimension are not c
 
 Defined cases: null, zero and non-finite vectors and rows without vec_id take no part;
 equal scores go to the smaller vec_id; rows with the query's own vec_id are not its
-candidates; an empty table gives no rows.
+candidates; repeated rows count once. Several vectors under one vec_id are one query,
+answered by the neighbours of all of them, and one neighbour, by its best score. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -68,8 +70,11 @@ def rotation(size: int, seed: int) -> np.ndarray:
 
 
 def _best(asks: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of each query's k best, by query, best first; ties to the smaller id."""
-    order = np.lexsort((ids, -scores, asks))
+    """Places of each query's k best ids, by query, best first; ties to the smaller id."""
+    order = np.lexsort((-scores, ids, asks))
+    again = (asks[order][1:] == asks[order][:-1]) & (ids[order][1:] == ids[order][:-1])
+    order = order[np.concatenate([[True], ~again])[:len(order)]]
+    order = order[np.lexsort((ids[order], -scores[order], asks[order]))]
     head = np.searchsorted(asks[order], asks[order], "left")
     return order[np.arange(len(order)) - head < k]
 
@@ -90,7 +95,7 @@ def scan(queries: np.ndarray, owns: np.ndarray, rows: np.ndarray, ids: np.ndarra
     for at in range(0, len(rows), block):
         part = np.arange(at, min(at + block, len(rows)))
         alive = ids[part][None, :] != owns[:, None]
-        if at == 0 and len(part) > k:
+        if at == 0 and len(part) > k and len(np.unique(ids[part])) == len(part):
             whole = np.where(alive, queries @ rows[part].T, -np.inf)
             alive &= whole >= np.partition(whole, len(part) - k, axis=1)[:, [len(part) - k]] - 1e-9
         elif np.isfinite(bound).any():
@@ -178,7 +183,7 @@ def search(
                     [batch.column(n).take(take) for n in ("vec_id", "size", "vector")] + [pa.array([c for _, c in pairs], pa.int32())],
                     ["vec_id", "size", "vector", "list"])
 
-    asked = placed.filter("asks").select("vec_id", "size", "vector").mapInArrow(
+    asked = placed.filter("asks").select("vec_id", "size", "vector").distinct().mapInArrow(
         probe, "vec_id long, size int, vector binary, list int")
     asked = written(asked, "ann-probes")
     row_blocks = placed.groupBy("size", "list").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("row_blocks"))
@@ -206,6 +211,7 @@ def search(
         return pd.concat(out)
 
     found = groups.groupBy("size", "list", "row_blocks", "query_blocks").applyInPandas(look, "query_id long, vec_id long, score double")
+    best = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
