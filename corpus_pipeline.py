@@ -6,7 +6,7 @@ columns of documents. ``run`` writes each stage's rows as Parquet and reads them
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinledger.llm import jaccard_join, langid, mixing, packing, substring_dedup
@@ -20,10 +20,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the least doc_id; rows without doc_id stay."""
-    groups = jaccard_join.similar_documents(docs)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of similar documents the one with the least doc_id; rows without doc_id stay.
+
+    Unlike texts under one doc_id are documents of their own, the least in front. Rows that share
+    doc_id and text are one document, with the least of their other columns.
+    """
+    rest = [n for n in docs.columns if n not in ("doc_id", "text")]
+    known = docs.filter("doc_id IS NOT NULL").repartition("doc_id").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_rest"))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    known = known.withColumn("_nth", nth).withColumn("_id", F.when(F.col("_nth") == 1, F.col("doc_id")).otherwise(F.xxhash64("doc_id", "text")))
+    known = written(known.select("_id", "_nth", "doc_id", "text", "_rest.*"), "pipeline-texts")
+    groups = jaccard_join.similar_documents(known.select(F.col("_id").alias("doc_id"), "text"))
+    named = groups.select(F.col("doc_id").alias("_id"), "component_id").join(known.select("_id", "_nth", "doc_id"), "_id")
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_nth", "_id")).alias("first")).select("first._id")
+    kept = known.join(first, "_id", "left_semi").select(*docs.columns)
     return kept.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
 
 

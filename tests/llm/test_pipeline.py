@@ -96,3 +96,13 @@ def test_run_and_nothing(spark, monkeypatch):
     assert corpus_pipeline.run(spark, f"{folder}/some").count() > 30
     spark.createDataFrame([], SCHEMA).write.parquet(f"{folder}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{folder}/none").count() == 0
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """An unlike text under a repeated doc_id is neither lost nor a bridge between groups."""
+    one, two = (" ".join(f"{w}{i}" for i in range(60)) for w in ("a", "b"))
+    rows = [(3, one, "en", "a", 0), (7, one + " end", "en", "b", 0), (7, two, "en", "b", 0), (7, two, "en", "a", 0), (9, two + " end", "en", "b", 0),
+            (None, two, "en", "b", 0)]
+    docs = reachable(spark).createDataFrame(rows, SCHEMA).repartition(3)
+    found = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(map(tuple, found), key=repr) == sorted([rows[0], rows[3], rows[5]], key=repr)
