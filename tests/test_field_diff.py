@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from twinledger import Options
 from twinledger.operators import field_diff as fd
+from twinledger.operators import ordinals
 from twinledger.operators.findings import search
 from twinledger.operators.ordinals import running_number
 
@@ -131,3 +132,19 @@ def test_running_number(spark):
     df = spark.range(0, 1000, 1, 13).select((F.lit(999) - F.col("id")).alias("id"))
     rows = running_number(df, ["id"], "n").collect()
     assert sorted((r["id"], r["n"]) for r in rows) == [(i, i + 1) for i in range(1000)]
+
+
+def test_running_number_of_text_with_a_common_prefix(spark):
+    values = [(f"INV-2024-{i * 7919 % 3000 // 3:07d}", i if i % 50 else None) for i in range(3000)] + [(None, 1), ("", None)]
+    df = spark.createDataFrame(values, "name string, line long").repartition(3)
+    rows = running_number(df, ["name", "line"], "n").collect()
+    ranked = sorted(values, key=lambda v: (v[0] is not None, v[0] or "", v[1] is not None, v[1] or 0))
+    assert [(r.name, r.line) for r in sorted(rows, key=lambda r: r.n)] == ranked
+    assert [r.n for r in sorted(rows, key=lambda r: r.n)] == list(range(1, len(values) + 1))
+    # Names with one prefix, and rows with one name, are dealt over many buckets.
+    same = spark.createDataFrame([("x", i) for i in range(3000)], "name string, line long")
+    for frame in (df, same):
+        sizes = [r["count"] for r in ordinals._by_range(frame, ["name", "line"]).groupBy("_bucket").count().collect()]
+        assert sum(sizes) == frame.count() and max(sizes) <= 30
+    empty = spark.createDataFrame([], "name string, line long")
+    assert running_number(empty, ["name"]).count() == 0

@@ -42,12 +42,12 @@ def bucketed_ordinals(
 ) -> DataFrame:
     """1-based position by ``order``, for a natural order, by way of coarse buckets.
 
-    Without ``bucket`` the buckets are ranges of the first order column. A given one must never decrease along the order (a day, a key divided by a
+    Without ``bucket`` the buckets are ranges of the first order column, or of all where that is text. A given one must never decrease along the order (a day, a key divided by a
     width); NULL is a bucket of its own and comes first. Rows are ranked inside their
     bucket and shifted by the counts of the buckets before it; only the one row per
     bucket is ordered as a whole.
     """
-    tagged = _by_range(df, order[0]) if bucket is None else df.withColumn("_bucket", bucket)
+    tagged = _by_range(df, order) if bucket is None else df.withColumn("_bucket", bucket)
     sizes = tagged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(F.col("_bucket").alias("_of"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
@@ -60,18 +60,26 @@ def bucketed_ordinals(
     )
 
 
-def _by_range(df: DataFrame, name: str, ranges: int = 1000) -> DataFrame:
-    """Adds a bucket that never decreases along a column: how many of its ``ranges`` - 1 percentiles lie below.
+def _by_range(df: DataFrame, order: Sequence[str], ranges: int = 1000) -> DataFrame:
+    """Adds a bucket that never decreases along the order: how many of its bounds lie below.
 
-    The percentiles are a scalar subquery over the same rows, so the bounds follow the data at any
-    scale; equal values share a bucket. NULL has none below. Text goes by its first two characters.
+    The bounds are percentiles of the first column, ``ranges`` - 1; where that is text, which has
+    no percentiles, as many rows of a sorted sample, by all order columns: those with the least
+    hash. They are a scalar subquery over the same rows, so they follow the data at any scale.
+    Equal values share a bucket; NULL has none below.
     """
-    column, kind = F.col(f"`{name}`"), df.schema[name].dataType
+    column, kind = F.col(f"`{order[0]}`"), df.schema[order[0]].dataType
     if isinstance(kind, T.StringType):
-        return df.withColumn("_bucket", F.substring(column, 1, 2))
-    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    bounds = df.agg(F.percentile_approx(column, shares, 10 * ranges)).scalar()
-    below = F.size(F.filter(F.coalesce(F.col("_bounds"), F.array().cast(T.ArrayType(kind))), lambda b: b < column))
+        column = F.struct(*[F.col(f"`{c}`") for c in order])
+        sample = df.select(column.alias("_at")).orderBy(F.xxhash64("_at")).limit(20 * ranges)
+        found = F.sort_array(F.collect_list("_at"))
+        step = F.greatest(F.lit(1), F.ceil(F.count("*") / ranges))
+        bounds = sample.agg(F.filter(found, lambda b, i: i % step == step - 1)).scalar()
+        below = F.size(F.filter(F.col("_bounds"), lambda b: b < column))
+    else:
+        shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+        bounds = df.agg(F.percentile_approx(column, shares, 10 * ranges)).scalar()
+        below = F.size(F.filter(F.coalesce(F.col("_bounds"), F.array().cast(T.ArrayType(kind))), lambda b: b < column))
     return df.withColumn("_bounds", bounds).withColumn("_bucket", below).drop("_bounds")
 
 
