@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinledger.llm import (
-    ann, embedding_dedup, jaccard_join, langid, mixing, packing, substring_dedup, token_counts, url_filter, wavelet,
+    ann, embedding_dedup, fill_in_middle, jaccard_join, langid, mixing, packing, substring_dedup, token_counts, url_filter, wavelet,
 )
 from twinledger.llm.scratch import reachable
 
@@ -64,6 +64,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sequence_packing": op1_sequence_packing,
     "op2_language_id": op2_language_id,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_url_filter": op10_url_filter,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 SQL: dict[str, str] = {
@@ -112,5 +117,21 @@ WITH rules(verdict, h, p) AS (
   FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY n
 )
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (n)
+""",
+    "op11_fill_in_middle": """
+WITH parts AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n,
+    [('0x' || substr(sha256('1:' || coalesce(doc_id::VARCHAR, '')), 8 * k + 1, 8))::BIGINT FOR k IN [0, 1, 2, 3]] AS h FROM documents
+), cuts AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN n = 0 OR regexp_matches(t, '<[PSM]>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM parts
+), cut AS (
+  SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM cuts
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM cut
 """,
 }
