@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinledger.llm import (
-    ann, embedding_dedup, fill_in_middle, jaccard_join, langid, mixing, packing, substring_dedup, token_counts, url_filter, wavelet,
+    ann, embedding_dedup, fill_in_middle, jaccard_join, langid, mixing, packing, periodic_runs, substring_dedup, token_counts, url_filter, wavelet,
 )
 from twinledger.llm.scratch import reachable
 
@@ -68,6 +68,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(_table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic_runs.digests(periodic_runs.with_planted_run(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sequence_packing": op1_sequence_packing,
     "op2_language_id": op2_language_id,
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_url_filter": op10_url_filter,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 SQL: dict[str, str] = {
