@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinledger.llm import (
-    ann, embedding_dedup, fill_in_middle, jaccard_join, langid, mixing, packing, periodic_runs, substring_dedup, token_counts, url_filter, wavelet,
+    ann, decontamination, embedding_dedup, fill_in_middle, jaccard_join, langid, mixing, packing, periodic_runs, substring_dedup, token_counts,
+    url_filter, wavelet,
 )
 from twinledger.llm.scratch import reachable
 
@@ -73,6 +74,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.with_planted_run(docs))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sequence_packing": op1_sequence_packing,
     "op2_language_id": op2_language_id,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_decontamination": op13_decontamination,
 }
 
 SQL: dict[str, str] = {
@@ -139,5 +145,29 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
   sha256(t) AS restored_sha256
 FROM cut
+""",
+    "op13_decontamination": r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS n, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), starts AS (
+  SELECT item_id, w, least(len(w), 10) AS k, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS t FROM starts
+), places AS (
+  SELECT n, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k
+), found AS (
+  SELECT DISTINCT n, i, k, item_id FROM (SELECT n, i, k, array_to_string(w[i:i + k - 1], ' ') AS t FROM places) JOIN windows USING (k, t)
+), hit AS (
+  SELECT n, count(DISTINCT j) AS n_hit FROM (SELECT n, unnest(range(i, i + k)) AS j FROM found) GROUP BY n
+), listed AS (
+  SELECT n, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM found GROUP BY n
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (n) LEFT JOIN listed USING (n)
 """,
 }
