@@ -8,33 +8,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Where a row was read: file path, block start, and a number that grows by one within the block.
+PLACE = "_place"
 
-def file_ordinals(scan: DataFrame, row: str = "_row", file: str = "_file") -> DataFrame:
-    """1-based position of every row in its file, for a plain file scan.
 
-    Must be applied to the scan itself, before any filter or shuffle. Rows of a
-    file block carry consecutive ids, so a row's place in its block is its id
-    minus the block's lowest, and the counts of the blocks before it give the
-    rest. The rows are not shuffled; the joined table has one row per block.
+def block_offsets(rows: DataFrame, place: str = PLACE) -> DataFrame:
+    """Per file block of ``rows``: its first place, and how many rows the file has in earlier blocks.
+
+    ``rows`` are all rows of a scan with their places, whose numbers follow each other within a block.
     """
-    tagged = scan.select(
-        "*",
-        F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_name").alias(file),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_id"),
-    )
-    blocks = tagged.groupBy("_path", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    blocks = rows.groupBy(F.col(f"{place}.path").alias("_path"), F.col(f"{place}.block").alias("_block")).agg(
+        F.min(f"{place}.nth").alias("_first"), F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(
-        "_path", "_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
-    )
-    number = F.col("_before") + F.col("_id") - F.col("_first") + 1
-    return (
-        tagged.join(offsets, ["_path", "_block"])
-        .withColumn(row, number)
-        .drop("_path", "_block", "_id", "_first", "_before")
-    )
+    before = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    # The last grouping changes nothing; it tells the optimiser that a block has one row.
+    return before.groupBy("_path", "_block").agg(F.first("_first").alias("_first"), F.first("_before").alias("_before"))
+
+
+def with_row_numbers(df: DataFrame, offsets: DataFrame, row: str = "_row", place: str = PLACE) -> DataFrame:
+    """Replaces a row's place by its 1-based number in its file.
+
+    Only rows that show the number meet the offsets: where no later step reads it, the optimiser
+    drops this outer join, as it can neither add nor remove rows.
+    """
+    at = F.col(place)
+    number = F.col("_before") + at["nth"] - F.col("_first") + 1
+    joined = df.join(offsets, (at["path"] == F.col("_path")) & (at["block"] == F.col("_block")), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != place], number.alias(row))
 
 
 def bucketed_ordinals(

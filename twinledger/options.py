@@ -45,7 +45,7 @@ class Options:
     composite_keys: tuple[str, ...] = fixed.COMPOSITE_KEYS
     column_maps: dict = field(default_factory=lambda: fixed.COLUMN_MAPS)
     keep_extras: bool = False
-    multi_line: bool = False
+    multi_line: bool = False  # take every file for one whose quoted cells hold line breaks
 
     @property
     def missing_right(self) -> str:

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import os
+import re
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
 from ..functions import text as tx
-from ..operators.ordinals import file_ordinals
+from ..operators.ordinals import PLACE, block_offsets, with_row_numbers
 from ..options import DEFAULTS, Options
+from . import records
 
 
 class UnknownSource(ValueError):
@@ -45,26 +51,67 @@ def folder_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return files.withColumn("source_type", source_kind(F.col("file_name")))
 
 
-def scan_csv(spark: SparkSession, path: str | Sequence[str], options: Options = DEFAULTS) -> DataFrame:
-    """All columns as text, with file name and row ordinal.
+def scan_places(spark: SparkSession, path: str | Sequence[str], options: Options = DEFAULTS) -> DataFrame:
+    """All columns as text, with file name and the place each row was read at.
 
-    Header text is cleaned; short rows are filled with blanks and surplus fields
-    dropped. Files stay splittable unless quoted line breaks are expected.
+    Header text is cleaned; short rows are filled with blanks and surplus fields dropped. Files
+    with other columns, or the same in another order, are read apart and united by name;
+    missing columns are blank. One pass over the text finds every file's header and whether
+    a quoted cell may hold a line break; such files are cut into records by ``records``, all
+    others by line. Either way a file is read block by block.
     """
-    reader = (
-        spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
-        .option("multiLine", options.multi_line).option("enforceSchema", False)
-    )
-    raw = reader.csv(list(path) if not isinstance(path, str) else path)
-    names = [tidy_header(n) for n in raw.columns]
-    repeated = sorted({n for n in names if [x.lower() for x in names].count(n.lower()) > 1})
-    if repeated:
-        raise ValueError(f"Repeated column names: {', '.join(repeated)}")
-    rows = file_ordinals(raw)
-    return rows.select(
-        *[F.coalesce(tx.column(rows, c), F.lit("")).alias(n) for c, n in zip(raw.columns, names)],
-        "_row", "_file",
-    )
+    files = records.files_of(spark, path)
+    if not files:
+        raise ValueError(f"No header line in {path}")
+    groups: dict[tuple, list[records.File]] = {}
+    for file in files:
+        broken = file.broken or options.multi_line
+        groups.setdefault((_header(spark, file), broken), []).append(file)
+    scans, spelling = [], {}
+    for (names, broken), members in groups.items():
+        repeated = sorted({n for n in names if [x.lower() for x in names].count(n.lower()) > 1})
+        if repeated:
+            raise ValueError(f"Repeated column names: {', '.join(repeated)}")
+        names = [spelling.setdefault(n.lower(), n) for n in names]
+        schema = ", ".join(f"c{i} string" for i in range(len(names)))
+        whole = path if len(groups) == 1 else [_literal(f.path) for f in members]
+        if broken:
+            cut = records.records_of(spark, whole).where("block <> 0 OR nth <> 0")
+            cells = F.from_csv("value", schema, {"escape": '"', "multiLine": "true"})
+            scan = cut.select(cells.alias("c"), F.substring_index("path", "/", -1).alias("_file"), F.struct("path", "block", "nth").alias(PLACE))
+            scan = scan.select("c.*", "_file", PLACE)
+        else:
+            reader = spark.read.schema(schema).option("header", True).option("escape", '"')
+            scan = reader.csv(whole).select("*", F.col("_metadata.file_name").alias("_file"), F.struct(
+                F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+                F.monotonically_increasing_id().alias("nth")).alias(PLACE))
+        scans.append(scan.select(*[F.coalesce(f"c{i}", F.lit("")).alias(n) for i, n in enumerate(names)], "_file", PLACE))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
+    cells = [c for c in rows.columns if c not in ("_file", PLACE)]
+    # Spark gives names in the form they have in a URL.
+    spelt = F.when(F.contains("_file", F.lit("%")), F.url_decode(F.replace("_file", F.lit("+"), F.lit("%2B")))).otherwise(F.col("_file"))
+    return rows.select(*[(tx.cell(rows, c) if len(scans) > 1 else tx.column(rows, c)).alias(c) for c in cells], spelt.alias("_file"), PLACE)
+
+
+def scan_csv(spark: SparkSession, path: str | Sequence[str], options: Options = DEFAULTS) -> DataFrame:
+    """``scan_places`` with the row's number in its file; rows that don't show it are not joined for it."""
+    rows = scan_places(spark, path, options)
+    names = [c for c in rows.columns if c not in ("_file", PLACE)]
+    return with_row_numbers(rows, block_offsets(rows)).select(*[tx.column(rows, n) for n in names], "_row", "_file")
+
+
+def _header(spark: SparkSession, file: records.File) -> tuple[str, ...]:
+    """The column names of a file. A header of several lines is read on until its last cell closes."""
+    text, many = file.header, 16
+    while file.broken and records.is_open(text) and many < 1 << 20:
+        lines = records.lines_of(spark, _literal(file.path)).where("block = 0").limit(many).collect()
+        text, many = records.first_record([r.value for r in lines]), many * 4
+    return tuple(tidy_header(n) for n in next(csv.reader(io.StringIO(text, newline=""))))
+
+
+def _literal(path: str) -> str:
+    """A file's path as the readers take it: decoded, its pattern characters taken as they are."""
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", unquote(path))
 
 
 def tidy_header(name: str) -> str:
