@@ -5,8 +5,6 @@ Spark results show amounts as DOUBLE, so both engines return the same types.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinledger import fixed_values as fixed
+from twinledger import staging
 from twinledger.functions import dates as dt
 from twinledger.functions import numbers as num
 from twinledger.functions import text as tx
@@ -858,20 +857,9 @@ def normalise_date(spark, sf_dir):
 # --- Files ------------------------------------------------------------------------------------------------
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local session without one gets its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share.")
-        folder = tempfile.mkdtemp(prefix="twinledger-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def as_csv(feed: DataFrame) -> str:
     """Writes a feed as CSV files to a new folder beside the checkpoints, which all executors share."""
-    folder = f"{shared_folder(feed.sparkSession)}/feed-{uuid.uuid4().hex}"
+    folder = staging.new_path(feed.sparkSession, "feed")
     writer = feed.write.option("header", True).option("escape", '"')
     writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
     return folder

@@ -231,3 +231,34 @@ def test_padded_keys_meet(table):
     right = sc.normalise_mapped(table(h, ("0012", "001", "1"), ("inv7", "a1", "2"), ("(5)", "1,000", "3")))
     left = sc.normalise_mapped(table(h, ("12", "1", "1"), ("INV7", "A1", "2"), ("-5", "1000", "3")))
     assert right.exceptAll(left).count() == 0 == left.exceptAll(right).count()
+
+
+def _plans(*frames):
+    return [f._jdf.queryExecution().executedPlan().toString() for f in frames]
+
+
+def test_import_in_one_pass(spark, tmp_path):
+    """Side outputs of one scan: the same rows, findings and rejects as evaluated apart."""
+    header = "CustomerDomainName,ProductId,SkuId,ChargeType,TermAndBillingCycle,SubscriptionDescription,Quantity,ChargeStartDate,TaxTotal"
+    rows = [(f"c{i}.com" if i % 7 else "", f"p{i}", "s", 'a "quoted", cell' if i % 5 else "two\nlines", "", "Azure plan" if i % 11 == 0 else "x",
+             "many" if i % 3 == 0 else str(i), "soon" if i % 4 == 0 else "2024-01-02", str(5 - i)) for i in range(120)]
+    path = write(tmp_path / "G0_1.csv", header, *rows)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        feed = imports.import_feed(spark, path)
+        apart = imports.import_frame(feeds.scan_csv(spark, path), fixed.MICROSOFT, file_name="G0_1.csv")
+        key = lambda r: repr(sorted(r.asDict().items()))
+        for one, other in zip((feed.rows, feed.findings, feed.rejects), (apart.rows, apart.findings, apart.rejects)):
+            found = sorted(one.collect(), key=key)
+            assert found and sorted(one.columns) == sorted(other.columns)
+            assert [sorted(r.asDict().items()) for r in found] == [sorted(r.asDict().items()) for r in sorted(other.collect(), key=key)]
+        shown = feed.rows.drop("_row")
+        assert all("FileScan csv" not in p and "FileScan text" not in p for p in _plans(feed.rows, feed.findings, feed.rejects))
+        assert "Exchange" not in _plans(shown)[0] and "Join" not in _plans(shown)[0]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r["row"] for r in feed.findings.where("column = 'Quantity' AND rule = 'Q7'").collect()} == {i + 1 for i in range(120) if i % 3 == 0}
+    assert {r["_row"] for r in feed.rejects.collect()} == {i + 1 for i in range(120) if i % 7 == 0}

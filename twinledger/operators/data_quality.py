@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +12,7 @@ from ..functions import numbers as num
 from ..functions import text as tx
 from ..options import DEFAULTS, Options
 from .findings import collect_findings, counts_by_description, finding
-from .schema import FILE, ROW
+from .schema import FILE, MARKS, ROW
 
 
 def context(df: DataFrame) -> Column:
@@ -20,9 +20,9 @@ def context(df: DataFrame) -> Column:
     return F.concat(F.lit("Customer: "), customer, F.lit(", SKU: "), sku)
 
 
-def row_findings(df: DataFrame, file_name: str = "") -> DataFrame:
-    """Findings of the row rules Q1 to Q5."""
-    feed = [c for c in df.columns if c not in (ROW, FILE)]
+def row_rules(df: DataFrame, file_name: str = "") -> tuple[DataFrame, list[Column]]:
+    """The feed with the cells that the row rules Q1 to Q5 read parsed once, and the rules' findings."""
+    feed = [c for c in df.columns if c not in MARKS]
     quantity, zero = F.col("_quantity"), F.lit(0)
     priced = {n: found for n in fixed.PRICED_COLUMNS if (found := tx.find(df, n)) is not None}
     totals = [c for c in feed if "total" in c.lower()]
@@ -75,31 +75,56 @@ def row_findings(df: DataFrame, file_name: str = "") -> DataFrame:
                 F.col(amounts[name]) < 0, level="Warning", rule="Q5", column=name, raw=raw,
                 description="Negative total value", **common,
             ))
-    return collect_findings(parsed, rules)
+    return parsed, rules
+
+
+def row_findings(df: DataFrame, file_name: str = "") -> DataFrame:
+    """Findings of the row rules Q1 to Q5."""
+    return collect_findings(*row_rules(df, file_name))
+
+
+ROWS = "total_rows"
+
+
+def _critical(df: DataFrame) -> list[str]:
+    return [c for c in (tx.find(df, n) for n in fixed.CRITICAL_COLUMNS) if c is not None]
+
+
+def blank_counts(df: DataFrame) -> list[Column]:
+    """Aggregates: the rows, and per critical column those that are blank or zero."""
+    blank = [F.count_if(num.amount(df, c) == 0).alias(f"_{i}") for i, c in enumerate(_critical(df))]
+    return [F.count(F.lit(1)).alias(ROWS), *blank]
 
 
 def blank_rates(df: DataFrame) -> DataFrame:
     """Rows with a blank or zero value per critical column: one aggregate, then one row per column."""
-    found = [c for c in (tx.find(df, n) for n in fixed.CRITICAL_COLUMNS) if c is not None]
-    counts = df.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        *[F.count_if(num.amount(df, c) == 0).alias(f"_{i}") for i, c in enumerate(found)],
-    )
+    found, counts = _critical(df), df.agg(*blank_counts(df))
     cells = [
         F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.col(f"_{i}").alias("affected"))
         for i, c in enumerate(found)
     ]
     if not cells:
         return counts.select(
-            F.lit(0).alias("position"), F.lit("").alias("column"), F.lit(0).cast("long").alias("affected"), "total_rows"
+            F.lit(0).alias("position"), F.lit("").alias("column"), F.lit(0).cast("long").alias("affected"), ROWS
         ).limit(0)
-    return counts.select(F.explode(F.array(*cells)).alias("c"), "total_rows").select("c.*", "total_rows")
+    return counts.select(F.explode(F.array(*cells)).alias("c"), ROWS).select("c.*", ROWS)
 
 
 def blank_rate_findings(df: DataFrame, file_name: str = "", options: Options = DEFAULTS) -> DataFrame:
     """Findings about critical columns whose blank-or-zero rate is above the threshold."""
-    rates = blank_rates(df)
-    share = F.try_divide(F.col("affected").cast("decimal(20,0)"), F.col("total_rows").cast("decimal(20,0)"))
+    return _rate_findings(blank_rates(df), file_name, options)
+
+
+def blank_findings_of(
+    spark: SparkSession, df: DataFrame, counted: dict, file_name: str = "", options: Options = DEFAULTS
+) -> DataFrame:
+    """The same from the values of ``blank_counts(df)`` that were observed: one row per critical column."""
+    rows = [(i, c, counted[f"_{i}"], counted[ROWS]) for i, c in enumerate(_critical(df))]
+    return _rate_findings(spark.createDataFrame(rows, f"position int, column string, affected long, {ROWS} long"), file_name, options)
+
+
+def _rate_findings(rates: DataFrame, file_name: str, options: Options) -> DataFrame:
+    share = F.try_divide(F.col("affected").cast("decimal(20,0)"), F.col(ROWS).cast("decimal(20,0)"))
     above = F.coalesce(share > F.lit(options.blank_threshold), F.lit(False))
     percent = F.floor(share * 100).cast("string")
     row = finding(

@@ -10,9 +10,13 @@ from ..functions import text as tx
 from ..options import DEFAULTS, Options
 
 
+def is_usage_plan(df: DataFrame, name: str) -> Column:
+    return tx.cell(df, name) == fixed.USAGE_PLAN
+
+
 def drop_usage_plan(df: DataFrame, name: str) -> DataFrame:
     """Drops usage-plan rows by exact text."""
-    return df.where(tx.cell(df, name) != fixed.USAGE_PLAN)
+    return df.where(~is_usage_plan(df, name))
 
 
 def drop_usage_plan_any_case(df: DataFrame, name: str) -> DataFrame:

@@ -55,6 +55,13 @@ def finding(
     )
 
 
+def found_by(rules: Sequence[Column]) -> Column:
+    """The findings of a row as an array."""
+    if not rules:
+        return F.array().cast(T.ArrayType(FINDING_TYPE))
+    return F.array_compact(F.array(*rules)).cast(T.ArrayType(FINDING_TYPE))
+
+
 def collect_findings(df: DataFrame, structs: Sequence[Column]) -> DataFrame:
     """Evaluates any number of rules in one projection; one output row per finding."""
     if not structs:

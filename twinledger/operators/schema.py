@@ -14,9 +14,14 @@ from ..functions import text as tx
 from ..functions.arithmetic import arithmetic
 from ..options import DEFAULTS, Options
 from .findings import FINDING_TYPE
+from .ordinals import PLACE
 
 ROW = "_row"
 FILE = "_file"
+FOUND = "_found"  # findings of the row so far
+KEYED = "_keyed"  # whether the row has its key
+KEPT = "_kept"  # whether it also passes the feed's filters
+MARKS = (ROW, FILE, PLACE, FOUND, KEYED, KEPT)
 
 
 class MissingColumns(ValueError):
@@ -177,7 +182,7 @@ def map_canonical(df: DataFrame, kind: str, options: Options = DEFAULTS) -> Data
         tx.nonblank(built["CustomerDomainName"]), tx.cell(df, "CustomerName")
     )
     built["ProductId"] = F.coalesce(tx.nonblank(built["ProductId"]), tx.cell(df, "PartNumber"))
-    passed = [m for m in (ROW, FILE) if m in df.columns]
+    passed = [m for m in MARKS if m in df.columns]
     if options.keep_extras:
         known = {n.lower() for n in fixed.CANONICAL_COLUMNS} | set(passed)
         passed += [c for c in df.columns if c.lower() not in known]
@@ -222,8 +227,7 @@ def normalise_mapped(df: DataFrame, options: Options = DEFAULTS) -> DataFrame:
             return F.coalesce(num.lenient_number_text(c), c)
         return F.coalesce(num.lenient_number_text(c), F.upper(c)) if name.lower() in upper else c
 
-    marks = (ROW, FILE)
-    return df.select(*[tx.column(df, n) if n in marks else value(n).alias(n) for n in df.columns])
+    return df.select(*[tx.column(df, n) if n in MARKS else value(n).alias(n) for n in df.columns])
 
 
 def split_term(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
@@ -13,15 +13,17 @@ from ..functions import dates as dt
 from ..functions import numbers as num
 from ..functions import text as tx
 from ..operators import schema as sc
-from ..operators.data_quality import quality_findings
-from ..operators.filters import drop_usage_plan
-from ..operators.findings import collect_findings, finding
+from ..operators.data_quality import ROWS, blank_counts, blank_findings_of, quality_findings, row_rules
+from ..operators.filters import drop_usage_plan, is_usage_plan
+from ..operators.findings import FINDING_TYPE, collect_findings, finding, found_by
+from ..operators.ordinals import PLACE, block_offsets, with_row_numbers
 from ..options import DEFAULTS, Options
-from ..sources.feeds import detect_source, scan_csv
+from ..sources.feeds import detect_source, scan_places
+from ..staging import written
 
 
 class Feed(NamedTuple):
-    """An imported feed. All three frames are lazy and read the same scan."""
+    """An imported feed: three lazy frames over one table, or over the frame that was given."""
 
     rows: DataFrame
     findings: DataFrame
@@ -29,7 +31,7 @@ class Feed(NamedTuple):
 
 
 def _marks(df: DataFrame) -> list[str]:
-    return [c for c in (sc.ROW, sc.FILE) if c in df.columns]
+    return [c for c in sc.MARKS if c in df.columns]
 
 
 def _cleaned(raw: DataFrame) -> DataFrame:
@@ -40,10 +42,9 @@ def _cleaned(raw: DataFrame) -> DataFrame:
     ])
 
 
-def normalise(raw: DataFrame) -> DataFrame:
-    """Cleans every cell by its column's class: date, number or text. Unreadable cells stay."""
-    cells = _cleaned(raw)
-    marks = _marks(raw)
+def _normalised(cells: DataFrame) -> list[Column]:
+    """Each cell in the form of its column's class: date, number or text. Unreadable cells stay."""
+    marks = _marks(cells)
 
     def value(name: str):
         c = tx.column(cells, name)
@@ -55,19 +56,24 @@ def normalise(raw: DataFrame) -> DataFrame:
         keep_zeros = "id" in name.lower() or "sku" in name.lower()
         return text if keep_zeros else tx.strip_leading_zeros(text)
 
-    return cells.select(*[tx.column(cells, n) if n in marks else value(n).alias(n) for n in cells.columns])
+    return [tx.column(cells, n) if n in marks else value(n).alias(n) for n in cells.columns]
 
 
-def normalise_findings(raw: DataFrame, file_name: str = "") -> DataFrame:
-    """Dates and numbers that could not be read, and amounts too large to be compared."""
+def normalise(raw: DataFrame) -> DataFrame:
+    """Cleans every cell by its column's class: date, number or text. Unreadable cells stay."""
     cells = _cleaned(raw)
+    return cells.select(*_normalised(cells))
+
+
+def _cell_rules(cells: DataFrame, file_name: str) -> list[Column]:
+    """Findings about clean cells: unreadable dates and numbers, and amounts too large to be compared."""
     common = {
-        "row": F.col(sc.ROW) if sc.ROW in raw.columns else None,
-        "file_name": F.col(sc.FILE) if sc.FILE in raw.columns else file_name,
+        "row": F.col(sc.ROW) if sc.ROW in cells.columns else None,
+        "file_name": F.col(sc.FILE) if sc.FILE in cells.columns else file_name,
     }
     rules = []
-    for name in raw.columns:
-        if name in (sc.ROW, sc.FILE):
+    for name in cells.columns:
+        if name in sc.MARKS:
             continue
         c = tx.column(cells, name)
         if sc.is_date_name(name):
@@ -83,25 +89,29 @@ def normalise_findings(raw: DataFrame, file_name: str = "") -> DataFrame:
                 ((F.length(c) > 12) | c.rlike("[eE]")) & ~num.is_unreadable_number(c) & num.number_text(c).try_cast(num.AMOUNT).isNull(),
                 level="Error", rule="Q7", column=name, raw=c,
                 description=F.concat(F.lit("Number '"), c, F.lit("' is out of range.")), **common))
-    return collect_findings(cells, rules)
+    return rules
+
+
+def normalise_findings(raw: DataFrame, file_name: str = "") -> DataFrame:
+    """Dates and numbers that could not be read, and amounts too large to be compared."""
+    cells = _cleaned(raw)
+    return collect_findings(cells, _cell_rules(cells, file_name))
 
 
 def _keep_keyed(df: DataFrame, kind: str, options: Options) -> tuple[DataFrame, DataFrame]:
     keyed = sc.has_key(df, kind, options)
-    rejects = df.where(~keyed).select(
-        F.lit("WARN").alias("level"),
-        F.lit("Row skipped: missing CustomerDomainName or ProductId").alias("message"),
-        *_marks(df),
-    )
-    return df.where(keyed), rejects
+    return df.where(keyed), df.where(~keyed).select(*_reject_columns(), *_marks(df))
+
+
+def _reject_columns() -> list[Column]:
+    return [F.lit("WARN").alias("level"), F.lit("Row skipped: missing CustomerDomainName or ProductId").alias("message")]
 
 
 def canonical_right(normalised: DataFrame, options: Options = DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """The vendor feed from cleaned cells: mapped, usage-plan rows dropped, terms derived."""
     kept, rejects = _keep_keyed(normalised, fixed.MICROSOFT, options)
-    rows = sc.normalise_mapped(sc.map_canonical(kept, fixed.MICROSOFT, options), options)
-    rows = sc.split_term(drop_usage_plan(rows, fixed.USAGE_PLAN_RIGHT_COLUMN))
-    return sc.reorder(rows, fixed.RIGHT_LEADING_COLUMNS), rejects
+    rows = _mapped(kept, fixed.MICROSOFT, options)
+    return drop_usage_plan(rows, fixed.USAGE_PLAN_RIGHT_COLUMN), rejects
 
 
 def canonical_left(
@@ -110,10 +120,16 @@ def canonical_left(
     """The company's own feed from cleaned cells: mapped, renamed, SKU zeros and usage-plan rows dropped."""
     options = _with_old_names(normalised, options, kind)
     kept, rejects = _keep_keyed(normalised, kind, options)
-    rows = sc.normalise_mapped(sc.map_canonical(kept, kind, options), options)
+    return drop_usage_plan(_mapped(kept, kind, options), fixed.USAGE_PLAN_LEFT_COLUMN), rejects
+
+
+def _mapped(normalised: DataFrame, kind: str, options: Options) -> DataFrame:
+    """All rows of a feed in the canonical columns of its kind, with their derived values."""
+    rows = sc.normalise_mapped(sc.map_canonical(normalised, kind, options), options)
+    if kind == fixed.MICROSOFT:
+        return sc.reorder(sc.split_term(rows), fixed.RIGHT_LEADING_COLUMNS)
     rows = rows.withColumn("SkuId", tx.strip_leading_zeros(F.col("SkuId")))
-    rows = drop_usage_plan(rows, fixed.USAGE_PLAN_LEFT_COLUMN)
-    return sc.reorder(sc.ensure_columns(rows, fixed.CANONICAL_COLUMNS), fixed.LEADING_COLUMNS), rejects
+    return sc.reorder(sc.ensure_columns(rows, fixed.CANONICAL_COLUMNS), fixed.LEADING_COLUMNS)
 
 
 def _with_old_names(raw: DataFrame, options: Options, kind: str) -> Options:
@@ -131,25 +147,69 @@ def import_frame(
     """Imports an already loaded feed of text columns."""
     right = kind == fixed.MICROSOFT
     if check:
-        label = fixed.RIGHT_FEED_NAME if right else fixed.LEFT_FEED_NAME
-        names = fixed.REQUIRED_RIGHT if right else fixed.REQUIRED_LEFT
-        renames = () if right else fixed.LEFT_RENAMES
-        sc.require_mapped_columns(raw, label, names, options.column_maps[kind], renames)
+        _checked(raw, kind, options)
     normalised = normalise(raw)
     rows, rejects = canonical_right(normalised, options) if right else canonical_left(normalised, options, kind)
     findings = normalise_findings(raw, file_name).unionByName(quality_findings(normalised, file_name, options))
     return Feed(rows, findings, rejects)
 
 
+def _checked(raw: DataFrame, kind: str, options: Options) -> None:
+    right = kind == fixed.MICROSOFT
+    label = fixed.RIGHT_FEED_NAME if right else fixed.LEFT_FEED_NAME
+    names = fixed.REQUIRED_RIGHT if right else fixed.REQUIRED_LEFT
+    sc.require_mapped_columns(raw, label, names, options.column_maps[kind], () if right else fixed.LEFT_RENAMES)
+
+
+def in_one_pass(raw: DataFrame, kind: str, options: Options = DEFAULTS, seen: Observation | None = None) -> DataFrame:
+    """Every raw row once: its canonical columns, all its findings, whether it has a key and whether it is kept.
+
+    ``seen`` observes the counts that the whole-feed rules need while the rows pass.
+    """
+    cells = _cleaned(raw)
+    noted = cells.select(*_normalised(cells), found_by(_cell_rules(cells, "")).alias(sc.FOUND))
+    parsed, rules = row_rules(noted)
+    noted = parsed.select(
+        *[tx.column(parsed, n) for n in noted.columns if n != sc.FOUND], F.concat(sc.FOUND, found_by(rules)).alias(sc.FOUND))
+    if kind != fixed.MICROSOFT:
+        options = _with_old_names(noted, options, kind)
+    if seen is not None:
+        noted = noted.observe(seen, *blank_counts(noted))
+    noted = noted.withColumn(sc.KEYED, sc.has_key(noted, kind, options))
+    rows = _mapped(noted, kind, options)
+    plan = fixed.USAGE_PLAN_RIGHT_COLUMN if kind == fixed.MICROSOFT else fixed.USAGE_PLAN_LEFT_COLUMN
+    return rows.withColumn(sc.KEPT, F.col(sc.KEYED) & ~is_usage_plan(rows, plan))
+
+
 def import_feed(
     spark: SparkSession, path: str, kind: str | None = None, options: Options = DEFAULTS, check: bool = True
 ) -> Feed:
-    """Imports a file (its kind detected by name unless given); an empty feed is an error."""
+    """Imports a file (its kind detected by name unless given); an empty feed is an error.
+
+    The feed is read and evaluated once. Its rows are written to the shared folder with their findings
+    and flags, while the counts for the whole-feed rules are observed; the three frames read that table.
+    Row numbers meet only the rows that show them.
+    """
     kind = kind or detect_source(path)
-    raw = scan_csv(spark, path, options)
-    if raw.isEmpty():
-        raise ValueError(f"The selected {kind} file contains no rows.")
-    return import_frame(raw, kind, options, file_name=path.rsplit("/", 1)[-1], check=check)
+    raw = scan_places(spark, path, options)
+    empty = ValueError(f"The selected {kind} file contains no rows.")
+    if check:
+        try:
+            _checked(raw, kind, options)
+        except sc.MissingColumns as missing:  # an empty feed is the plainer message
+            raise (empty if raw.isEmpty() else missing) from None
+    seen = Observation()
+    staged = written(in_one_pass(raw, kind, options, seen), "import")
+    if not seen.get[ROWS]:
+        raise empty
+    offsets = block_offsets(staged)
+    shown = [c for c in staged.columns if c not in (PLACE, sc.FOUND, sc.KEYED, sc.KEPT)]
+    kept = staged.where(sc.KEPT).select(*[tx.column(staged, c) for c in shown], PLACE)
+    rejects = staged.where(~F.col(sc.KEYED)).select(*_reject_columns(), sc.FILE, PLACE)
+    found = staged.select(PLACE, F.inline(sc.FOUND)).drop("row")
+    found = with_row_numbers(found, offsets, "row").select(*FINDING_TYPE.names)
+    whole = blank_findings_of(spark, raw, seen.get, path.rsplit("/", 1)[-1], options)
+    return Feed(with_row_numbers(kept, offsets), found.unionByName(whole), with_row_numbers(rejects, offsets))
 
 
 def import_right(spark: SparkSession, path: str, options: Options = DEFAULTS) -> Feed:
