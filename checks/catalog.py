@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -857,14 +857,25 @@ def normalise_date(spark, sf_dir):
 # --- Files ------------------------------------------------------------------------------------------------
 
 
-def as_csv(feed: DataFrame) -> str:
+def as_csv(feed: DataFrame, folder: str | None = None) -> str:
     """Writes a feed as CSV files to a new folder beside the checkpoints, which all executors share."""
-    folder = staging.new_path(feed.sparkSession, "feed")
+    folder = folder or staging.new_path(feed.sparkSession, "feed")
     writer = feed.write.option("header", True).option("escape", '"')
     writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
     return folder
 
 
+def as_numbered_csv(feed: DataFrame, folder: str | None = None) -> str:
+    """The same with one file per value of file_no, its rows in the order of l_orderkey, l_linenumber and all other columns."""
+    order = ["l_orderkey", "l_linenumber", *[c for c in feed.columns if c not in ("l_orderkey", "l_linenumber", "file_no")]]
+    dealt = feed.repartitionById(feeds.FILES, F.col("file_no").cast("int")).sortWithinPartitions(*order)
+    return as_csv(dealt.drop("file_no"), folder)
+
+
+def file_no(name: str = "_file") -> Column:
+    return F.regexp_extract(name, r"^part-(\d+)", 1).cast("long").alias("file_no")
+
+
 @query("""
 SELECT CAST(count(*) AS BIGINT) AS n, true AS rows_are_dense, CAST(sum(CAST(l_quantity AS INT)) AS BIGINT) AS quantity FROM lineitem""")
 def csv_feed_scan(spark, sf_dir):
@@ -879,6 +890,31 @@ def csv_feed_scan(spark, sf_dir):
         F.sum("quantity").cast("long").alias("quantity"))
 
 
+@query(f"""
+SELECT file_no, CAST(row_number() OVER (PARTITION BY file_no ORDER BY l_orderkey, l_linenumber, Note, Price) AS BIGINT) AS row_no,
+       CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, Note, Price
+FROM ({feeds.sql(feeds.NOTES)}) x""")
+def csv_quoted_cells(spark, sf_dir):
+    """Quotes, commas and line breaks in cells, with the row number of every record."""
+    rows = sources.scan_csv(spark, as_numbered_csv(feeds.frame(spark, sf_dir, feeds.NOTES)))
+    return rows.select(file_no(), F.col("_row").alias("row_no"), "l_orderkey", "l_linenumber", "Note", "Price")
+
+
+@query(f"""
+SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, Note,
+       CASE WHEN file_no < 4 THEN Price ELSE '' END AS Price, CASE WHEN file_no < 4 THEN '' ELSE Price END AS Net
+FROM ({feeds.sql(feeds.NOTES)}) x""")
+def csv_unlike_headers(spark, sf_dir):
+    """Two deliveries of one kind: other columns, in another order and spelling."""
+    notes, parent = feeds.frame(spark, sf_dir, feeds.NOTES), staging.new_path(spark, "kinds")
+    as_csv(notes.where("file_no < 4").drop("file_no"), f"{parent}/G0-1")
+    as_csv(notes.where("file_no >= 4").select(
+        F.col("Note").alias("note"), F.col("Price").alias("Net"), F.col("l_linenumber").alias(" L_LINENUMBER"), "l_orderkey"), f"{parent}/g0-2")
+    rows = sources.scan_kind(spark, parent, fixed.MICROSOFT)
+    found = [tx.column(rows, tx.find(rows, n)).alias(n) for n in ("l_orderkey", "l_linenumber", "Note", "Price", "Net")]
+    return rows.select(*found)
+
+
 # --- Imports --------------------------------------------------------------------------------------------
 
 
@@ -936,6 +972,44 @@ def canonical_map_left(spark, sf_dir):
         "TermAndBillingCycle", "BillingFrequency", "ReferenceId", "Currency")
 
 
+@query(SQL["canonical_map_left"])
+def csv_auto_import(spark, sf_dir):
+    """The kind comes from the name."""
+    path = as_csv(feeds.frame(spark, sf_dir, feeds.RAW_LEFT), f"{staging.new_path(spark, 'import')}/IND_2024")
+    return imports.import_feed(spark, path).rows.select(
+        "CustomerDomainName", "ProductId", "SkuId", "ProductName", "UnitPrice", "Total", "ChargeStartDate",
+        "TermAndBillingCycle", "BillingFrequency", "ReferenceId", "Currency")
+
+
+def numbered_right(spark, sf_dir) -> imports.Feed:
+    return imports.import_feed(spark, as_numbered_csv(feeds.frame(spark, sf_dir, feeds.NUMBERED_RIGHT)), fixed.MICROSOFT)
+
+
+_NUMBERED = f"""WITH x AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY file_no ORDER BY l_orderkey, l_linenumber, CustomerDomainName, ProductId, ChargeType,
+    InvoiceNumber, SkuId, ProductName, UnitPrice, Quantity, Subtotal, ChargeStartDate, ChargeEndDate, TermAndBillingCycle, BillingFrequency,
+    SubscriptionDescription) AS BIGINT) AS n
+  FROM ({feeds.sql(feeds.NUMBERED_RIGHT)}) f)"""
+
+
+@query(f"""{_NUMBERED}, z AS (SELECT *, 'Customer: (missing), SKU: ' || SkuId AS c FROM x)
+SELECT file_no, n AS "row", 'Error' AS level, 'Q7' AS rule, 'Subtotal' AS "column", 'Invalid numeric ''n/a'' – unable to parse.' AS description,
+       'n/a' AS raw_value, '' AS context FROM z WHERE l_linenumber = 2
+UNION ALL SELECT file_no, n, 'Error', 'Q7', 'ChargeEndDate', 'Invalid date ''soon'' – unable to parse.', 'soon', '' FROM z WHERE l_linenumber = 3
+UNION ALL SELECT file_no, n, 'Error', 'Q4', 'ChargeEndDate', 'Invalid date format', 'soon', c FROM z WHERE l_linenumber = 3
+UNION ALL SELECT file_no, n, 'Warning', 'Q5', 'Subtotal', 'Negative total value', '-' || rtrim(Subtotal, '-'), c FROM z WHERE l_linenumber <> 2""")
+def csv_import_findings(spark, sf_dir):
+    """Findings of an import with their file and row number."""
+    found = numbered_right(spark, sf_dir).findings
+    return found.select(file_no("file_name"), "row", "level", "rule", "column", "description", "raw_value", "context")
+
+
+@query(f"""{_NUMBERED}
+SELECT file_no, n AS "row", 'WARN' AS level, 'Row skipped: missing CustomerDomainName or ProductId' AS message FROM x WHERE trim(ProductId) = ''""")
+def csv_import_rejects(spark, sf_dir):
+    return numbered_right(spark, sf_dir).rejects.select(file_no(), F.col("_row").alias("row"), "level", "message")
+
+
 def _plain_sql(expr: str) -> str:
     return f"rtrim(rtrim(CAST(CAST({expr} AS DECIMAL(28,6)) AS VARCHAR), '0'), '.')"
 

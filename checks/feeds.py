@@ -225,6 +225,22 @@ SELECT {_RAW_COMMON}
 FROM {{lineitem}}
 """
 
+# --- Feeds for CSV files: file_no and the order of the rows in a file are known -----------------------
+
+FILES = 8
+NUMBERED_RIGHT = RAW_RIGHT.replace(
+    "'dropped' AS ExtraColumn", f"'dropped' AS ExtraColumn, l_orderkey, l_linenumber, l_suppkey % {FILES} AS file_no")
+NOTES = f"""
+SELECT l_orderkey, l_linenumber, l_suppkey % {FILES} AS file_no,
+       CASE l_orderkey % 7 WHEN 0 THEN concat('two', chr(10), 'lines ', l_linenumber)
+                           WHEN 1 THEN concat('say "', l_returnflag, '", twice')
+                           WHEN 2 THEN concat('"', chr(10), ',"', chr(10), '"",', l_linestatus)
+                           WHEN 3 THEN concat(chr(10), chr(10), l_linestatus, ',')
+                           WHEN 4 THEN '' WHEN 5 THEN concat(l_returnflag, '"') ELSE concat(' ', l_returnflag) END AS Note,
+       {_text('l_extendedprice')} AS Price
+FROM {{lineitem}}
+"""
+
 
 def frame(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """A feed text over the parquet tables."""
