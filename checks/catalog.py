@@ -728,8 +728,7 @@ SELECT CAST(total_rows AS BIGINT) AS total_rows, CAST(errors AS BIGINT) AS error
        || 'Most common error: ' || top_error || chr(10) || 'Columns with blanks >10%: ' || blank_columns AS summary
 FROM s""")
 def dq_summary(spark, sf_dir):
-    feed = quality(spark, sf_dir)
-    return dq.quality_summary(feed, dq.quality_findings(feed, "feed"))
+    return dq.feed_summary(quality(spark, sf_dir))
 
 
 @query(quality_sql() + """

@@ -1,3 +1,6 @@
+import random
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,9 +127,45 @@ def test_cap_per_group(spark):
     assert fi.cap_per_group(issues(spark, 2), Options(max_detailed_rows=2)).count() == 2
 
 
-def test_cap_prunes_before_the_shuffle(spark):
+def test_cap_evaluates_findings_once(spark):
     plan = fi.cap_per_group(issues(spark, 5))._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+    assert plan.count("MapInPandas") == 1 and "Window" not in plan and "Join" not in plan and "Union" not in plan
+
+
+def test_cap_of_many_parts(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = [(rng.choice(["Error", "Warning"]), rng.choice("TU"), rng.randrange(-1, 40), rng.choice(["A", "B"]), f"d{min(rng.randrange(40), 12)}",
+             rng.choice(["", "x", "é"]), rng.choice(["f", "g"]), "", False) for _ in range(900)]
+    for limit in (1, 5):
+        groups = {}
+        for r in rows:
+            groups.setdefault((r[0], r[3], r[4]), []).append(r)
+        want = []
+        for (level, column, description), found in groups.items():
+            found = sorted(found, key=lambda r: (r[2], r[5], r[6], r[7], r[1]))
+            want += [(r[0], r[2], r[3], r[4], r[5], r[6], False) for r in found[:limit]]
+            if len(found) > limit:
+                text = f"{len(found) - limit} additional rows had the same error: {description}"
+                want.append((level, -1, column, text, "", min(r[6] for r in found), True))
+        capped = fi.cap_per_group(spark.createDataFrame(rows, fi.FINDING_TYPE).repartition(7), Options(max_detailed_rows=limit))
+        got = [(r["level"], r["row"], r["column"], r["description"], r["raw_value"], r["file_name"], r["is_summary"]) for r in capped.collect()]
+        assert sorted(got) == sorted(want)
+    # A partition that holds few rows passes groups on several times; the counts stay.
+    monkeypatch.setattr(fi, "_HELD", 20)
+    frame = pd.DataFrame(rows, columns=fi.FINDING_TYPE.names)
+    parts = pd.concat(fi._least_rows(5)(frame[i:i + 15] for i in range(0, 900, 15)))
+    assert len(parts) > 60 and parts["_n"].sum() == 900
+
+
+def test_summary_of_a_feed_in_one_pass(table):
+    rng = random.Random(2)
+    cell = lambda: rng.choice(["", "0", "1", "50", "200", "-5", "x", "soon", " "])
+    df = table("Quantity,PartnerDiscountPercentage,CustomerSubTotal,OrderDate,PartnerTotal", *[[cell() for _ in range(5)] for _ in range(80)])
+    for feed in (df, df.limit(0)):
+        assert dq.feed_summary(feed).first() == dq.quality_summary(feed, dq.quality_findings(feed)).first()
+    assert dq.feed_summary(df.select("OrderDate")).first()["total_rows"] == 80
+    plan = dq.feed_summary(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") == 1 and "Union" not in plan
 
 
 def test_counts_and_levels(spark):

@@ -87,7 +87,7 @@ def with_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     A filter on a plain computed column is pushed below it with a second copy of
     its expression. The one-element ``inline`` keeps the filter above.
     """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    return df.select("*", F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def is_text(df: DataFrame, name: str) -> bool:

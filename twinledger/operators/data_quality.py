@@ -11,7 +11,7 @@ from ..functions import dates as dt
 from ..functions import numbers as num
 from ..functions import text as tx
 from ..options import DEFAULTS, Options
-from .findings import collect_findings, counts_by_description, finding
+from .findings import collect_findings, counts_by_description, finding, found_by
 from .schema import FILE, MARKS, ROW
 
 
@@ -152,28 +152,49 @@ def most_common_error(findings: DataFrame) -> DataFrame:
 
 def quality_summary(df: DataFrame, findings: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """One row: rows, errors, warnings, most common error, columns above the blank threshold."""
-    counts = counts_by_description(findings)
     rates = blank_rates(df)
-    parts = counts.select("level", "description", "n").unionByName(
-        rates.select("position", "column", "affected", "total_rows"), allowMissingColumns=True
+    parts = counts_by_description(findings).unionByName(
+        rates.select("position", "column", "affected", F.col(ROWS).alias("_rows")), allowMissingColumns=True
     )
+    listed = F.array_sort(F.collect_list(F.struct("position", "column", "affected")))
+    return _summary(parts, F.max("_rows"), F.filter(listed, lambda x: x["affected"].isNotNull()), F.lit(0), options)
+
+
+def feed_summary(df: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+    """The summary of a feed's own findings, rules and blank rates alike, from one evaluation.
+
+    Every finding is a row, and the first of a data row's also counts that row and its blank cells.
+    """
+    parsed, rules = row_rules(df)
+    names = _critical(df)
+    cells = parsed.select(found_by(rules).alias("found"), *[(num.amount(parsed, c) == 0).alias(f"_{i}") for i, c in enumerate(names)])
+    each = cells.select("*", F.posexplode_outer("found").alias("pos", "f")).withColumn("new", F.coalesce("pos", F.lit(0)) == 0)
+    parts = each.groupBy(F.col("f.level").alias("level"), F.col("f.description").alias("description")).agg(
+        F.count("pos").alias("n"), F.count_if("new").alias("_rows"), *[F.count_if(F.col("new") & F.col(f"_{i}")).alias(f"_{i}") for i in range(len(names))])
+    counted = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.coalesce(F.sum(f"_{i}"), F.lit(0)).alias("affected"))
+               for i, c in enumerate(names)]
+    listed = F.array(*counted) if counted else F.array().cast("array<struct<position:int,column:string,affected:bigint>>")
+    share = F.lit(options.blank_threshold) * F.sum("_rows")
+    above = F.size(F.filter(listed, lambda x: x["affected"] > share))
+    return _summary(parts, F.sum("_rows"), listed, F.coalesce(above, F.lit(0)), options)
+
+
+def _summary(parts: DataFrame, rows: Column, listed: Column, more_warnings: Column, options: Options) -> DataFrame:
+    """One row from counts per level and description, with the affected rows of the critical columns."""
     error = F.col("level") == "Error"
-    over = F.col("affected") > F.lit(options.blank_threshold) * F.col("total_rows")
-    listed = F.array_sort(F.collect_list(F.when(over, F.struct(
-        "position",
-        F.concat("column", F.lit(": "), F.col("affected").cast("string"), F.lit("/"),
-                 F.col("total_rows").cast("string")).alias("line"),
-    ))))
     summary = parts.agg(
-        F.coalesce(F.max("total_rows"), F.lit(0)).cast("long").alias("total_rows"),
+        F.coalesce(rows, F.lit(0)).cast("long").alias("total_rows"),
         F.coalesce(F.sum(F.when(error, F.col("n"))), F.lit(0)).cast("long").alias("errors"),
-        F.coalesce(F.sum(F.when(F.col("level") == "Warning", F.col("n"))), F.lit(0)).cast("long").alias("warnings"),
+        (F.coalesce(F.sum(F.when(F.col("level") == "Warning", F.col("n"))), F.lit(0)) + more_warnings).cast("long").alias("warnings"),
         F.min(F.when(error, F.struct((-F.col("n")).alias("n"), F.col("description")))).alias("_top"),
-        F.array_join(F.transform(listed, lambda x: x["line"]), "; ").alias("blank_columns"),
+        listed.alias("_listed"),
     )
+    over = F.filter("_listed", lambda x: x["affected"] > F.lit(options.blank_threshold) * F.col("total_rows"))
+    line = F.transform(over, lambda x: F.concat(
+        x["column"], F.lit(": "), x["affected"].cast("string"), F.lit("/"), F.col("total_rows").cast("string")))
     summary = summary.select(
         "total_rows", "errors", "warnings",
-        F.coalesce(F.col("_top.description"), F.lit("None")).alias("top_error"), "blank_columns",
+        F.coalesce(F.col("_top.description"), F.lit("None")).alias("top_error"), F.array_join(line, "; ").alias("blank_columns"),
     )
     text = F.concat(
         F.lit("Total rows: "), F.col("total_rows").cast("string"),

@@ -5,9 +5,10 @@ A finding is one row; ``row`` is -1 for findings about a whole feed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,46 +64,76 @@ def found_by(rules: Sequence[Column]) -> Column:
 
 
 def collect_findings(df: DataFrame, structs: Sequence[Column]) -> DataFrame:
-    """Evaluates any number of rules in one projection; one output row per finding."""
+    """Evaluates any number of rules in one projection; one output row per finding.
+
+    The outer form matters: below the inner one the optimiser puts a filter on the array's
+    size, which evaluates all rules a second and a third time.
+    """
     if not structs:
         return df.sparkSession.createDataFrame([], FINDING_TYPE)
-    return (
-        df.select(F.explode(F.array_compact(F.array(*structs))).alias("f"))
-        .select("f.*")
-    )
+    return df.select(found_by(structs).alias("found")).select(F.inline_outer("found")).where(F.col("level").isNotNull())
+
+
+_ORDER = ("row", "raw_value", "file_name", "context")
+_HELD = 50_000
+_PARTIAL = T.StructType([*FINDING_TYPE, *(T.StructField(n, t) for n, t in (
+    ("_n", T.LongType()), ("_file", T.StringType()), ("_least", T.StringType()))) ])
+
+
+def _least_rows(limit: int):
+    """Reduces a partition's findings to the first rows of each group, the first of them with the group's count.
+
+    At most some ``_HELD`` rows are held; groups that were passed on before may come again.
+    """
+    def reduced(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(parts, ignore_index=True).sort_values([*GROUP, *_ORDER], kind="stable", ignore_index=True)
+        groups = rows.groupby(list(GROUP), sort=False, dropna=False)
+        nth = groups.cumcount()
+        rows["_n"] = groups["_n"].transform("sum").where(nth == 0, 0)
+        rows["_file"], rows["_least"] = groups["_file"].transform("min"), groups["_least"].transform("min")
+        return rows[nth < limit]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for frame in frames:
+            held.append(frame.assign(_n=1, _file=frame["file_name"], _least=frame["rule"]))
+            if sum(map(len, held)) > _HELD:
+                held = [reduced(held)]
+                if len(held[0]) > _HELD // 2:
+                    yield held.pop()
+        if held:
+            yield reduced(held)
+
+    return run
 
 
 def cap_per_group(findings: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """The first rows of every (level, column, description) group and one overflow row per larger group.
 
-    The row_number filter lets Spark keep the first rows of a group per input
-    partition already, and the counts combine before the shuffle: a group of
+    The findings are evaluated once: each partition is reduced to the counts and first rows of its
+    groups, and these small tables are merged, first in 256 shares, then as a whole. So a group of
     any size reaches one task only as a few rows.
     """
     limit = options.max_detailed_rows
-    order = Window.partitionBy(*GROUP).orderBy("row", "raw_value", "file_name", "context")
-    first = findings.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n")
-    overflow = (
-        findings.groupBy(*GROUP)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("file_name").alias("_file"), F.min("rule").alias("_rule"))
-        .where(F.col("_n") > limit)
-        .select(
-            "level",
-            F.col("_rule").alias("rule"),
-            F.lit(-1).cast("long").alias("row"),
-            "column",
-            F.concat(
-                (F.col("_n") - limit).cast("string"),
-                F.lit(" additional rows had the same error: "),
-                F.col("description"),
-            ).alias("description"),
-            F.lit("").alias("raw_value"),
-            F.col("_file").alias("file_name"),
-            F.lit("").alias("context"),
-            F.lit(True).alias("is_summary"),
-        )
-    )
-    return first.unionByName(overflow)
+    rest = [n for n in FINDING_TYPE.names if n not in GROUP and n not in _ORDER]
+    line = F.struct(*_ORDER, *rest)
+
+    def merged(rows: DataFrame, lines: Column, *keys: str) -> DataFrame:
+        least = F.slice(F.array_sort(lines), 1, limit)
+        return rows.groupBy(*GROUP, *keys).agg(
+            F.sum("_n").alias("_n"), F.min("_file").alias("_file"), F.min("_least").alias("_least"), least.alias("lines"))
+
+    parts = findings.select(*FINDING_TYPE.names).mapInPandas(_least_rows(limit), _PARTIAL)
+    shares = merged(parts.withColumn("_share", F.spark_partition_id() % 256), F.collect_list(line), "_share")
+    whole = merged(shares, F.flatten(F.collect_list("lines")))
+    text = F.concat((F.col("_n") - limit).cast("string"), F.lit(" additional rows had the same error: "), F.col("description"))
+    first = F.transform("lines", lambda x: F.struct(*[
+        (F.col(n) if n in GROUP else x[n]).alias(n) for n in FINDING_TYPE.names]))
+    overflow = F.struct(
+        F.col("level"), F.col("_least").alias("rule"), F.lit(-1).cast("long").alias("row"), F.col("column"), text.alias("description"),
+        F.lit("").alias("raw_value"), F.col("_file").alias("file_name"), F.lit("").alias("context"), F.lit(True).alias("is_summary"))
+    more = F.when(F.col("_n") > limit, F.array(overflow)).otherwise(F.array().cast(T.ArrayType(FINDING_TYPE)))
+    return whole.select(F.concat(first.cast(T.ArrayType(FINDING_TYPE)), more.cast(T.ArrayType(FINDING_TYPE))).alias("found")).select(F.inline("found"))
 
 
 def counts_by_description(findings: DataFrame) -> DataFrame:
