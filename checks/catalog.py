@@ -206,6 +206,43 @@ def partner_slice(spark, sf_dir):
     return bk.compare_business_keys(*pair(spark, sf_dir, feeds.LEFT, feeds.RIGHT), OPTIONS)
 
 
+LARGE = """
+SELECT concat('c', l_suppkey % 7) AS CustomerDomainName, concat('p', l_orderkey % 11) AS ProductId,
+       CASE WHEN l_orderkey % 11 = 0 AND l_suppkey % 7 = {part} THEN '1E33' ELSE '1' END AS Quantity,
+       CASE WHEN l_orderkey % 11 = 1 THEN '90000000000000000000000000000000' WHEN l_orderkey % 11 = 2 THEN '{sign}9E31'
+            ELSE '250000000000000.25' END AS Total,
+       CASE WHEN l_linenumber = 7 THEN '1E15' ELSE '-3.5' END AS Subtotal, '0' AS TaxTotal
+FROM {{lineitem}} WHERE {where}"""
+LARGE_LEFT = LARGE.format(part=3, sign="", where="l_orderkey % 11 <> 2 OR l_linenumber = 1")
+LARGE_RIGHT = LARGE.format(part=3, sign="-", where="l_orderkey % 11 <> 2 OR l_linenumber = 1")
+
+
+def large_side(text: str) -> str:
+    return f"""SELECT upper(CustomerDomainName) AS c, upper(ProductId) AS p, count(*) AS n, bool_or(Quantity = '1E33') AS over,
+       sum(CASE WHEN Total LIKE '9%' THEN 900000000 WHEN Total LIKE '-9%' THEN -900000000 ELSE 0 END) AS parts,
+       sum(CASE WHEN Total LIKE '2%' THEN 25000000000000025::HUGEINT ELSE 0 END) AS cents,
+       sum(CASE WHEN Subtotal = '1E15' THEN 10000000000000000::HUGEINT / 10 ELSE -35 END) AS tenths
+FROM ({feeds.sql(text)}) f GROUP BY 1, 2"""
+
+
+@query(f"""WITH l AS ({large_side(LARGE_LEFT)}), r AS ({large_side(LARGE_RIGHT)}),
+j AS (SELECT l.c, l.p, l.n AS ln, l.parts AS lp, r.parts AS rp, l.over OR r.over OR abs(l.parts) >= 1000000000 OR abs(r.parts) >= 1000000000 AS lost,
+             l.cents AS lc FROM l JOIN r ON l.c = r.c AND l.p = r.p)
+SELECT c AS CustomerDomainName, p AS ProductId,
+       CASE WHEN lost THEN '{fixed.DATA_ERROR}' WHEN lp = rp THEN '{fixed.MATCHED}' ELSE '{fixed.MISMATCHED}' END AS Status,
+       CASE WHEN lost THEN 'Amount out of range' WHEN lp = rp THEN '' ELSE 'Total:' || CASE WHEN lp > rp THEN '+' ELSE '' END
+            || (lp - rp)::HUGEINT || '00000000000000000000000' END AS MismatchDetails,
+       CAST(CASE WHEN lp = 0 THEN (lc // 100)::VARCHAR || '.' || lpad((lc % 100)::VARCHAR, 2, '0') END AS DOUBLE) AS {HUB}Total
+FROM j""")
+def large_amounts(spark, sf_dir):
+    """Amounts and totals at the border of what can be held: reported, never read as 0 or ended by an error."""
+    left, right = pair(spark, sf_dir, LARGE_LEFT, LARGE_RIGHT)
+    shown = bk.compare_business_keys(left, right)
+    total = F.col(f"{HUB}Total")
+    cents = F.col("ProductId").isin("P1", "P2")
+    return shown.select(*bk.KEYS, "Status", "MismatchDetails", F.when(~cents, total.cast("double")).alias(f"{HUB}Total"))
+
+
 def summary_sql(keys: str) -> str:
     def n(cond: str) -> str:
         return f"CAST(count(*) FILTER (WHERE {cond}) AS BIGINT)"

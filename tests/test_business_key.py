@@ -221,3 +221,19 @@ def test_large_typed_amounts_differ(spark):
     kind = "CustomerDomainName string, ProductId string, Quantity int, Total decimal(20,2)"
     left, right = (spark.createDataFrame([("d", "p", 1, Decimal(t))], kind) for t in (10**13, 3 * 10**13))
     assert bk.compare_business_keys(left, right).first()["Status"] == "Mismatched"
+
+
+def test_large_amounts(table):
+    h = "CustomerDomainName,ProductId,Quantity,Total"
+    big, least = "9E31", "-90000000000000000000000000000000"
+    left = table(h, ("a", "1", "1E33", "1"), ("b", "1", "1", big), ("b", "1", "1", big), ("c", "1", "1", big),
+                 ("d", "1", "1", big), ("d", "1", "1", big), ("d", "1", "1", least), ("e", "1", "1e15", "0.000001"), ("f", "1", "x" * 40, "1"))
+    right = table(h, ("a", "1", "7E33", "1"), ("b", "1", "2", "1"), ("c", "1", "1", least), ("d", "1", "3", big), ("e", "1", "1E15", "0"), ("f", "1", "0", "1"))
+    got = {r["CustomerDomainName"]: (r["Status"], r["MismatchDetails"]) for r in bk.compare_business_keys(left, right).collect()}
+    assert got == {
+        "A": ("Data Error", "Amount out of range"), "B": ("Data Error", "Amount out of range"),
+        "C": ("Mismatched", "Total:+180000000000000000000000000000000"), "D": ("Matched", ""), "E": ("Matched", ""), "F": ("Matched", "")}
+    assert {r["CustomerDomainName"]: r["has_error"] for r in bk.key_totals(left).collect()} == {
+        "A": True, "B": True, "C": False, "D": False, "E": False, "F": False}
+    log = bk.run_log(bk.compare_keys(left, right)).where("message LIKE '%out of range'")
+    assert {r["message"] for r in log.collect()} == {"Key A|1 has an amount out of range", "Key B|1 has an amount out of range"}

@@ -91,6 +91,45 @@ def amount(df: DataFrame, name: str, fallback: str | None = None) -> Column:
     return F.when(blank, second).otherwise(first)
 
 
+def is_beyond_range(df: DataFrame, name: str, fallback: str | None = None) -> Column:
+    """Whether ``amount`` reads 0 for a number that is too large to be held."""
+    found = tx.find(df, name)
+    other = F.lit(False) if fallback is None else is_beyond_range(df, fallback)
+    if found is None:
+        return other
+    c = tx.column(df, found)
+    if tx.is_text(df, found):
+        # Up to 32 characters without an exponent always fit.
+        long = (F.length(c) > 32) | F.contains(c, F.lit("e")) | F.contains(c, F.lit("E"))
+        own, blank = long & c.rlike(LENIENT) & lenient_decimal(c).isNull(), tx.is_blank(c)
+    else:
+        own, blank = c.isNotNull() & c.try_cast(AMOUNT).isNull(), c.isNull()
+    return F.coalesce(own if fallback is None else F.when(blank, other).otherwise(own), F.lit(False))
+
+
+_LIMB = 10 ** 12
+
+
+def wide_sum(c: Column) -> Column:
+    """The exact sum of amounts in any order of addition; NULL for no amount and for a sum that can't be held.
+
+    What lies below and what lies above a trillion is summed apart, so no partial sum overflows.
+    Nearly all amounts have only the lower part, in which they pass as 64-bit numbers.
+    """
+    low = c.try_cast("decimal(18,6)")
+    rest = c % F.lit(_LIMB).cast("decimal(13,0)")
+    lower = F.sum(F.coalesce(low, rest.cast("decimal(18,6)")))
+    upper = F.sum(F.when(low.isNull(), ((c - rest) / F.lit(_LIMB).cast("decimal(13,0)")).cast("decimal(20,0)")))
+    above = F.try_multiply(F.coalesce(upper, F.lit(0)).cast("decimal(25,0)"), F.lit(_LIMB).cast("decimal(13,0)"))
+    return F.when(upper.isNull(), lower.cast(TOTAL)).otherwise(F.try_add(above.try_cast(TOTAL), lower.cast(TOTAL)))
+
+
+def difference(a: Column, b: Column) -> Column:
+    """a - b, to four decimals where it can't be held with six."""
+    wide = T.DecimalType(38, 4)
+    return F.coalesce(F.try_subtract(a, b), F.try_subtract(a.cast(wide), b.cast(wide)))
+
+
 def rule_amount(df: DataFrame, name: str) -> Column:
     found = tx.find(df, name)
     zero = F.lit(0).cast(AMOUNT)

@@ -9,6 +9,8 @@ are projections of that one grouped frame.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,15 @@ def _measures(df: DataFrame) -> dict[str, Column]:
     }
 
 
+_SOURCES = (("Quantity", None), ("Subtotal", "PartnerSubTotal"), ("Total", "PartnerTotal"), ("TaxTotal", "PartnerTaxTotal"))
+OUT_OF_RANGE = "Amount out of range"
+
+
+def _beyond(df: DataFrame) -> Column:
+    """Whether a row has an amount that is too large to be held."""
+    return reduce(lambda a, b: a | b, [num.is_beyond_range(df, *names) for names in _SOURCES])
+
+
 def _one_side(df: DataFrame, is_left: bool) -> DataFrame:
     keys = [tx.key(tx.cell(df, k)).alias(k) for k in KEYS]
     values = _measures(df)
@@ -45,21 +56,29 @@ def _one_side(df: DataFrame, is_left: bool) -> DataFrame:
         *keys,
         (one if is_left else zero).alias("left_rows"),
         (zero if is_left else one).alias("right_rows"),
+        _beyond(df).alias("_beyond"),
         *[c.alias(f"l_{n}") for n, c in zip(_MEASURES, first)],
         *[c.alias(f"r_{n}") for n, c in zip(_MEASURES, second)],
     )
 
 
+def _mean(weighted: str, quantity: str) -> Column:
+    """The weighted mean, NULL where it can't be held."""
+    return F.try_divide(F.try_sum(weighted), F.try_sum(quantity)).try_cast(num.TOTAL)
+
+
 def group_totals(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Row counts and totals of both sides per key."""
+    """Row counts and totals of both sides per key; a total that can't be held is 0 and marks the key."""
     both = _one_side(left, True).unionByName(_one_side(right, False))
     zero = F.lit(0)
-    sums = []
-    for side in ("l", "r"):
+    sums, lost = [], F.bool_or("_beyond")
+    for side, rows in (("l", "left_rows"), ("r", "right_rows")):
         for name in fixed.TOTALS:
-            sums.append(F.coalesce(F.sum(f"{side}_{name}"), zero).cast(num.TOTAL).alias(f"{side}_{name}"))
-        price = F.try_divide(F.sum(f"{side}_Weighted"), F.sum(f"{side}_Quantity"))
-        sums.append(F.coalesce(price, zero).cast(num.TOTAL).alias(f"{side}_UnitPrice"))
+            total = num.wide_sum(F.col(f"{side}_{name}"))
+            lost = lost | ((F.sum(rows) > 0) & total.isNull())
+            sums.append(F.coalesce(total, zero).cast(num.TOTAL).alias(f"{side}_{name}"))
+        sums.append(F.coalesce(_mean(f"{side}_Weighted", f"{side}_Quantity"), zero).cast(num.TOTAL).alias(f"{side}_UnitPrice"))
+    sums.append(lost.alias("is_out_of_range"))
     # The flag is an aggregate although the keys decide it: a filter on it then stays above the
     # grouping, whose exchange the reports share.
     blank = F.bool_or((F.col(KEYS[0]) == "") | (F.col(KEYS[1]) == "")).alias("is_blank_key")
@@ -69,23 +88,24 @@ def group_totals(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def key_totals(df: DataFrame) -> DataFrame:
-    """Totals of one feed per key, with row count and the blank-key flag."""
+    """Totals of one feed per key, with row count and an error flag: a blank key, or amounts that can't be held."""
     side = prepare_side(df)
     values = _measures(side)
     frame = side.select(
-        *[tx.key(tx.cell(side, k)).alias(k) for k in KEYS], *[c.alias(n) for n, c in values.items()]
+        *[tx.key(tx.cell(side, k)).alias(k) for k in KEYS], *[c.alias(n) for n, c in values.items()], _beyond(side).alias("_beyond")
     )
-    price = F.try_divide(F.sum("Weighted"), F.sum("Quantity"))
+    totals = {n: num.wide_sum(F.col(n)) for n in fixed.TOTALS}
+    lost = reduce(lambda a, b: a | b, [t.isNull() for t in totals.values()], F.bool_or("_beyond"))
     return frame.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("row_count"),
-        *[F.sum(n).cast(num.TOTAL).alias(n) for n in fixed.TOTALS],
-        F.coalesce(price, F.lit(0)).cast(num.TOTAL).alias("UnitPrice"),
-        F.bool_or((F.col(KEYS[0]) == "") | (F.col(KEYS[1]) == "")).alias("has_error"),
+        *[F.coalesce(t, F.lit(0)).cast(num.TOTAL).alias(n) for n, t in totals.items()],
+        F.coalesce(_mean("Weighted", "Quantity"), F.lit(0)).cast(num.TOTAL).alias("UnitPrice"),
+        (F.bool_or((F.col(KEYS[0]) == "") | (F.col(KEYS[1]) == "")) | lost).alias("has_error"),
     )
 
 
 def _difference(name: str) -> Column:
-    return F.col(f"l_{name}") - F.col(f"r_{name}")
+    return num.difference(F.col(f"l_{name}"), F.col(f"r_{name}"))
 
 
 def compare_keys(left: DataFrame, right: DataFrame, options: Options = DEFAULTS) -> DataFrame:
@@ -106,6 +126,7 @@ def compare_keys(left: DataFrame, right: DataFrame, options: Options = DEFAULTS)
         F.when(skipped, F.lit(fixed.DATA_ERROR))
         .when(F.col("is_excluded"), F.lit(None))
         .when(in_left & F.col("is_blank_key"), F.lit(fixed.DATA_ERROR))
+        .when(F.col("is_out_of_range"), F.lit(fixed.DATA_ERROR))
         .when(~in_right, F.lit(options.missing_right))
         .when(~in_left, F.lit(options.missing_left))
         .when(equal, F.lit(fixed.MATCHED))
@@ -122,7 +143,8 @@ def _details(options: Options) -> Column:
         )
         for n in fixed.TOTALS
     ]
-    return F.when(F.col("Status") == fixed.MISMATCHED, F.concat_ws("; ", *parts)).otherwise("")
+    lost = (F.col("Status") == fixed.DATA_ERROR) & F.col("is_out_of_range") & ~F.col("is_skipped")
+    return F.when(F.col("Status") == fixed.MISMATCHED, F.concat_ws("; ", *parts)).when(lost, OUT_OF_RANGE).otherwise("")
 
 
 def result_rows(keys: DataFrame, options: Options = DEFAULTS) -> DataFrame:
@@ -257,8 +279,8 @@ def over_under_bill(keys: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     return shown.agg(
         F.count(F.lit(1)).alias("total_rows"),
         F.count_if(F.col("Status") != fixed.MATCHED).alias("unmatched_groups"),
-        F.sum(F.greatest(gap, F.lit(0))).cast(num.TOTAL).alias("over_bill"),
-        F.sum(F.greatest(-gap, F.lit(0))).cast(num.TOTAL).alias("under_bill"),
+        num.wide_sum(F.greatest(gap, F.lit(0)).try_cast(num.TOTAL)).alias("over_bill"),
+        num.wide_sum(F.greatest(-gap, F.lit(0)).try_cast(num.TOTAL)).alias("under_bill"),
     )
 
 
@@ -288,15 +310,18 @@ def run_log(keys: DataFrame, options: Options = DEFAULTS, left: DataFrame | None
     reportable = ~F.col("is_skipped")
     per_key = [
         entry(_usable_left() & (F.col("right_rows") == 0), "WARN", F.concat(F.lit(f"Key missing in {r}: "), pair)),
-        entry((status == fixed.DATA_ERROR) & reportable, "WARN",
+        entry((status == fixed.DATA_ERROR) & reportable & F.col("is_blank_key"), "WARN",
               F.concat(F.lit("Key "), pair, F.lit(" has missing CustomerDomainName or ProductId"))),
+        entry((status == fixed.DATA_ERROR) & reportable & ~F.col("is_blank_key"), "WARN",
+              F.concat(F.lit("Key "), pair, F.lit(" has an amount out of range"))),
         entry(status == options.missing_right, "WARN", F.concat(F.lit("Key "), pair, F.lit(f" missing in {r} results"))),
         entry(F.col("is_skipped"), "WARN", F.concat(F.lit("Key skipped or filtered: "), pair)),
     ]
     if not options.hide_right_only:
         per_key.append(entry(status == options.missing_left, "WARN",
                              F.concat(F.lit("Key "), pair, F.lit(f" missing in {l} results"))))
-    log = keys.select(F.explode(F.array_compact(F.array(*per_key))).alias("e")).select("e.*")
+    # The outer form: the inner one would build all entries again in a filter on their number.
+    log = keys.select(F.array_compact(F.array(*per_key)).alias("e")).select(F.inline_outer("e")).where("level IS NOT NULL")
 
     tenants = (
         keys.where("is_excluded").groupBy(KEYS[0]).agg(F.sum(excluded_rows).alias("occurrences"))

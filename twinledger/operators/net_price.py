@@ -50,7 +50,7 @@ def net_price_mismatches(
     both = _one_side(left, True, tx.cell(left, "ChargeType") if has_charge else no_charge).unionByName(
         _one_side(right, False, no_charge)
     )
-    sums = [F.sum(c).alias(c) for c in ("left_rows", "right_rows", "lq", "ls", "rq", "rs")]
+    sums = [F.sum(c).alias(c) for c in ("left_rows", "right_rows")] + [num.wide_sum(F.col(c)).alias(c) for c in ("lq", "ls", "rq", "rs")]
     listed = []
     if has_charge:
         # Totals per charge type first: the list below then sees each charge type once,
@@ -61,13 +61,14 @@ def net_price_mismatches(
     lq, ls, rq, rs = (F.coalesce(F.col(c), F.lit(0)).cast(num.TOTAL) for c in ("lq", "ls", "rq", "rs"))
     tolerance = F.lit(options.numeric_tolerance)
     l, r = options.left_prefix, options.right_prefix
-    result = totals.where((F.abs(lq - rq) > tolerance) | (F.abs(ls - rs) > tolerance)).select(
+    quantity, price = num.difference(lq, rq), num.difference(ls, rs)
+    result = totals.where((F.abs(quantity) > tolerance) | (F.abs(price) > tolerance)).select(
         *KEYS,
         *(["ChargeType"] if has_charge else []),
         lq.alias(f"{l}Quantity"), rq.alias(f"{r}Quantity"),
         ls.alias(f"{l}Subtotal"), rs.alias(f"{r}Subtotal"),
-        (lq - rq).cast(num.TOTAL).alias("QuantityDiff"),
-        (ls - rs).cast(num.TOTAL).alias("PriceDiff"),
+        quantity.try_cast(num.TOTAL).alias("QuantityDiff"),
+        price.try_cast(num.TOTAL).alias("PriceDiff"),
     )
     if not left_shape:
         return result
