@@ -58,3 +58,34 @@ def test_no_labels_and_no_rows(spark):
     assert found[0].lang_pred == "und" and found[0].rejected
     none = spark.createDataFrame([], SCHEMA)
     assert langid.identify(none, langid.train(none)).count() == 0
+
+
+def test_against_plain_nearest_centroid(spark):
+    """Every prediction again, text by text, from the model's centroids, weights and limits."""
+    made = [t for _, t, _ in rows(3, 80)] + [None, "", "½ ² Ⅷ 12", "½ a", "_", "東京特許 " * 9, "x", "der", "der der " * 300, "ÀÉ ß"]
+    docs = reachable(spark).createDataFrame([(*r, "x") for r in rows(4)], SCHEMA)
+    model = langid.train(docs, per_language=40)
+    assert len(model.labels) == 12
+    found = langid.identify(spark.createDataFrame([(i, t, None, "x") for i, t in enumerate(made)], SCHEMA).repartition(3), model)
+    got = {r.doc_id: (r.lang_pred, r.score, r.rejected) for r in found.collect()}
+    for i, text in enumerate(made):
+        if not any(c.isalpha() for c in text or ""):
+            assert got[i] == ("und", 0.0, True)
+            continue
+        padded = " " + text.lower() + " "
+        folded = [c if c in b"abcdefghijklmnopqrstuvwxyz" or c >= 128 else 32 for c in padded.encode()]
+        counts = {}
+        for a, b, c in zip(folded, folded[1:], folded[2:]):
+            if (a, b, c) != (32, 32, 32):
+                place = ((a << 16 | b << 8 | c) * 2654435761 % (1 << 32)) >> 20
+                counts[place] = counts.get(place, 0) + 1
+        weights = {p: np.log1p(n) * float(model.idf[p]) for p, n in counts.items()}
+        norm = np.sqrt(sum(w * w for w in weights.values())) or 1.0
+        cosines = [sum(w * float(centre[p]) for p, w in weights.items()) / norm for centre in model.centroids]
+        best = int(np.argmax(cosines))
+        label, score, rejected = got[i]
+        assert np.isclose(score, min(1.0, max(0.0, cosines[best])), atol=1e-5)
+        # Another label only where two centroids are equally near.
+        assert label == model.labels[best] or np.isclose(max(c for c, at in zip(cosines, model.labels) if at == label), cosines[best], atol=1e-6)
+        limit = np.sqrt(min(1.0, len(counts) / 200)) * model.limits[label]
+        assert rejected == (score < limit) or np.isclose(score, limit, atol=1e-6)

@@ -19,7 +19,6 @@ rows each give a row; an empty table gives none.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,12 +36,16 @@ UNKNOWN = "und"
 _BLOCK = 1_000_000
 _ROWS = 256
 _FULL = 200  # distinct trigrams from which on the limit holds in full
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is in one of the categories of letters; numerals like ½ are not."""
+    return any(map(str.isalpha, text))
+
+
 def trigram_counts(texts: list[str]) -> np.ndarray:
     """Counts of hashed byte trigrams, one row per text."""
     raws = [b" " + t.lower().encode("utf-8", "replace") + b" " for t in texts]
@@ -86,7 +89,7 @@ class Model:
         """Label, score and whether it is rejected, of each text."""
         labels, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         rejected = np.ones(len(texts), bool)
-        told = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.labels else []
+        told = [i for i, t in enumerate(texts) if t and has_letter(t)] if self.labels else []
         for at in range(0, len(told), _ROWS):
             rows = told[at:at + _ROWS]
             counts = trigram_counts([texts[i] for i in rows])
@@ -110,7 +113,8 @@ def train(
     # Of a label with many rows, hashes below a bound that twice the wanted number is expected to meet.
     share = labelled.groupBy("lang").agg((F.lit(2.0 * per_language) / F.count("*")).alias("share"))
     by_hash = Window.partitionBy("lang").orderBy("hash", "doc_id", F.xxhash64("text"))
-    sample = labelled.join(share, "lang").filter(
+    # One row per label: as a broadcast, the bound holds before any row is shuffled.
+    sample = labelled.join(F.broadcast(share), "lang").filter(
         F.pmod("hash", F.lit(1 << 32)) < F.col("share") * (1 << 32)
     ).withColumn("turn", F.row_number().over(by_hash)).filter(F.col("turn") <= per_language)
 
