@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinledger.llm.graph import components
-from twinledger.llm.scratch import new_path, written
+from twinledger.llm.scratch import discard, new_path, shuffles_dropped, written
 from twinledger.llm.words import U64, blocks, folded, mix, shingle_sets
 
 _BYTES, _ROWS = 4_000_000, 8192
@@ -380,9 +380,10 @@ def similar_documents(docs: DataFrame, num: int = 75, den: int = 100, size: int
     members = written(base.select("doc_id", "digest").join(least, "digest", "left").select("doc_id", "digest", "rep"), "jaccard-members")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     reps = members.filter("doc_id = rep").select("doc_id", F.col("digest").alias("_digest")).distinct()
-    table = f"jaccard_{uuid.uuid4().hex}"
-    base.filter("digest IS NOT NULL").repartition(parts, "doc_id").write.option("path", new_path(spark, "jaccard-texts")).option(
-        "compression", "zstd").bucketBy(parts, "doc_id").sortBy("doc_id").saveAsTable(table)
+    table, path = f"jaccard_{uuid.uuid4().hex}", new_path(spark, "jaccard-texts")
+    with shuffles_dropped(spark):
+        base.filter("digest IS NOT NULL").repartition(parts, "doc_id").write.option("path", path).option(
+            "compression", "zstd").bucketBy(parts, "doc_id").sortBy("doc_id").saveAsTable(table)
     try:
         once = spark.table(table).join(reps, "doc_id").filter("digest = _digest").drop("_digest")
         if members.groupBy("doc_id", "digest").count().filter("count > 1").limit(1).count():
@@ -390,6 +391,7 @@ def similar_documents(docs: DataFrame, num: int = 75, den: int = 100, size: int
         links, sizes = _links(once, rule, size)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
+        discard(spark, path)
     parts_of = components(links.union(members.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
     return members.join(sizes, "digest", "left").join(parts_of, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,15 +42,37 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{folder(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of a finished query or write go at once: what was written is read instead."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """The rows of ``df``, read back from a new Parquet table in the shared folder."""
     spark = df.sparkSession
     path = new_path(spark, what)
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_dropped(spark):
+        schema = df.schema
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a written table that nothing reads any more, wherever Spark keeps it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns of these names in any case, which an operator is about to add."""
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names])
