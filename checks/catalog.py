@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -951,6 +951,44 @@ def csv_unlike_headers(spark, sf_dir):
     return rows.select(*found)
 
 
+# --- Reports written as CSV and read back -------------------------------------------------------------
+
+
+def whole_text(rows: DataFrame) -> list[Column]:
+    return [tx.column(rows, c) for c in rows.columns if c not in ("_row", "_file")]
+
+
+@query(f"""WITH d AS ({SQL["positional_diff"]})
+SELECT CAST(row_number() OVER (ORDER BY "Row Number", lower("Column")) AS BIGINT) AS position, CAST("Row Number" AS VARCHAR) AS "Row Number",
+       "Field Name", "Our Value", "{R} Value", Explanation, "Suggested Action" FROM d""")
+def sink_differences(spark, sf_dir):
+    """The ordered report, with each line's place in the whole of its files."""
+    left, right = positions(spark, sf_dir)
+    diffs, path = pdiff.positional_differences(left, right), staging.new_path(spark, "report")
+    sinks.write_differences(diffs, pdiff.summarise_positional(left, right, diffs), path)
+    rows = sources.scan_csv(spark, f"{path}/differences")
+    files = rows.groupBy(F.col("_file").alias("file")).agg(F.count(F.lit(1)).alias("n"))  # one row per file of the report
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    before = files.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return rows.join(before, rows["_file"] == before["file"]).select((F.col("before") + F.col("_row")).alias("position"), *whole_text(rows))
+
+
+@query(f"""SELECT level AS "Level", message AS "Message", CAST(occurrences AS VARCHAR) AS "Occurrences" FROM ({SQL["run_log"]}) x""")
+def sink_log(spark, sf_dir):
+    path = staging.new_path(spark, "report")
+    sinks.write_log(bk.run_log(grouped(spark, sf_dir), OPTIONS), path)
+    return sources.scan_csv(spark, path).select("Level", "Message", "Occurrences")
+
+
+@query(SQL["compare_business_key"])
+def sink_result(spark, sf_dir):
+    path, keys = staging.new_path(spark, "report"), grouped(spark, sf_dir)
+    sinks.write_result(bk.result_rows(keys, OPTIONS), path, bk.summarise(keys, OPTIONS))
+    rows = sources.scan_csv(spark, f"{path}/rows")
+    text = (*bk.KEYS, "Status", "MismatchDetails")
+    return rows.select(*[c if n in text else c.cast("double").alias(n) for c, n in zip(whole_text(rows), rows.columns)])
+
+
 # --- Imports --------------------------------------------------------------------------------------------
 
 
@@ -1066,6 +1104,28 @@ def expression_columns(spark, sf_dir):
     return rows.select("CustomerDomainName", "SkuName", "OrderId", "Subtotal", "Total", "TermAndBillingCycle")
 
 
+@query(f"""
+SELECT CAST(l_orderkey AS VARCHAR) AS OrderId, {_plain_sql(_PRODUCT)} AS Subtotal,
+       {_plain_sql(f'{_PRODUCT} + CAST(l_tax AS DECIMAL(4,2))')} AS Total FROM lineitem""")
+def product_rules(spark, sf_dir):
+    """Columns mapped as a product, and as a product plus a column."""
+    rules = {"OrderId": "OrderNumber", "Subtotal": ("CustomerUnitPrice", "Quantity", "*"),
+             "Total": ("CustomerUnitPrice", "Quantity", "+", "CustomerTax")}
+    raw = feeds.frame(spark, sf_dir, feeds.RAW_DISTRIBUTOR)
+    return sc.map_canonical(raw, "own", replace(OPTIONS, column_maps={"own": rules})).select("OrderId", "Subtotal", "Total")
+
+
+@query("""
+SELECT o_orderkey, o_orderstatus || '|' || o_orderkey || '|' || o_custkey || '|' || o_orderpriority AS shown FROM orders""")
+def shown_columns(spark, sf_dir):
+    """Hidden columns left out, leading ones in front, the rest as they were."""
+    feed = feeds.table("orders")(spark, sf_dir).select(
+        "o_orderkey", F.col("o_custkey").alias("CustomerId"), F.lit("x").alias("unittype"), F.col("o_orderstatus").alias("Status"),
+        F.lit("EUR").alias("Currency"), F.col("o_orderpriority").alias("Priority"))
+    rows = sc.reorder(sc.hide_columns(feed), ["status", "absent"])
+    return rows.select("o_orderkey", F.concat_ws("|", *[tx.column(rows, c) for c in rows.columns]).alias("shown"))
+
+
 @query(f"""
 SELECT l_orderkey, l_linenumber, {d('CAST(l_quantity AS DECIMAL(18,6)) + CAST(l_extendedprice AS DECIMAL(18,6)) * 2')} AS sum_product,
        {d('CASE WHEN l_tax = 0 THEN 0 ELSE CAST(l_quantity * 100 AS BIGINT) / 100.0 END')} AS guarded
