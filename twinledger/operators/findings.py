@@ -133,7 +133,7 @@ def cap_per_group(findings: DataFrame, options: Options = DEFAULTS) -> DataFrame
         F.col("level"), F.col("_least").alias("rule"), F.lit(-1).cast("long").alias("row"), F.col("column"), text.alias("description"),
         F.lit("").alias("raw_value"), F.col("_file").alias("file_name"), F.lit("").alias("context"), F.lit(True).alias("is_summary"))
     more = F.when(F.col("_n") > limit, F.array(overflow)).otherwise(F.array().cast(T.ArrayType(FINDING_TYPE)))
-    return whole.select(F.concat(first.cast(T.ArrayType(FINDING_TYPE)), more.cast(T.ArrayType(FINDING_TYPE))).alias("found")).select(F.inline("found"))
+    return whole.select(F.concat(first.cast(T.ArrayType(FINDING_TYPE)), more.cast(T.ArrayType(FINDING_TYPE))).alias("found")).select(F.inline_outer("found"))
 
 
 def counts_by_description(findings: DataFrame) -> DataFrame:

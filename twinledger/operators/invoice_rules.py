@@ -100,8 +100,9 @@ def violations(df: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     ]
     return (
         validated(df, options)
-        .select(F.explode(F.array_compact(F.array(*broken))).alias("v"))
-        .select("v.*")
+        .select(F.array_compact(F.array(*broken)).alias("v"))
+        # The outer form: below the inner one the messages would be built again in a filter on the array's size.
+        .select(F.inline_outer("v")).where("check IS NOT NULL")
     )
 
 

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..staging import written
 
 #: Where a row was read: file path, block start, and a number that grows by one within the block.
 PLACE = "_place"
@@ -40,14 +41,20 @@ def with_row_numbers(df: DataFrame, offsets: DataFrame, row: str = "_row", place
 def bucketed_ordinals(
     df: DataFrame, order: Sequence[str], bucket: Column | None = None, row: str = "_row"
 ) -> DataFrame:
-    """1-based position by ``order``, for a natural order, by way of coarse buckets.
+    """1-based position by ``order``, NULL first.
+
+    Without ``bucket`` the rows are dealt into ranges of all order columns, sorted there and written
+    to the shared folder once; a row's number is its place in its range plus the rows of the ranges
+    before. Equal first columns are told apart by the others, so no value is a hot range; the number
+    of ranges is Spark's shuffle partitions.
 
-    Without ``bucket`` the buckets are ranges of the first order column, or of all where that is text. A given one must never decrease along the order (a day, a key divided by a
-    width); NULL is a bucket of its own and comes first. Rows are ranked inside their
-    bucket and shifted by the counts of the buckets before it; only the one row per
-    bucket is ordered as a whole.
+    A given bucket must never decrease along the order (a day, a key divided by a width); NULL is a
+    bucket of its own and comes first. Rows are ranked inside their bucket and shifted by the counts
+    of the buckets before it; only the one row per bucket is ordered as a whole.
     """
-    tagged = _by_range(df, order) if bucket is None else df.withColumn("_bucket", bucket)
+    if bucket is None:
+        return with_row_numbers(*_ranges(df, order), row)
+    tagged = df.withColumn("_bucket", bucket)
     sizes = tagged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(F.col("_bucket").alias("_of"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
@@ -60,27 +67,16 @@ def bucketed_ordinals(
     )
 
 
-def _by_range(df: DataFrame, order: Sequence[str], ranges: int = 1000) -> DataFrame:
-    """Adds a bucket that never decreases along the order: how many of its bounds lie below.
+def _ranges(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows by ranges of the order, each with its range as block and its place in it, and the ranges' offsets.
 
-    The bounds are percentiles of the first column, ``ranges`` - 1; where that is text, which has
-    no percentiles, as many rows of a sorted sample, by all order columns: those with the least
-    hash. They are a scalar subquery over the same rows, so they follow the data at any scale.
-    Equal values share a bucket; NULL has none below.
+    Written, since the borders come from a sample: rows and offsets must see the same ones.
     """
-    column, kind = F.col(f"`{order[0]}`"), df.schema[order[0]].dataType
-    if isinstance(kind, T.StringType):
-        column = F.struct(*[F.col(f"`{c}`") for c in order])
-        sample = df.select(column.alias("_at")).orderBy(F.xxhash64("_at")).limit(20 * ranges)
-        found = F.sort_array(F.collect_list("_at"))
-        step = F.greatest(F.lit(1), F.ceil(F.count("*") / ranges))
-        bounds = sample.agg(F.filter(found, lambda b, i: i % step == step - 1)).scalar()
-        below = F.size(F.filter(F.col("_bounds"), lambda b: b < column))
-    else:
-        shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-        bounds = df.agg(F.percentile_approx(column, shares, 10 * ranges)).scalar()
-        below = F.size(F.filter(F.coalesce(F.col("_bounds"), F.array().cast(T.ArrayType(kind))), lambda b: b < column))
-    return df.withColumn("_bounds", bounds).withColumn("_bucket", below).drop("_bounds")
+    columns = [F.col(f"`{c}`") for c in order]
+    dealt = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    place = F.struct(F.lit("").alias("path"), F.spark_partition_id().cast("long").alias("block"), F.monotonically_increasing_id().alias("nth"))
+    rows = written(dealt.select("*", place.alias(PLACE)), "ranges")
+    return rows, block_offsets(rows)
 
 
 def running_number(df: DataFrame, order: Sequence[str], name: str = "Row Number") -> DataFrame:

@@ -63,7 +63,9 @@ def positional_differences(left: DataFrame, right: DataFrame, options: Options =
     cells = F.when(gone.isNotNull(), F.array(cell("", empty, empty, gone))).otherwise(
         F.array_compact(F.array(*unequal))
     )
-    rows = l.join(r, ROW, "full_outer").select(ROW, F.explode(cells).alias("c")).select(ROW, "c.*")
+    # The outer form: below the inner one all cells would be compared again in a filter on the array's size.
+    rows = l.join(r, ROW, "full_outer").select(ROW, cells.alias("cells")).select(ROW, F.explode_outer("cells").alias("c"))
+    rows = rows.where(F.col("c").isNotNull()).select(ROW, "c.*")
 
     a, b = F.col("a"), F.col("b")
     typed = tx.with_once(rows, {
