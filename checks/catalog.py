@@ -191,6 +191,20 @@ def compare_right_only(spark, sf_dir):
     return bk.compare_business_keys(*business(spark, sf_dir), OPTIONS).where(F.col("Status") == MISSING_LEFT)
 
 
+@query(f"""{keys_sql()}
+SELECT c AS CustomerDomainName, p AS ProductId, st AS Status,
+       CAST(row_number() OVER (ORDER BY CASE WHEN st = '{MISSING_LEFT}' THEN 1 ELSE 0 END, c, p) AS BIGINT) AS place
+FROM j WHERE st IS NOT NULL""")
+def result_order(spark, sf_dir):
+    """The ordered result, its order taken from the files it is written to."""
+    ordered = bk.order_result(bk.compare_business_keys(*business(spark, sf_dir), OPTIONS), OPTIONS)
+    rows = sources.scan_csv(spark, as_csv(ordered.select(*bk.KEYS, "Status")))
+    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("_file").agg(F.max("_row").alias("n"))  # one row per file
+    before = files.select("_file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return rows.join(before, "_file").select(*bk.KEYS, "Status", (F.col("before") + F.col("_row")).alias("place"))
+
+
 @query(result_sql(keys_sql(), f"st <> '{MISSING_LEFT}'"))
 def compare_hide_right_only(spark, sf_dir):
     return bk.compare_business_keys(*business(spark, sf_dir), replace(OPTIONS, hide_right_only=True))
@@ -624,7 +638,7 @@ def invoice(spark, sf_dir):
 DAYS, PARTNER_D, HIERARCHY, PRICING = fixed.INVOICE_CHECKS.values()
 
 
-def rules_sql() -> str:
+def rules_sql(feed: str = feeds.INVOICE) -> str:
     amount = "CAST({0} AS DECIMAL(18,6))"
     pct, cust = short("pd"), short("cd")
     return f"""
@@ -632,7 +646,7 @@ WITH f AS (SELECT *, date_diff('day', CAST(ChargeStartDate AS DATE), CAST(Charge
                   CAST(EffectiveDays AS INT) AS eff, {amount.format('MSRP')} AS ms,
                   {amount.format('PartnerDiscountPercentage')} AS pd, {amount.format('CustomerDiscountPercentage')} AS cd,
                   {amount.format('Total')} AS tot, {amount.format('CustomerSubtotal')} AS sub
-           FROM ({feeds.sql(feeds.INVOICE)}) x),
+           FROM ({feeds.sql(feed)}) x),
 v AS (SELECT *,
   CASE WHEN days <> eff THEN 'Mismatch: Expected EffectiveDays is ' || days || ' days, but found ' || eff || ' days.' END AS e1,
   CASE WHEN ms > 5 AND pd <= 0 THEN 'Invalid: MSRP (' || {short('ms')} || ') is greater than 5, but PartnerDiscountPercentage is ' || {pct} || '%.'
@@ -656,6 +670,14 @@ def invoice_rules(spark, sf_dir):
     return ir.invalid_rows(invoice(spark, sf_dir))
 
 
+@query(rules_sql(feeds.INVOICE_BOUNDS) + f"""
+SELECT {_INVOICE_COLUMNS}, e1 AS "{DAYS}", e2 AS "{PARTNER_D}", e3 AS "{HIERARCHY}", e4 AS "{PRICING}"
+FROM v WHERE coalesce(e1, e2, e3, e4) IS NOT NULL""")
+def invoice_discount_bounds(spark, sf_dir):
+    """Discounts of zero and below, and some that only rounding puts inside the bounds or outside."""
+    return ir.invalid_rows(feeds.frame(spark, sf_dir, feeds.INVOICE_BOUNDS))
+
+
 @query(rules_sql() + """
 SELECT CAST(count(e1) + count(e2) AS BIGINT) AS high, CAST(count(e3) + count(e4) AS BIGINT) AS low,
        'High: ' || (count(e1) + count(e2)) || '  Low: ' || (count(e3) + count(e4)) AS summary FROM v""")
@@ -1238,14 +1260,25 @@ def source_detection(spark, sf_dir):
     return orders.select("o_orderkey", sources.source_kind(name).alias("source_type"))
 
 
-@query(f"""
+LEGACY_COLUMNS = ("InvoiceNumber", "ChargeType", "ChargeStartDate", "UnitPrice", "MSRPPrice", "PartnerDiscountPercentage")
+LEGACY_SQL = f"""
 SELECT upper('inv' || l_orderkey) AS InvoiceNumber, CASE WHEN l_linenumber <= 6 THEN 'USAGE' ELSE 'SEAT  FEE' END AS ChargeType,
        strftime(l_shipdate, '%m/%d/%Y') AS ChargeStartDate, {_RIGHT_PRICE} AS UnitPrice, '' AS MSRPPrice,
        '' AS PartnerDiscountPercentage
-FROM lineitem""")
-def legacy_feed(spark, sf_dir):
+FROM lineitem"""
+
+
+def legacy_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = feeds.frame(spark, sf_dir, feeds.RAW_LEFT).withColumnsRenamed({
         "PartnerInvoiceNumber": "InvoiceNumber", "ValidFrom": " ChargeStartDate"})
-    rows = sc.legacy_feed(raw.withColumn("UnitPrice", F.lit("replaced")))
-    return rows.select("InvoiceNumber", "ChargeType", "ChargeStartDate", "UnitPrice", "MSRPPrice",
-                       "PartnerDiscountPercentage")
+    return raw.withColumn("UnitPrice", F.lit("replaced"))
+
+
+@query(LEGACY_SQL)
+def legacy_feed(spark, sf_dir):
+    return sc.legacy_feed(legacy_raw(spark, sf_dir)).select(*LEGACY_COLUMNS)
+
+
+@query(LEGACY_SQL)
+def legacy_file(spark, sf_dir):
+    return imports.import_legacy(spark, as_csv(legacy_raw(spark, sf_dir))).select(*LEGACY_COLUMNS)

@@ -118,6 +118,11 @@ SELECT concat('INV', l_orderkey) AS InvoiceNumber,
 FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey
 """
 
+# The same with discounts that are missing, negative, or next to the bounds where rounding decides.
+INVOICE_BOUNDS = INVOICE.replace(
+    "CAST(CAST(15 + l_discount * 100 AS DECIMAL(8,2)) AS VARCHAR(24))",
+    "CASE l_linenumber WHEN 1 THEN '0' WHEN 2 THEN '-2.5' WHEN 3 THEN '17.95' WHEN 4 THEN '17.94' WHEN 5 THEN '20.14' ELSE '20.15' END")
+
 # --- Data-quality feed -------------------------------------------------------------------
 
 QUALITY = f"""

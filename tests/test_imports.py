@@ -262,3 +262,12 @@ def test_import_in_one_pass(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert {r["row"] for r in feed.findings.where("column = 'Quantity' AND rule = 'Q7'").collect()} == {i + 1 for i in range(120) if i % 3 == 0}
     assert {r["_row"] for r in feed.rejects.collect()} == {i + 1 for i in range(120) if i % 7 == 0}
+
+
+def test_legacy_file(spark, tmp_path):
+    path = write(tmp_path / "old.csv", " InvoiceNumber ,ChargeType,Quantity,PartnerUnitPrice,UnitPrice,OrderDate,Note",
+                 (" inv1 ", "usage", "2", "1.5", "9", "2024-03-05", "a\nb"), ("inv2", "Seat", "", "", "9", "soon", ""))
+    rows = imports.import_legacy(spark, path)
+    assert not {c.lower() for c in rows.columns} & {"partnerunitprice", "_row", "_file"}
+    assert sorted((r["InvoiceNumber"], r["ChargeType"], r["UnitPrice"], r["OrderDate"], r["Note"], r["MSRPPrice"]) for r in rows.collect()) == [
+        ("INV1", "USAGE", "1.5", "03/05/2024", "a\nb", ""), ("INV2", "SEAT", "", "soon", "", "")]

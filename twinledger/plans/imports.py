@@ -220,6 +220,12 @@ def import_left(spark: SparkSession, path: str, options: Options = DEFAULTS) ->
     return import_feed(spark, path, fixed.PARTNER, options, check=False)
 
 
+def import_legacy(spark: SparkSession, path: str, options: Options = DEFAULTS) -> DataFrame:
+    """A file, folder or pattern in the older feed layout, as its rows; a row's order in its file is not kept."""
+    raw = scan_places(spark, path, options)
+    return sc.legacy_feed(raw.drop(PLACE, sc.FILE))
+
+
 def row_count(rows: DataFrame) -> DataFrame:
     """Rows per imported file."""
     if sc.FILE in rows.columns:
