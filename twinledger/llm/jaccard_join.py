@@ -26,7 +26,8 @@ doc_id, so later joins do not move them.
 
 Defined cases: null or blank text has no n-grams and no link; fewer words than ``size`` are
 one n-gram; rows that share a doc_id are one node, with the links of all their texts; a
-null doc_id has no component; an empty table gives no rows.
+null doc_id has no component; a very long text is one set in a block of its own; columns other
+than doc_id and text are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

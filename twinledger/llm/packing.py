@@ -15,7 +15,9 @@ sequences at such offset. Remainders get their numbers from running counts per p
 the tokenised table, and find their range by a join with the plan.
 
 Defined cases: null or empty text is a document of the closing id alone; repeated rows
-are documents of their own; an empty table gives no rows.
+are documents of their own; a very long text is encoded whole, in a block of its own, and cut
+like any other; columns other than doc_id and text are not read, whatever their names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ number of ones before each block: a look-up opens one block per plane. A table f
 holds one row per shard, so readers fetch whole shards or none.
 
 Defined cases: null or empty text is the closing id alone; null doc_ids come first; repeated rows are documents
-of their own, in any order among themselves; an empty table gives an empty file table.
+of their own, in any order among themselves; a very long text makes one large shard; columns other than
+doc_id and text are not read, whatever their names; an empty table gives an empty file table.
 """
 
 from __future__ import annotations
