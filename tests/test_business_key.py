@@ -237,3 +237,11 @@ def test_large_amounts(table):
         "A": True, "B": True, "C": False, "D": False, "E": False, "F": False}
     log = bk.run_log(bk.compare_keys(left, right)).where("message LIKE '%out of range'")
     assert {r["message"] for r in log.collect()} == {"Key A|1 has an amount out of range", "Key B|1 has an amount out of range"}
+
+
+def test_sums_beyond_the_widest_number_are_reported(spark):
+    """More of the largest amounts under one key than the upper part of a sum can hold."""
+    rows = spark.range(120_000).select(
+        F.lit("C").alias("CustomerDomainName"), F.lit("P1").alias("ProductId"), F.lit("9E31").alias("Total"))
+    found = bk.compare_business_keys(rows, rows.limit(1)).select("Status", "MismatchDetails").collect()
+    assert [tuple(r) for r in found] == [("Data Error", "Amount out of range")]
