@@ -164,3 +164,26 @@ def test_running_number_of_text_with_a_common_prefix(spark):
         assert sum(sizes) == frame.count() and max(sizes) <= 90
     empty = spark.createDataFrame([], "name string, line long")
     assert running_number(empty, ["name"]).count() == 0
+
+
+def test_large_and_ordinary_keys_alike(table, monkeypatch):
+    rng = random.Random(5)
+
+    def rows(n):
+        return [(f"I{rng.randrange(5)}", "s", *[rng.choice(("1", "1.01", "1.02", "n/a", "N/A", "", "7")) for _ in range(4)]) for _ in range(n)]
+    left, right = table(H, *rows(60), ("L", "s", "1", "1", "1", "1")), table(H, *rows(50), ("R", "s", "1", "1", "1", "1"))
+    found = []
+    for bound in (0, 25, 1000):
+        monkeypatch.setattr(fd, "LARGE_KEY", bound)
+        found.append((Counter(map(tuple, fd.field_differences(left, right).collect())),
+                      Counter(map(tuple, fd.difference_counts(left, right).collect())), fd.discrepancy_count(left, right).first()))
+    assert found[0] == found[1] == found[2] and found[0][2]["discrepancies"] > 2
+
+
+def test_cells_of_ordinary_keys_are_not_shuffled(table):
+    left, right = table(H, ("I", "s", "1", "5", "0", "3")), table(H, ("I", "s", "2", "5", "0", "3"))
+    found = fd.field_differences(left, right)
+    assert [r["Field Name"] for r in found.collect()] == ["Quantity", "Quantity"]
+    final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    dealt = [line for line in final.split("\n") if "Exchange hashpartitioning" in line]
+    assert dealt and not [line for line in dealt if "Field" in line]
