@@ -245,3 +245,21 @@ def test_sums_beyond_the_widest_number_are_reported(spark):
         F.lit("C").alias("CustomerDomainName"), F.lit("P1").alias("ProductId"), F.lit("9E31").alias("Total"))
     found = bk.compare_business_keys(rows, rows.limit(1)).select("Status", "MismatchDetails").collect()
     assert [tuple(r) for r in found] == [("Data Error", "Amount out of range")]
+
+
+def test_log_of_held_keys(table):
+    """The log reads a written table: no part of it groups the feeds again."""
+    keys = bk.compare_keys(table(K, line(), line(), line(product="")), table(K, line(domain="excl.com")), Options(excluded_tenants=("excl.com",)))
+    held = bk.run_log(bk.held_keys(keys), Options(excluded_tenants=("excl.com",)))
+    assert Counter(map(tuple, held.collect())) == Counter(map(tuple, bk.run_log(keys, Options(excluded_tenants=("excl.com",))).collect()))
+    assert "LogicalRDD" not in held._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_quantities_are_summed_once(table):
+    """A partial row of the grouping holds as few sums as possible: these are what is shuffled."""
+    plan = bk.compare_business_keys(table(K, line()), table(K, line()))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_sum(l_Quantity") == 0 and plan.count("try_sum(l_Weighted") > 0
+
+
+def test_scans_read_small_parts(spark):
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "8m"

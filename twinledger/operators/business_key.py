@@ -18,6 +18,7 @@ from .. import fixed_values as fixed
 from ..functions import numbers as num
 from ..functions import text as tx
 from ..options import DEFAULTS, Options
+from ..staging import written
 from .filters import is_excluded, partner_condition, slice_partner
 from .schema import prepare_side
 
@@ -62,9 +63,9 @@ def _one_side(df: DataFrame, is_left: bool) -> DataFrame:
     )
 
 
-def _mean(weighted: str, quantity: str) -> Column:
-    """The weighted mean, NULL where it can't be held."""
-    return F.try_divide(F.try_sum(weighted), F.try_sum(quantity)).try_cast(num.TOTAL)
+def _mean(weighted: str, quantity: Column) -> Column:
+    """The weighted mean over the sum of quantities, NULL where it can't be held."""
+    return F.try_divide(F.try_sum(weighted), quantity).try_cast(num.TOTAL)
 
 
 def group_totals(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -73,11 +74,11 @@ def group_totals(left: DataFrame, right: DataFrame) -> DataFrame:
     zero = F.lit(0)
     sums, lost = [], F.bool_or("_beyond")
     for side, rows in (("l", "left_rows"), ("r", "right_rows")):
-        for name in fixed.TOTALS:
-            total = num.wide_sum(F.col(f"{side}_{name}"))
+        totals = {name: num.wide_sum(F.col(f"{side}_{name}")) for name in fixed.TOTALS}
+        for name, total in totals.items():
             lost = lost | ((F.sum(rows) > 0) & total.isNull())
             sums.append(F.coalesce(total, zero).cast(num.TOTAL).alias(f"{side}_{name}"))
-        sums.append(F.coalesce(_mean(f"{side}_Weighted", f"{side}_Quantity"), zero).cast(num.TOTAL).alias(f"{side}_UnitPrice"))
+        sums.append(F.coalesce(_mean(f"{side}_Weighted", totals["Quantity"]), zero).cast(num.TOTAL).alias(f"{side}_UnitPrice"))
     sums.append(lost.alias("is_out_of_range"))
     # The flag is an aggregate although the keys decide it: a filter on it then stays above the
     # grouping, whose exchange the reports share.
@@ -99,7 +100,7 @@ def key_totals(df: DataFrame) -> DataFrame:
     return frame.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("row_count"),
         *[F.coalesce(t, F.lit(0)).cast(num.TOTAL).alias(n) for n, t in totals.items()],
-        F.coalesce(_mean("Weighted", "Quantity"), F.lit(0)).cast(num.TOTAL).alias("UnitPrice"),
+        F.coalesce(_mean("Weighted", totals["Quantity"]), F.lit(0)).cast(num.TOTAL).alias("UnitPrice"),
         (F.bool_or((F.col(KEYS[0]) == "") | (F.col(KEYS[1]) == "")) | lost).alias("has_error"),
     )
 
@@ -284,6 +285,12 @@ def over_under_bill(keys: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     )
 
 
+def held_keys(keys: DataFrame) -> DataFrame:
+    """What the log reads of the grouped frame, written once: its parts would each group again."""
+    names = ("left_rows", "right_rows", "is_blank_key", "is_excluded", "is_skipped", "Status")
+    return written(keys.select(*KEYS, *names), "keys")
+
+
 def run_log(keys: DataFrame, options: Options = DEFAULTS, left: DataFrame | None = None,
             right: DataFrame | None = None) -> DataFrame:
     """The run's log as a table: level, message, occurrences.
@@ -291,7 +298,8 @@ def run_log(keys: DataFrame, options: Options = DEFAULTS, left: DataFrame | None
     Messages about keys come from one pass over the grouped frame. Repeated
     messages (one per excluded row) are one row with their number. The full key
     lists are not put into a message; ``key_presence`` has them. Given the
-    feeds, a partner mismatch is logged too.
+    feeds, a partner mismatch is logged too. ``keys`` is read by every part: pass
+    ``held_keys`` for large feeds.
     """
     # Always true, but it makes every part below need the same grouped columns, so that
     # the grouping's exchange is computed once and reused.
