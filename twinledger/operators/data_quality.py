@@ -11,7 +11,7 @@ from ..functions import dates as dt
 from ..functions import numbers as num
 from ..functions import text as tx
 from ..options import DEFAULTS, Options
-from .findings import collect_findings, counts_by_description, finding, found_by
+from .findings import collect_findings, counts_by_description, finding, found_by, rule_finding
 from .schema import FILE, MARKS, ROW
 
 
@@ -42,36 +42,36 @@ def row_rules(df: DataFrame, file_name: str = "") -> tuple[DataFrame, list[Colum
     positive = quantity > 0
     for name, found in priced.items():
         raw, value = tx.cell(df, found), F.col(amounts[found])
-        rules.append(finding(
+        rules.append(rule_finding(
             positive & (value == zero), level="Warning", rule="Q1", column=found, raw=raw,
             description=F.concat(F.lit("Value is 0 or blank while Quantity is "), num.plain(quantity)), **common,
         ))
         if "discount" in name.lower():
             outside = (value < 0) | (value > 100)
-            rules.append(finding(
+            rules.append(rule_finding(
                 outside, level="Error", rule="Q2a", column=found, raw=raw,
                 description="Discount percentage out of bounds (0-100)", **common,
             ))
-            rules.append(finding(
+            rules.append(rule_finding(
                 ~outside & ((value < 1) | (value > 90)), level="Warning", rule="Q2b", column=found, raw=raw,
                 description="Suspicious discount (<1% or >90%)", **common,
             ))
     all_zero = F.lit(True)
     for found in priced.values():
         all_zero = all_zero & (F.col(amounts[found]) == zero)
-    rules.append(finding(
+    rules.append(rule_finding(
         positive & all_zero, level="Error", rule="Q3", column="-",
         description="All pricing fields zero or blank while Quantity not zero", **common,
     ))
     for name in feed:
         raw = tx.cell(df, name)
         if "date" in name.lower() and isinstance(df.schema[name].dataType, T.StringType):
-            rules.append(finding(
-                ~tx.is_blank(raw) & dt.parse_timestamp(raw).isNull(), level="Error", rule="Q4",
+            rules.append(rule_finding(
+                ~tx.is_blank(raw) & dt.date_text(raw).isNull(), level="Error", rule="Q4",
                 column=name, raw=raw, description="Invalid date format", **common,
             ))
         if name in totals:
-            rules.append(finding(
+            rules.append(rule_finding(
                 F.col(amounts[name]) < 0, level="Warning", rule="Q5", column=name, raw=raw,
                 description="Negative total value", **common,
             ))

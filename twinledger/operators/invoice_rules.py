@@ -10,7 +10,7 @@ from ..functions import dates as dt
 from ..functions import numbers as num
 from ..functions import text as tx
 from ..options import DEFAULTS, Options
-from .findings import collect_findings, finding
+from .findings import collect_findings, rule_finding
 from .schema import ROW
 
 SEVERITY = {"days": "High", "partner_discount": "High", "hierarchy": "Low", "pricing": "Low"}
@@ -133,11 +133,11 @@ def skip_findings(df: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     customer, subtotal = F.col("_customer"), F.col("_subtotal")
     common = {"file_name": fixed.VALIDATED_FEED_NAME, "row": F.col(ROW) if ROW in df.columns else None}
     return collect_findings(_inputs(df), [
-        finding(
+        rule_finding(
             customer >= 100, level="Warning", rule="I3w", column="customerDiscountPercentage",
             description="Customer at 100% discount – hierarchy check skipped.", raw=num.plain(customer), **common,
         ),
-        finding(
+        rule_finding(
             (subtotal == 0) & (customer >= 100), level="Warning", rule="I4w", column="customerSubtotal",
             description="Customer billed $0 due to 100% discount – consistency check skipped.",
             raw=num.plain(subtotal), **common,

@@ -15,7 +15,7 @@ from ..functions import text as tx
 from ..operators import schema as sc
 from ..operators.data_quality import ROWS, blank_counts, blank_findings_of, quality_findings, row_rules
 from ..operators.filters import drop_usage_plan, is_usage_plan
-from ..operators.findings import FINDING_TYPE, collect_findings, finding, found_by
+from ..operators.findings import FINDING_TYPE, collect_findings, found_by, rule_finding
 from ..operators.ordinals import PLACE, block_offsets, with_row_numbers
 from ..options import DEFAULTS, Options
 from ..sources.feeds import detect_source, scan_places
@@ -34,59 +34,82 @@ def _marks(df: DataFrame) -> list[str]:
     return [c for c in sc.MARKS if c in df.columns]
 
 
-def _cleaned(raw: DataFrame) -> DataFrame:
-    """Clean cells in a projection of their own: later steps read each cell several times."""
-    marks = _marks(raw)
-    return raw.select(*[
-        tx.column(raw, n) if n in marks else tx.clean(tx.cell(raw, n)).alias(n) for n in raw.columns
-    ])
+class _Cells(NamedTuple):
+    """Clean cells with what was read of each date and number column, NULL where unreadable."""
 
+    frame: DataFrame
+    names: list[str]  # the feed's columns and marks
+    read: dict[str, str]  # column to the one with what was read of it
 
-def _normalised(cells: DataFrame) -> list[Column]:
+
+_CONTROL, _BREAKS = "_has_control", "_has_breaks"
+
+
+def _cleaned(raw: DataFrame) -> _Cells:
+    """Cells are cleaned, and then read, in projections of their own: later steps use each several times.
+
+    Whether a row has any character to be dropped, or any line break or tab, is asked once of all its
+    cells; their separator is neither and keeps broken characters apart.
+    """
+    marks, names = _marks(raw), raw.columns
+    feed = [n for n in names if n not in marks]
+    row = F.concat_ws("|", *[tx.cell(raw, n) for n in feed]) if feed else F.lit("")
+    seen = tx.with_once(raw, {_CONTROL: tx.has_control(row), _BREAKS: tx.has_break(row)})
+
+    def cleaned(name: str) -> Column:
+        c = tx.cell(seen, name)
+        return F.when(F.col(_CONTROL), tx.clean(c)).otherwise(tx.strip(c)).alias(name)
+
+    cells = seen.select(*[tx.column(seen, n) if n in marks else cleaned(n) for n in names], _BREAKS)
+    read = {n: f"_read_{i}" for i, n in enumerate(feed) if sc.is_date_name(n) or sc.is_number_name(n)}
+    frame = cells.select("*", *[
+        (dt.date_text if sc.is_date_name(n) else num.number_text)(tx.column(cells, n)).alias(alias) for n, alias in read.items()])
+    return _Cells(frame, names, read)
+
+
+def _normalised(cells: _Cells) -> list[Column]:
     """Each cell in the form of its column's class: date, number or text. Unreadable cells stay."""
-    marks = _marks(cells)
+    marks = _marks(cells.frame)
 
     def value(name: str):
-        c = tx.column(cells, name)
-        if sc.is_date_name(name):
-            return F.coalesce(dt.date_text(c), c)
-        if sc.is_number_name(name):
-            return F.coalesce(num.number_text(c), c)
-        text = tx.collapse_spaces(c)
+        c = tx.column(cells.frame, name)
+        if name in cells.read:
+            return F.coalesce(F.col(cells.read[name]), c)
+        text = tx.collapse_spaces(c, F.col(_BREAKS))
         keep_zeros = "id" in name.lower() or "sku" in name.lower()
         return text if keep_zeros else tx.strip_leading_zeros(text)
 
-    return [tx.column(cells, n) if n in marks else value(n).alias(n) for n in cells.columns]
+    return [tx.column(cells.frame, n) if n in marks else value(n).alias(n) for n in cells.names]
 
 
 def normalise(raw: DataFrame) -> DataFrame:
     """Cleans every cell by its column's class: date, number or text. Unreadable cells stay."""
     cells = _cleaned(raw)
-    return cells.select(*_normalised(cells))
+    return cells.frame.select(*_normalised(cells))
 
 
-def _cell_rules(cells: DataFrame, file_name: str) -> list[Column]:
+def _cell_rules(cells: _Cells, file_name: str) -> list[Column]:
     """Findings about clean cells: unreadable dates and numbers, and amounts too large to be compared."""
     common = {
-        "row": F.col(sc.ROW) if sc.ROW in cells.columns else None,
-        "file_name": F.col(sc.FILE) if sc.FILE in cells.columns else file_name,
+        "row": F.col(sc.ROW) if sc.ROW in cells.names else None,
+        "file_name": F.col(sc.FILE) if sc.FILE in cells.names else file_name,
     }
     rules = []
-    for name in cells.columns:
-        if name in sc.MARKS:
-            continue
-        c = tx.column(cells, name)
+    for name, read in cells.read.items():
+        c, value = tx.column(cells.frame, name), F.col(read)
         if sc.is_date_name(name):
-            rules.append(finding(
-                (c != "") & dt.parse_timestamp(c).isNull(), level="Error", rule="Q7", column=name, raw=c,
+            rules.append(rule_finding(
+                value.isNull() & (c != ""), level="Error", rule="Q7", column=name, raw=c,
                 description=F.concat(F.lit("Invalid date '"), c, F.lit("' – unable to parse.")), **common))
         elif sc.is_number_name(name):
-            rules.append(finding(
-                (c != "") & num.is_unreadable_number(c), level="Error", rule="Q7", column=name, raw=c,
+            # What was read is NULL for unreadable numbers, and for some with an exponent that are out of range.
+            rules.append(rule_finding(
+                value.isNull() & (c != "") & num.is_unreadable_number(c), level="Error", rule="Q7", column=name, raw=c,
                 description=F.concat(F.lit("Invalid numeric '"), c, F.lit("' – unable to parse.")), **common))
             # Twelve characters without an exponent always fit.
-            rules.append(finding(
-                ((F.length(c) > 12) | c.rlike("[eE]")) & ~num.is_unreadable_number(c) & num.number_text(c).try_cast(num.AMOUNT).isNull(),
+            rules.append(rule_finding(
+                ((F.length(c) > 12) | num.has_exponent(c)) & value.try_cast(num.AMOUNT).isNull()
+                & (value.isNotNull() | ~num.is_unreadable_number(c)),
                 level="Error", rule="Q7", column=name, raw=c,
                 description=F.concat(F.lit("Number '"), c, F.lit("' is out of range.")), **common))
     return rules
@@ -95,7 +118,7 @@ def _cell_rules(cells: DataFrame, file_name: str) -> list[Column]:
 def normalise_findings(raw: DataFrame, file_name: str = "") -> DataFrame:
     """Dates and numbers that could not be read, and amounts too large to be compared."""
     cells = _cleaned(raw)
-    return collect_findings(cells, _cell_rules(cells, file_name))
+    return collect_findings(cells.frame, _cell_rules(cells, file_name))
 
 
 def _keep_keyed(df: DataFrame, kind: str, options: Options) -> tuple[DataFrame, DataFrame]:
@@ -167,7 +190,7 @@ def in_one_pass(raw: DataFrame, kind: str, options: Options = DEFAULTS, seen: Ob
     ``seen`` observes the counts that the whole-feed rules need while the rows pass.
     """
     cells = _cleaned(raw)
-    noted = cells.select(*_normalised(cells), found_by(_cell_rules(cells, "")).alias(sc.FOUND))
+    noted = cells.frame.select(*_normalised(cells), found_by(_cell_rules(cells, "")).alias(sc.FOUND))
     parsed, rules = row_rules(noted)
     noted = parsed.select(
         *[tx.column(parsed, n) for n in noted.columns if n != sc.FOUND], F.concat(sc.FOUND, found_by(rules)).alias(sc.FOUND))
