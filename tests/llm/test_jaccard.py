@@ -99,6 +99,45 @@ def test_similar_sets_share_a_probed_segment():
         assert hit
 
 
+def _payloads(sets, first, short):
+    """Per bucket the payloads of the sets, as ``packed`` lays them out, each set in a payload of its own."""
+    out = {}
+    for i, grams in enumerate(sets):
+        key, flag, band = join.banded_entries(grams, RULE, None, short)
+        flag = np.where(flag & join._TWO, join._RAISED, flag)
+        bucket = first[band] + ((key >> np.uint64(44)) * (first[band + 1] - first[band]) >> np.uint64(20))
+        mark = np.frombuffer(join.sketch(grams), np.uint64).reshape(2, -1)
+        for b in np.unique(bucket):
+            at = bucket == b
+            out.setdefault(int(b), []).append(b"".join(x.tobytes() for x in (
+                np.array([1, at.sum()], np.int64), np.array([i]), np.array([i]), np.array([len(grams)], np.int32), mark[0] ^ mark[1],
+                (key[at] >> np.uint64(8)).astype(np.uint32), flag[at].astype(np.uint16))))
+    return out
+
+
+def test_buckets_report_similar_pairs_and_few_others(monkeypatch):
+    """Every similar pair in some bucket, however many there are; unlike sets with a common part in few of them."""
+    monkeypatch.setattr(join, "_ENTRIES", 3000)
+    rng = np.random.default_rng(8)
+    sets = []
+    for n in (6, 20, 60, 300, 900, 1500):
+        base = mix(rng.integers(1, 1 << 62, n, np.uint64))
+        for share in (0.02, 0.05, 0.1, 0.13, 0.14):
+            sets.append(np.unique(np.where(rng.random(n) < share, mix(rng.integers(1, 1 << 62, n, np.uint64)), base)))
+    shared = mix(rng.integers(1, 1 << 62, 300, np.uint64))
+    sets += [np.unique(np.concatenate([shared, mix(rng.integers(1, 1 << 62, 1300, np.uint64))])) for _ in range(12)]
+    totals = {}
+    for s in sets:
+        totals[join.band_of(len(s))] = totals.get(join.band_of(len(s)), 0) + len(s)
+    short = int(np.bitwise_or.reduce([join.short_bands(s, RULE) for s in sets]))
+    buckets = _payloads(sets, join.first_buckets(totals), short)
+    found = [pair for held in buckets.values() for pair in zip(*(x.tolist() for x in join.bucket_pairs(held, RULE)))]
+    similar = {(i, j) for j in range(len(sets)) for i in range(j) if RULE.similar(sets[i], sets[j])}
+    assert len(similar) > 15 and similar <= set(found)
+    unlike = len(sets) - 12
+    assert len([p for p in found if min(p) >= unlike]) <= 12
+
+
 def test_few_units_take_empty_segments():
     one = np.sort(np.arange(1, 4, dtype=np.uint64))  # three n-grams in one segment
     assert join.short_bands(one, RULE)

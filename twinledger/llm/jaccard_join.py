@@ -24,6 +24,13 @@ other link is verified on the whole sets. Segment hashes travel as packed arrays
 block of documents and bucket; texts are shuffled once, into a table that is bucketed by
 doc_id, so later joins do not move them.
 
+Each band has its own buckets, as many as its n-grams ask for, so a document goes to those of
+its own band and the next only. A bucket also counts by how many of its segments a set differs
+from one of the same band: it reports a pair only if these are fewer than the units probed
+there. If every bucket that shows a pair had as many, the others, which show nothing, would
+add all their units, and the sets would differ in more than H n-grams; so some bucket reports
+each similar pair.
+
 Defined cases: null or blank text has no n-grams and no link; fewer words than ``size`` are
 one n-gram; rows that share a doc_id are one node, with the links of all their texts; a
 null doc_id has no component; a very long text is one set in a block of its own; columns other
@@ -54,7 +61,8 @@ _STAR = 2_000
 _SKETCH = 1024  # bits
 _ENTRIES = 6_000_000  # of a bucket
 _BUCKET_BITS = 20
-_INDEX, _PROBE = 1, 2
+_INDEX, _PROBE, _OWN, _TWO = 1, 2, 4, 8  # _OWN: a whole segment in the set's own band, _TWO: of two units
+_RAISED = _OWN | _PROBE  # how _OWN, _PROBE, _INDEX and _TWO travel
 _EXACT, _DELETED = U64(0x51ED270B4D2F5C11), U64(0x2545F4914F6CDD1D)
 
 
@@ -132,11 +140,17 @@ class Segments:
 
 def entries(grams: np.ndarray, rule: Rule, weights: np.ndarray | None, short: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys and flags (index, probe) of a set's segments; ``short``: bits of the bands where empty segments are indexed."""
-    keys, flags = [], []
+    return banded_entries(grams, rule, weights, short)[:2]
+
+
+def banded_entries(grams: np.ndarray, rule: Rule, weights: np.ndarray | None, short: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``entries`` with the band of each."""
+    keys, flags, bands = [], [], []
 
     def add(found: np.ndarray, flag) -> None:
         keys.append(found)
         flags.append(np.broadcast_to(np.asarray(flag, np.uint8), found.shape))
+        bands.append(np.full(len(found), band, np.uint8))
 
     for band, units in rule.bands(len(grams)):
         own = band == band_of(len(grams))
@@ -151,8 +165,9 @@ def entries(grams: np.ndarray, rule: Rule, weights: np.ndarray | None, short: in
         need = units - len(raised)
         taken[order[:need]] = True
         taken[raised] = True
-        exact = cut.keys()
-        add(exact, _INDEX * own + _PROBE * taken)
+        twice = np.zeros(len(cost), bool)
+        twice[raised] = True
+        add(cut.keys(), (_INDEX | _OWN) * own + _PROBE * taken + _TWO * (twice & own))
         if own:
             add(cut.without_one(deletion, _DELETED), _INDEX)
         if len(raised):  # the other set has one more, or one less
@@ -161,10 +176,17 @@ def entries(grams: np.ndarray, rule: Rule, weights: np.ndarray | None, short: in
         if short >> band & 1:
             gone = cut.empty()
             lacking = max(0, need - len(cost))
-            add(gone, _INDEX * own + _PROBE * (np.arange(len(gone)) < lacking))
-    key, flag = np.concatenate(keys), np.concatenate(flags)
+            add(gone, (_INDEX | _OWN) * own + _PROBE * (np.arange(len(gone)) < lacking))
+    key, flag, where = np.concatenate(keys), np.concatenate(flags), np.concatenate(bands)
     keep = flag > 0
-    return key[keep], flag[keep]
+    return key[keep], flag[keep], where[keep]
+
+
+def first_buckets(grams: dict[int, int]) -> np.ndarray:
+    """The first bucket of each band, by the n-grams of its sets: these have some three entries for four
+    n-grams in their own band and one for eight in the next."""
+    counts = [min(1 << _BUCKET_BITS, 1 + (6 * grams.get(j, 0) + grams.get(j - 1, 0)) // (8 * _ENTRIES)) for j in range(64)]
+    return np.concatenate([[0], np.cumsum(counts)]).astype(U64)
 
 
 def short_bands(grams: np.ndarray, rule: Rule) -> int:
@@ -266,7 +288,7 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Rule, size: int) -> DataF
     return left.join(right, ["b", "part"]).select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def packed(labelled: DataFrame, rule: Rule, size: int, hints, short: int, buckets: int) -> DataFrame:
+def packed(labelled: DataFrame, rule: Rule, size: int, hints, short: int, first: np.ndarray) -> DataFrame:
     """Rows of bucket and payload: documents, labels, sizes, sketches, and for each segment hash its document and flags."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -279,7 +301,7 @@ def packed(labelled: DataFrame, rule: Rule, size: int, hints, short: int, bucket
                 sets = shingle_sets(raws[s], size)
                 marks = np.frombuffer(b"".join(sketch(g) for g in sets), np.uint64).reshape(len(sets), 2, -1)
                 marks = marks[:, 0] ^ marks[:, 1]  # half as many classes
-                keys, flags, owner = [np.zeros(0, U64)], [np.zeros(0, np.uint8)], [np.zeros(0, np.uint16)]
+                keys, flags, owner, bands = [np.zeros(0, U64)], [np.zeros(0, np.uint8)], [np.zeros(0, np.uint16)], [np.zeros(0, np.uint8)]
                 for i, grams in enumerate(sets):
                     if not len(grams):
                         continue
@@ -287,12 +309,13 @@ def packed(labelled: DataFrame, rule: Rule, size: int, hints, short: int, bucket
                     if len(common):
                         spot = np.minimum(np.searchsorted(common, grams), len(common) - 1)
                         weights = np.where(common[spot] == grams, weight[spot], 0)
-                    key, flag = entries(grams, rule, weights, short)
+                    key, flag, band = banded_entries(grams, rule, weights, short)
                     keys.append(key)
-                    flags.append(flag)
+                    flags.append(np.where(flag & _TWO, _RAISED, flag).astype(np.uint8))
+                    bands.append(band)
                     owner.append(np.full(len(key), i, np.uint16))
-                key, flag, who = np.concatenate(keys), np.concatenate(flags), np.concatenate(owner)
-                bucket = ((key >> U64(64 - _BUCKET_BITS)) * U64(buckets) >> U64(_BUCKET_BITS)).astype(np.int32)
+                key, flag, who, band = np.concatenate(keys), np.concatenate(flags), np.concatenate(owner), np.concatenate(bands)
+                bucket = (first[band] + ((key >> U64(64 - _BUCKET_BITS)) * (first[band + 1] - first[band]) >> U64(_BUCKET_BITS))).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 bucket, low, flag, who = bucket[order], (key[order] >> U64(8)).astype(np.uint32), flag[order], who[order]
                 heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
@@ -300,7 +323,7 @@ def packed(labelled: DataFrame, rule: Rule, size: int, hints, short: int, bucket
                 sizes = np.array([len(g) for g in sets], np.int32)
                 for a, b in zip(heads, [*heads[1:], len(bucket)]):
                     docs, local = np.unique(who[a:b], return_inverse=True)
-                    held = (local.astype(np.uint16) << 2) | flag[a:b]
+                    held = (local.astype(np.uint16) << 3) | flag[a:b]  # 13 bits hold _ROWS documents
                     payloads.append(b"".join(x.tobytes() for x in (
                         np.array([len(docs), b - a], np.int64), ids[s][docs], labels[s][docs], sizes[docs], marks[docs], low[a:b], held)))
                 yield pa.RecordBatch.from_arrays(
@@ -329,11 +352,16 @@ def bucket_pairs(payloads: list[bytes], rule: Rule) -> tuple[np.ndarray, np.ndar
         labels.append(lab)
         sizes.append(n)
         keys.append(key)
-        owner.append((held >> 2).astype(np.int32) + base)
-        flags.append((held & 3).astype(np.uint8))
+        owner.append((held >> 3).astype(np.int32) + base)
+        flags.append((held & 7).astype(np.uint8))
         base += len(i)
     ids, labels, sizes, marks, key, owner, flag = map(np.concatenate, (ids, labels, sizes, marks, keys, owner, flags))
     sizes = sizes.astype(np.int64)
+    raised = flag == _RAISED
+    flag = np.where(raised, flag | _INDEX, flag)
+    whole = flag & _OWN > 0  # each set's segments here, and the units probed among them
+    segments = np.bincount(owner[whole], minlength=len(ids))
+    units = np.bincount(owner[whole & (flag & _PROBE > 0)], minlength=len(ids)) + np.bincount(owner[raised], minlength=len(ids))
     order = np.argsort(key, kind="stable")
     key, owner, flag = key[order], owner[order], flag[order]
     head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -341,16 +369,17 @@ def bucket_pairs(payloads: list[bytes], rule: Rule) -> tuple[np.ndarray, np.ndar
     # Runs with a probe, an index entry and more than one label.
     label = labels[owner]
     mixed = (np.minimum.reduceat(label, head) != np.maximum.reduceat(label, head)) if len(head) else np.zeros(0, bool)
-    both = np.bitwise_or.reduceat(flag, head) == _INDEX | _PROBE if len(head) else mixed
-    found = [np.zeros((0, 2), np.int32)]
+    both = np.bitwise_or.reduceat(flag, head) & (_INDEX | _PROBE) == _INDEX | _PROBE if len(head) else mixed
+    found, shown = [np.zeros((0, 2), np.int32)], [np.zeros((0, 2), np.int32)]
 
-    def keep(p: np.ndarray, q: np.ndarray) -> None:
-        """p probes, q is indexed."""
+    def keep(p: np.ndarray, q: np.ndarray, own: np.ndarray) -> None:
+        """p probes, q is indexed; own: by a segment whose band is p's own."""
         good = (labels[p] != labels[q]) & (sizes[p] <= sizes[q]) & (sizes[p] * rule.den >= sizes[q] * rule.num)
-        pair = np.unique(np.sort(np.stack([p[good], q[good]], axis=1), axis=1), axis=0)
-        x, y = pair.T
-        apart = np.bitwise_count(marks[x] ^ marks[y]).sum(axis=1, dtype=np.int64)
-        found.append(pair[apart <= (sizes[x] + sizes[y]) * (rule.den - rule.num) // (rule.den + rule.num)])
+        for kind, into in ((good & ~own, found), (good & own, shown)):
+            pair = np.unique(np.stack([p[kind], q[kind]], axis=1), axis=0)
+            x, y = pair.T
+            apart = np.bitwise_count(marks[x] ^ marks[y]).sum(axis=1, dtype=np.int64)
+            into.append(pair[apart <= (sizes[x] + sizes[y]) * (rule.den - rule.num) // (rule.den + rule.num)])
 
     for step in range(1, 33):  # short runs: all at once, by distance
         at = np.repeat(head[(length > step) & (length <= 33) & mixed & both], 1)
@@ -360,17 +389,41 @@ def bucket_pairs(payloads: list[bytes], rule: Rule) -> tuple[np.ndarray, np.ndar
         first = np.repeat(at, runs - step) + (np.arange(int((runs - step).sum())) - np.repeat(np.cumsum(runs - step) - (runs - step), runs - step))
         for x, y in ((first, first + step), (first + step, first)):
             asks = (flag[x] & _PROBE > 0) & (flag[y] & _INDEX > 0)
-            keep(owner[x[asks]], owner[y[asks]])
+            keep(owner[x[asks]], owner[y[asks]], flag[x[asks]] & _OWN > 0)
     for a, n in zip(head[(length > 33) & mixed & both], length[(length > 33) & mixed & both]):
         run = slice(a, a + n)
-        asks, held = owner[run][flag[run] & _PROBE > 0], owner[run][flag[run] & _INDEX > 0]
+        asks, held = np.flatnonzero(flag[run] & _PROBE > 0) + a, owner[run][flag[run] & _INDEX > 0]
         for s in range(0, len(asks), max(1, 1_000_000 // max(1, len(held)))):
             part = asks[s:s + max(1, 1_000_000 // max(1, len(held)))]
-            keep(np.repeat(part, len(held)), np.tile(held, len(part)))
-    pairs = ids[np.unique(np.concatenate(found), axis=0)]
+            keep(np.repeat(owner[part], len(held)), np.tile(held, len(part)), np.repeat(flag[part] & _OWN > 0, len(held)))
+    pairs = np.unique(np.concatenate(shown), axis=0)
+    part_of = np.zeros(len(ids), bool)
+    part_of[pairs] = True
+    whole = (flag & _OWN > 0) & part_of[owner]
+    found.append(_near_here(pairs, np.sort((owner[whole].astype(np.int64) << 32) | key[whole]), segments, units))
+    pairs = ids[np.unique(np.sort(np.concatenate(found), axis=1), axis=0)]
     return pairs.min(axis=1), pairs.max(axis=1)
 
 
+def _near_here(pairs: np.ndarray, counted: np.ndarray, segments: np.ndarray, units: np.ndarray) -> np.ndarray:
+    """The pairs (p, q) in which fewer of p's segments in this bucket are unlike q's than p has units here.
+
+    ``counted``: owner << 32 | key of these sets' segments, sorted.
+    """
+    start = np.searchsorted(counted, np.arange(len(segments), dtype=np.int64) << 32)
+    out = [pairs[:0]]
+    ends = np.cumsum(segments[pairs[:, 0]])
+    for cut in np.split(pairs, np.flatnonzero(np.diff(ends // 2_000_000)) + 1):
+        p, q = cut.T
+        n = segments[p]
+        spot = np.repeat(start[p] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        asked = (counted[spot] & 0xFFFFFFFF) | (np.repeat(q, n).astype(np.int64) << 32)
+        there = np.minimum(np.searchsorted(counted, asked), max(0, len(counted) - 1))
+        same = np.bincount(np.repeat(np.arange(len(cut)), n), counted[there] == asked, minlength=len(cut)).astype(np.int64)
+        out.append(cut[n - same < units[p]])
+    return np.concatenate(out)
+
+
 def similar_documents(docs: DataFrame, num: int = 75, den: int = 100, size: int = 5) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles and component_id."""
     rule = Rule(num, den)
@@ -408,19 +461,20 @@ def _links(texts: DataFrame, rule: Rule, size: int) -> tuple[DataFrame, DataFram
     stars = keyed.join(hubs, "key").filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     first = written(verified(written(plausible(stars, sets, rule), "jaccard-stars"), texts, rule, size), "jaccard-links")
     labels = written(components(first), "jaccard-labels")
-    about = sets.agg(F.coalesce(F.bit_or("short"), F.lit(0)).alias("short"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    about = sets.agg(F.coalesce(F.bit_or("short"), F.lit(0)).alias("short")).first()
     top = found.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(_HINTS).collect()
     common = np.array([r.gram for r in top], np.int64).view(U64)
     order = np.argsort(common)
     hints = spark.sparkContext.broadcast((common[order], np.array([r.n for r in top], np.int64)[order]))
     labelled = texts.join(labels, texts.doc_id == labels.node, "left").select(
         "doc_id", F.coalesce("component", "doc_id").alias("label"), "text")
-    buckets = int(min(1 << _BUCKET_BITS, 1 + about.n * 3 // 4 // _ENTRIES))
+    held = sets.groupBy((F.length(F.bin("n")) - 1).alias("band")).agg(F.sum("n").alias("n")).collect()  # one row per band
+    first_of = first_buckets({r.band: r.n for r in held})
 
     def pairs_of(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = bucket_pairs(list(pdf["payload"]), rule)
         return pd.DataFrame({"a": a, "b": b})
 
-    pairs = packed(labelled, rule, size, hints, about.short, buckets).groupBy("bucket").applyInPandas(pairs_of, "a long, b long").distinct()
+    pairs = packed(labelled, rule, size, hints, about.short, first_of).groupBy("bucket").applyInPandas(pairs_of, "a long, b long").distinct()
     second = written(verified(written(plausible(pairs, sets, rule), "jaccard-pairs"), texts, rule, size), "jaccard-links")
     return first.union(second), sets.select("digest", "n").distinct()
