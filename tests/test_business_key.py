@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinledger import Options
+from twinledger.functions import numbers as num
 from twinledger.operators import business_key as bk
 from twinledger.plans.runs import compare
 
@@ -263,3 +264,24 @@ def test_quantities_are_summed_once(table):
 
 def test_scans_read_small_parts(spark):
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "8m"
+
+
+def test_typed_amounts_are_summed_in_narrow_rows(spark):
+    """Amounts whose types keep them below a trillion have no second sum; the results are those of wider types."""
+    most = "999999999999.999999"
+    rows = [("a", "p", most, None, 5), ("a", "p", most, "-2.5", 5), ("b", "q", None, "1.25", -7), (None, "q", "3", "0", 1)]
+    frames = []
+    for kind in ("decimal(18,6)", "decimal(30,6)"):
+        feed = spark.createDataFrame(rows, "CustomerDomainName string, ProductId string, t string, s string, Quantity int")
+        frames.append(feed.selectExpr(
+            "CustomerDomainName", "ProductId", f"CAST(t AS {kind}) AS Total", f"CAST(s AS {kind}) AS Subtotal",
+            "CAST(0.5 AS DECIMAL(2,1)) AS TaxTotal", "Quantity", "CAST(2 AS DECIMAL(18,6)) AS UnitPrice"))
+    narrow, wide = [bk.group_totals(bk.prepare_side(f), bk.prepare_side(f.where("Quantity = 5"))) for f in frames]
+    assert sorted(narrow.collect(), key=repr) == sorted(wide.collect(), key=repr)
+
+    def sums(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("sum(")
+
+    assert sums(narrow) < sums(wide)
+    assert num.is_below_limb(frames[0], "Total", "Quantity") and not num.is_below_limb(frames[1], "Total")
+    assert not num.is_below_limb(frames[0], "Quantity", "ProductId")

@@ -38,6 +38,7 @@ def _measures(df: DataFrame) -> dict[str, Column]:
 
 
 _SOURCES = (("Quantity", None), ("Subtotal", "PartnerSubTotal"), ("Total", "PartnerTotal"), ("TaxTotal", "PartnerTaxTotal"))
+_TOTAL_SOURCES = dict(zip(fixed.TOTALS, _SOURCES))
 OUT_OF_RANGE = "Amount out of range"
 
 
@@ -73,8 +74,8 @@ def group_totals(left: DataFrame, right: DataFrame) -> DataFrame:
     both = _one_side(left, True).unionByName(_one_side(right, False))
     zero = F.lit(0)
     sums, lost = [], F.bool_or("_beyond")
-    for side, rows in (("l", "left_rows"), ("r", "right_rows")):
-        totals = {name: num.wide_sum(F.col(f"{side}_{name}")) for name in fixed.TOTALS}
+    for side, rows, feed in (("l", "left_rows", left), ("r", "right_rows", right)):
+        totals = {n: num.wide_sum(F.col(f"{side}_{n}"), num.is_below_limb(feed, *_TOTAL_SOURCES[n])) for n in fixed.TOTALS}
         for name, total in totals.items():
             lost = lost | ((F.sum(rows) > 0) & total.isNull())
             sums.append(F.coalesce(total, zero).cast(num.TOTAL).alias(f"{side}_{name}"))
@@ -95,7 +96,7 @@ def key_totals(df: DataFrame) -> DataFrame:
     frame = side.select(
         *[tx.key(tx.cell(side, k)).alias(k) for k in KEYS], *[c.alias(n) for n, c in values.items()], _beyond(side).alias("_beyond")
     )
-    totals = {n: num.wide_sum(F.col(n)) for n in fixed.TOTALS}
+    totals = {n: num.wide_sum(F.col(n), num.is_below_limb(side, *_TOTAL_SOURCES[n])) for n in fixed.TOTALS}
     lost = reduce(lambda a, b: a | b, [t.isNull() for t in totals.values()], F.bool_or("_beyond"))
     return frame.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("row_count"),
