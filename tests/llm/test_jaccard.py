@@ -1,6 +1,7 @@
 """The n-gram join against all pairs, and the rules that make it whole."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -138,6 +139,28 @@ def test_buckets_report_similar_pairs_and_few_others(monkeypatch):
     assert len([p for p in found if min(p) >= unlike]) <= 12
 
 
+def test_large_groups_of_near_copies_are_compared_once_per_pair(monkeypatch):
+    """Sets of a group meet in dozens of long runs: neither memory nor pairs follow from their number."""
+    rng = np.random.default_rng(3)
+    base, first = mix(rng.integers(1, 1 << 62, 120, np.uint64)), join.first_buckets({})
+    near = [np.unique(np.where(rng.random(120) < 0.1, mix(rng.integers(1, 1 << 62, 120, np.uint64)), base)) for _ in range(900)]
+    short = int(np.bitwise_or.reduce([join.short_bands(s, RULE) for s in near]))
+    held = _payloads(near, first, short)
+    tracemalloc.start()
+    found = {b: join.bucket_pairs(h, RULE) for b, h in held.items()}
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 80e6
+    few = _payloads(near[:200], first, short)
+    found = {b: np.stack(join.bucket_pairs(h, RULE)) for b, h in few.items()}
+    shown = {p for f in found.values() for p in zip(*f.tolist())}
+    assert {(i, j) for j in range(200) for i in range(j) if RULE.similar(near[i], near[j])} <= shown
+    for many in (1, 1_000):  # all runs are long, or none is
+        monkeypatch.setattr(join, "_MANY", many)
+        monkeypatch.setattr(join, "_AT_ONCE", 5_000)
+        assert all(np.array_equal(found[b], np.stack(join.bucket_pairs(h, RULE))) for b, h in few.items())
+
+
 def test_few_units_take_empty_segments():
     one = np.sort(np.arange(1, 4, dtype=np.uint64))  # three n-grams in one segment
     assert join.short_bands(one, RULE)

@@ -58,9 +58,11 @@ _HINTS = 100_000
 _COMMON = 2  # documents of a block that make an n-gram worth counting
 _ROUND_ONE = 16  # one of so many segments is looked at in round 2 of the docstring
 _STAR = 2_000
+_MANY = 33  # documents with the same segment
 _SKETCH = 1024  # bits
 _ENTRIES = 6_000_000  # of a bucket
 _BUCKET_BITS = 20
+_AT_ONCE = 250_000  # pairs of a bucket looked at together
 _INDEX, _PROBE, _OWN, _TWO = 1, 2, 4, 8  # _OWN: a whole segment in the set's own band, _TWO: of two units
 _RAISED = _OWN | _PROBE  # how _OWN, _PROBE, _INDEX and _TWO travel
 _EXACT, _DELETED = U64(0x51ED270B4D2F5C11), U64(0x2545F4914F6CDD1D)
@@ -370,41 +372,73 @@ def bucket_pairs(payloads: list[bytes], rule: Rule) -> tuple[np.ndarray, np.ndar
     label = labels[owner]
     mixed = (np.minimum.reduceat(label, head) != np.maximum.reduceat(label, head)) if len(head) else np.zeros(0, bool)
     both = np.bitwise_or.reduceat(flag, head) & (_INDEX | _PROBE) == _INDEX | _PROBE if len(head) else mixed
-    found, shown = [np.zeros((0, 2), np.int32)], [np.zeros((0, 2), np.int32)]
+    found, shown = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]  # p << 32 | q
 
     def keep(p: np.ndarray, q: np.ndarray, own: np.ndarray) -> None:
         """p probes, q is indexed; own: by a segment whose band is p's own."""
-        good = (labels[p] != labels[q]) & (sizes[p] <= sizes[q]) & (sizes[p] * rule.den >= sizes[q] * rule.num)
-        for kind, into in ((good & ~own, found), (good & own, shown)):
-            pair = np.unique(np.stack([p[kind], q[kind]], axis=1), axis=0)
-            x, y = pair.T
-            apart = np.bitwise_count(marks[x] ^ marks[y]).sum(axis=1, dtype=np.int64)
-            into.append(pair[apart <= (sizes[x] + sizes[y]) * (rule.den - rule.num) // (rule.den + rule.num)])
-
-    for step in range(1, 33):  # short runs: all at once, by distance
-        at = np.repeat(head[(length > step) & (length <= 33) & mixed & both], 1)
-        runs = length[(length > step) & (length <= 33) & mixed & both]
+        for s in range(0, len(p), _AT_ONCE):
+            x, y, mine = p[s:s + _AT_ONCE], q[s:s + _AT_ONCE], own[s:s + _AT_ONCE]
+            good = (labels[x] != labels[y]) & (sizes[x] <= sizes[y]) & (sizes[x] * rule.den >= sizes[y] * rule.num)
+            for kind, into in ((good & ~mine, found), (good & mine, shown)):
+                pair = np.unique((x[kind].astype(np.int64) << 32) | y[kind])
+                i, j = pair >> 32, pair & 0xFFFFFFFF
+                apart = np.bitwise_count(marks[i] ^ marks[j]).sum(axis=1, dtype=np.int64)
+                into.append(pair[apart <= (sizes[i] + sizes[j]) * (rule.den - rule.num) // (rule.den + rule.num)])
+                if sum(map(len, into[1:])) > max(len(into[0]), 4 * _AT_ONCE):  # most pairs share many segments
+                    into[:] = [np.unique(np.concatenate(into))]
+
+    for step in range(1, _MANY):  # short runs: all at once, by distance
+        at = np.repeat(head[(length > step) & (length <= _MANY) & mixed & both], 1)
+        runs = length[(length > step) & (length <= _MANY) & mixed & both]
         if not len(at):
             break
         first = np.repeat(at, runs - step) + (np.arange(int((runs - step).sum())) - np.repeat(np.cumsum(runs - step) - (runs - step), runs - step))
         for x, y in ((first, first + step), (first + step, first)):
             asks = (flag[x] & _PROBE > 0) & (flag[y] & _INDEX > 0)
             keep(owner[x[asks]], owner[y[asks]], flag[x[asks]] & _OWN > 0)
-    for a, n in zip(head[(length > 33) & mixed & both], length[(length > 33) & mixed & both]):
-        run = slice(a, a + n)
-        asks, held = np.flatnonzero(flag[run] & _PROBE > 0) + a, owner[run][flag[run] & _INDEX > 0]
-        for s in range(0, len(asks), max(1, 1_000_000 // max(1, len(held)))):
-            part = asks[s:s + max(1, 1_000_000 // max(1, len(held)))]
-            keep(np.repeat(owner[part], len(held)), np.tile(held, len(part)), np.repeat(flag[part] & _OWN > 0, len(held)))
-    pairs = np.unique(np.concatenate(shown), axis=0)
+    for p, q, own in _in_long_runs(owner, flag, *(x[(length > _MANY) & mixed & both] for x in (head, length))):
+        keep(p, q, own)
+    pairs = _both_ends(shown)
     part_of = np.zeros(len(ids), bool)
     part_of[pairs] = True
     whole = (flag & _OWN > 0) & part_of[owner]
-    found.append(_near_here(pairs, np.sort((owner[whole].astype(np.int64) << 32) | key[whole]), segments, units))
-    pairs = ids[np.unique(np.sort(np.concatenate(found), axis=1), axis=0)]
+    near = _near_here(pairs, np.sort((owner[whole].astype(np.int64) << 32) | key[whole]), segments, units)
+    pairs = ids[np.unique(np.sort(np.concatenate([_both_ends(found), near]), axis=1), axis=0)]
     return pairs.min(axis=1), pairs.max(axis=1)
 
 
+def _in_long_runs(owner: np.ndarray, flag: np.ndarray, head: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Batches of p, q, own: documents that probe a run and those indexed in it, each pair once for all runs that show it.
+
+    Large groups of near copies meet in hundreds of runs, so a document's runs are put together before anything is compared.
+    """
+    entry = np.repeat(head, length) + np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    run, indexed = np.repeat(np.arange(len(head)), length), flag[entry] & _INDEX > 0
+    docs, place = np.unique(owner[entry[indexed]], return_inverse=True)
+    held = np.split(place.astype(np.int32), np.searchsorted(run[indexed], np.arange(1, len(head))))
+    asks = flag[entry] & _PROBE > 0
+    asking = np.stack([owner[entry[asks]].astype(np.int64) * 2 + (flag[entry[asks]] & _OWN > 0), run[asks]], axis=1)
+    asking = asking[np.argsort(asking[:, 0], kind="stable")]
+    seen, batch, size = np.zeros(len(docs), bool), [], 0
+    for part in np.split(asking, np.flatnonzero(np.diff(asking[:, 0])) + 1) if len(asking) else ():
+        for r in part[:, 1].tolist():
+            seen[held[r]] = True
+        there = np.flatnonzero(seen)
+        seen[there] = False
+        batch.append((int(part[0, 0]), there))
+        size += len(there)
+        if size >= _AT_ONCE or part[-1, 0] == asking[-1, 0]:
+            who = np.repeat(np.array([w for w, _ in batch]), [len(t) for _, t in batch])
+            yield who >> 1, docs[np.concatenate([t for _, t in batch])], who & 1 > 0
+            batch, size = [], 0
+
+
+def _both_ends(packed_pairs: list[np.ndarray]) -> np.ndarray:
+    """The distinct pairs as rows of two."""
+    pairs = np.unique(np.concatenate(packed_pairs))
+    return np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1)
+
+
 def _near_here(pairs: np.ndarray, counted: np.ndarray, segments: np.ndarray, units: np.ndarray) -> np.ndarray:
     """The pairs (p, q) in which fewer of p's segments in this bucket are unlike q's than p has units here.
 
@@ -413,7 +447,7 @@ def _near_here(pairs: np.ndarray, counted: np.ndarray, segments: np.ndarray, uni
     start = np.searchsorted(counted, np.arange(len(segments), dtype=np.int64) << 32)
     out = [pairs[:0]]
     ends = np.cumsum(segments[pairs[:, 0]])
-    for cut in np.split(pairs, np.flatnonzero(np.diff(ends // 2_000_000)) + 1):
+    for cut in np.split(pairs, np.flatnonzero(np.diff(ends // (2 * _AT_ONCE))) + 1):
         p, q = cut.T
         n = segments[p]
         spot = np.repeat(start[p] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
