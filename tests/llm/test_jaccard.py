@@ -1,6 +1,8 @@
 """The n-gram join against all pairs, and the rules that make it whole."""
 
+import os
 import random
+import sys
 import tracemalloc
 
 import numpy as np
@@ -9,7 +11,7 @@ import pytest
 from twinledger.llm import jaccard_join as join
 from twinledger.llm.graph import components
 from twinledger.llm.scratch import reachable
-from twinledger.llm.words import mix
+from twinledger.llm.words import mix, released
 
 SCHEMA = "doc_id long, text string, component int"
 RULE = join.Rule(75, 100)
@@ -161,6 +163,19 @@ def test_large_groups_of_near_copies_are_compared_once_per_pair(monkeypatch):
         assert all(np.array_equal(found[b], np.stack(join.bucket_pairs(h, RULE))) for b, h in few.items())
 
 
+@pytest.mark.skipif(sys.platform != "linux", reason="reads /proc")
+def test_freed_memory_goes_back():
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    made = [bytearray(4_000) for _ in range(50_000)]
+    last, most = made[-1], held()
+    made.clear()
+    released()
+    assert len(last) == 4_000 and most - held() > 100e6
+
+
 def test_few_units_take_empty_segments():
     one = np.sort(np.arange(1, 4, dtype=np.uint64))  # three n-grams in one segment
     assert join.short_bands(one, RULE)

@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from twinledger.llm.graph import components
 from twinledger.llm.scratch import discard, new_path, shuffles_dropped, written
-from twinledger.llm.words import U64, blocks, folded, mix, shingle_sets
+from twinledger.llm.words import U64, blocks, folded, mix, released, shingle_sets
 
 _BYTES, _ROWS = 4_000_000, 8192
 _DELETION_SEGMENTS = 4
@@ -244,6 +244,8 @@ def profile(texts: DataFrame, rule: Rule, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [none, pa.nulls(len(grams), pa.binary()), pa.array(counts), none, pa.nulls(len(grams), pa.list_(pa.int64())),
                      pa.array(grams.view(np.int64)), pa.nulls(len(grams), pa.binary())], names)
+                del sets, keys, short, grams, counts, often
+        released()
 
     return texts.mapInArrow(run, "doc_id long, digest binary, n long, short long, keys array<long>, gram long, sketch binary")
 
@@ -286,6 +288,8 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Rule, size: int) -> DataF
         for batch in batches:
             keep = [rule.similar(grams(x), grams(y)) for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
+        known.clear()
+        released()
 
     return left.join(right, ["b", "part"]).select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
@@ -330,6 +334,8 @@ def packed(labelled: DataFrame, rule: Rule, size: int, hints, short: int, first:
                         np.array([len(docs), b - a], np.int64), ids[s][docs], labels[s][docs], sizes[docs], marks[docs], low[a:b], held)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(bucket[heads] if len(bucket) else [], pa.int32()), pa.array(payloads, pa.binary())], ["bucket", "payload"])
+                del sets, marks, keys, flags, owner, bands, key, flag, who, band, bucket, order, low, payloads
+        released()
 
     return labelled.select("doc_id", "label", "text").mapInArrow(run, "bucket int, payload binary")
 
@@ -398,6 +404,7 @@ def bucket_pairs(payloads: list[bytes], rule: Rule) -> tuple[np.ndarray, np.ndar
             keep(owner[x[asks]], owner[y[asks]], flag[x[asks]] & _OWN > 0)
     for p, q, own in _in_long_runs(owner, flag, *(x[(length > _MANY) & mixed & both] for x in (head, length))):
         keep(p, q, own)
+    del label
     pairs = _both_ends(shown)
     part_of = np.zeros(len(ids), bool)
     part_of[pairs] = True
@@ -507,6 +514,7 @@ def _links(texts: DataFrame, rule: Rule, size: int) -> tuple[DataFrame, DataFram
 
     def pairs_of(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = bucket_pairs(list(pdf["payload"]), rule)
+        released()
         return pd.DataFrame({"a": a, "b": b})
 
     pairs = packed(labelled, rule, size, hints, about.short, first_of).groupBy("bucket").applyInPandas(pairs_of, "a long, b long").distinct()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import sys
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 U64 = np.uint64
 _BLANK = np.zeros(256, bool)
@@ -15,6 +18,15 @@ _PIECE = 1 << 22
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 
 
+def released() -> None:
+    """Gives back what a task leaves with the allocators: Spark keeps its workers, and their memory, for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:  # glibc keeps freed arrays below other ones
+        trim(0)
+
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bits of 64-bit numbers spread over all of them, one to one."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
