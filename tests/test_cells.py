@@ -91,3 +91,32 @@ def test_arithmetic(table):
     for bad in ("__import__('os')", "{A} ** {B}", "{A}; 1", "{A} +", "abc"):
         with pytest.raises(ValueError):
             arithmetic(bad, value)
+
+
+def test_short_ways_give_what_the_long_ones_give(spark):
+    """Plain days and negative amounts, and texts just beside them."""
+    amounts = ["(17)", "(017)", "(1.50)", "(0)", "()", "17-", "17.250-", "017-", "0-", "-17-", "17.-", ".5-", "1,700-", "(17", "17)", "(17)-", "17-\n", "1 7-"]
+    tidy = lambda c: F.when(c.rlike(num.CANONICAL), c).when(c.rlike(num.LENIENT), num._tidy_digits(c))
+    cells = spark.createDataFrame([(a,) for a in amounts], "s string")
+    for r in cells.select("s", num.lenient_number_text(F.col("s")).alias("got"), tidy(F.col("s")).alias("long")).collect():
+        assert r["got"] == r["long"], r
+    days = ["2024-01-02", "2024-01-02\n", " 2024-01-02", "2024-02-30", "1/2/2024", "01/02/0099", " 1/2/2024 ", "1/2/2024\n", "2/30/2024", "0/1/2024", "12/31/9999", "1/2/24"]
+    cells = spark.createDataFrame([(d,) for d in days], "s string")
+    for r in cells.select("s", dt.date_text(F.col("s")).alias("got"), dt.parse_date(F.col("s")).cast("string").alias("long")).collect():
+        assert r["got"] == r["long"], r
+
+
+def test_blank_and_printable(spark):
+    cells = ["", " ", "\t", "\u00a0", "\u0085 ", "\u3000", "\u007f", "a", " a", "~", "!", "ä", "\ta", "a\n", "\u200b", None]
+    df = spark.createDataFrame([(c,) for c in cells], "s string")
+    white = set(tx.WHITESPACE)
+    for r in df.select("s", tx.is_blank(F.col("s")).alias("blank"), tx.is_printable_ascii(F.col("s")).alias("plain")).collect():
+        assert r["blank"] == (r["s"] is None or set(r["s"]) <= white), r
+        assert r["plain"] == (None if r["s"] is None else all(" " <= c <= "~" for c in r["s"])), r
+
+
+def test_what_may_be_a_number(spark):
+    texts = [c for c, *_ in NUMBERS if c.strip()] + ["(5)", "+1", "-1", ",1"]
+    df = spark.createDataFrame([(t.strip(),) for t in texts], "s string")
+    assert df.where(F.col("s").rlike(num.LENIENT) & ~num.may_be_number(F.col("s"))).count() == 0
+    assert df.where(~num.may_be_number(F.col("s"))).count() > 0

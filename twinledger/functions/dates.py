@@ -12,6 +12,7 @@ from . import text as tx
 _TIME = r"\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?"
 ISO = rf"^\d{{4}}([-/])\d{{1,2}}\1\d{{1,2}}(?:[T ]{_TIME}(?:Z|[+-]\d{{2}}:\d{{2}})?)?$"
 ISO_DAY = r"^\d{4}-\d{2}-\d{2}$"
+US_DAY = r"^\d{1,2}/\d{1,2}/\d{4}\z"
 US = rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})( {_TIME})?$"
 # Month names and 12-hour times: one guard, one pattern of optional sections.
 NAMED = r"^\d{1,2}([ -])[A-Za-z]{3,9}\1\d{4}$|^[A-Za-z]{3,9} \d{1,2}, \d{4}$|^\d{1,2}/\d{1,2}/\d{4} [\d:]{4,8} [AP]M$"
@@ -23,9 +24,9 @@ NAMED_PATTERN = (
 UNREADABLE = "0001-01-01"
 
 
-def parse_timestamp(c: Column) -> Column:
+def parse_timestamp(c: Column, stripped: bool = False) -> Column:
     """NULL when unreadable. The regex guards keep failing casts and the pattern parser off ordinary cells."""
-    t = tx.strip(c)
+    t = c if stripped else tx.strip(c)
     us = F.regexp_replace(t, US, "$3-$1-$2$4")
     return (
         F.when(t.rlike(ISO), F.translate(t, "/", "-").try_cast("timestamp"))
@@ -38,10 +39,17 @@ def parse_date(c: Column) -> Column:
     return parse_timestamp(c).cast("date")
 
 
-def date_text(c: Column) -> Column:
-    """ISO text of a date, NULL when unreadable; plain ISO days take the short way."""
-    day = F.when(c.rlike(ISO_DAY), c.try_cast("date")).otherwise(parse_date(c))
-    return day.cast("string")
+def date_text(c: Column, stripped: bool = False) -> Column:
+    """ISO text of a date, NULL when unreadable; plain ISO and US days take a short way.
+
+    ``stripped`` tells that the text has no white space at its ends.
+    """
+    us = F.concat(F.right(c, F.lit(4)), F.lit("-"), F.translate(F.substring_index(c, "/", 2), "/", "-"))
+    return (
+        F.when(c.rlike(ISO_DAY), F.when(c.try_cast("date").isNotNull(), F.left(c, F.lit(10))))
+        .when(c.rlike(US_DAY), us.try_cast("date").cast("string"))
+        .otherwise(parse_timestamp(c, stripped).cast("date").cast("string"))
+    )
 
 
 def date_or_lowest(df: DataFrame, name: str) -> Column:

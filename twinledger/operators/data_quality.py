@@ -11,7 +11,7 @@ from ..functions import dates as dt
 from ..functions import numbers as num
 from ..functions import text as tx
 from ..options import DEFAULTS, Options
-from .findings import collect_findings, counts_by_description, finding, found_by, rule_finding
+from .findings import FINDING_TYPE, collect_findings, counts_by_description, finding, found_by, rule_finding
 from .schema import FILE, MARKS, ROW
 
 
@@ -20,7 +20,7 @@ def context(df: DataFrame) -> Column:
     return F.concat(F.lit("Customer: "), customer, F.lit(", SKU: "), sku)
 
 
-def row_rules(df: DataFrame, file_name: str = "") -> tuple[DataFrame, list[Column]]:
+def row_rules(df: DataFrame, file_name: str = "", kind: T.StructType = FINDING_TYPE) -> tuple[DataFrame, list[Column]]:
     """The feed with the cells that the row rules Q1 to Q5 read parsed once, and the rules' findings."""
     feed = [c for c in df.columns if c not in MARKS]
     quantity, zero = F.col("_quantity"), F.lit(0)
@@ -37,6 +37,7 @@ def row_rules(df: DataFrame, file_name: str = "") -> tuple[DataFrame, list[Colum
         "row": F.col(ROW) if ROW in df.columns else None,
         "file_name": F.col(FILE) if FILE in df.columns else file_name,
         "context": F.col("_context"),
+        "kind": kind,
     }
     rules: list[Column] = []
     positive = quantity > 0

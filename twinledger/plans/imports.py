@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import replace
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import fixed_values as fixed
 from ..functions import dates as dt
@@ -15,10 +17,10 @@ from ..functions import text as tx
 from ..operators import schema as sc
 from ..operators.data_quality import ROWS, blank_counts, blank_findings_of, quality_findings, row_rules
 from ..operators.filters import drop_usage_plan, is_usage_plan
-from ..operators.findings import FINDING_TYPE, collect_findings, found_by, rule_finding
+from ..operators.findings import FINDING_TYPE, NOTE_TYPE, collect_findings, found_by, rule_finding
 from ..operators.ordinals import PLACE, block_offsets, with_row_numbers
 from ..options import DEFAULTS, Options
-from ..sources.feeds import detect_source, scan_places
+from ..sources.feeds import detect_source, scan_places, with_file_name
 from ..staging import written
 
 
@@ -37,34 +39,41 @@ def _marks(df: DataFrame) -> list[str]:
 class _Cells(NamedTuple):
     """Clean cells with what was read of each date and number column, NULL where unreadable."""
 
-    frame: DataFrame
+    frame: DataFrame  # with _ODD
     names: list[str]  # the feed's columns and marks
     read: dict[str, str]  # column to the one with what was read of it
 
 
-_CONTROL, _BREAKS = "_has_control", "_has_breaks"
+#: 0 for a row of printable ASCII, else 1, and 2 more if it has characters to be dropped, 4 more if it has line breaks or tabs.
+_ODD = "_odd"
 
 
-def _cleaned(raw: DataFrame) -> _Cells:
+def _cleaned(raw: DataFrame, filtered: bool = True) -> _Cells:
     """Cells are cleaned, and then read, in projections of their own: later steps use each several times.
 
     Whether a row has any character to be dropped, or any line break or tab, is asked once of all its
-    cells; their separator is neither and keeps broken characters apart.
+    cells; their separator is neither and keeps broken characters apart. Rows of printable ASCII, as most are,
+    have neither, and only blanks around their cells. ``filtered`` tells that filters may follow, which have to stay above.
     """
     marks, names = _marks(raw), raw.columns
     feed = [n for n in names if n not in marks]
     row = F.concat_ws("|", *[tx.cell(raw, n) for n in feed]) if feed else F.lit("")
-    seen = tx.with_once(raw, {_CONTROL: tx.has_control(row), _BREAKS: tx.has_break(row)})
+    kind = F.when(tx.is_printable_ascii(row), 0).otherwise(
+        F.lit(1) + F.when(tx.has_control(row), 2).otherwise(0) + F.when(tx.has_break(row), 4).otherwise(0))
+    seen = tx.with_once(raw, {_ODD: kind}) if filtered else raw.withColumn(_ODD, kind)
 
     def cleaned(name: str) -> Column:
         c = tx.cell(seen, name)
-        return F.when(F.col(_CONTROL), tx.clean(c)).otherwise(tx.strip(c)).alias(name)
+        return F.when(F.col(_ODD) == 0, F.trim(c)).when(F.col(_ODD).isin(3, 7), tx.clean(c)).otherwise(tx.strip(c)).alias(name)
 
-    cells = seen.select(*[tx.column(seen, n) if n in marks else cleaned(n) for n in names], _BREAKS)
+    cells = seen.select(*[tx.column(seen, n) if n in marks else cleaned(n) for n in names], _ODD)
     read = {n: f"_read_{i}" for i, n in enumerate(feed) if sc.is_date_name(n) or sc.is_number_name(n)}
-    frame = cells.select("*", *[
-        (dt.date_text if sc.is_date_name(n) else num.number_text)(tx.column(cells, n)).alias(alias) for n, alias in read.items()])
-    return _Cells(frame, names, read)
+
+    def read_of(name: str) -> Column:
+        c = tx.column(cells, name)
+        return dt.date_text(c, stripped=True) if sc.is_date_name(name) else num.number_text(c)
+
+    return _Cells(cells.select("*", *[read_of(n).alias(alias) for n, alias in read.items()]), names, read)
 
 
 def _normalised(cells: _Cells) -> list[Column]:
@@ -75,7 +84,7 @@ def _normalised(cells: _Cells) -> list[Column]:
         c = tx.column(cells.frame, name)
         if name in cells.read:
             return F.coalesce(F.col(cells.read[name]), c)
-        text = tx.collapse_spaces(c, F.col(_BREAKS))
+        text = tx.collapse_spaces(c, F.col(_ODD) >= 4)
         keep_zeros = "id" in name.lower() or "sku" in name.lower()
         return text if keep_zeros else tx.strip_leading_zeros(text)
 
@@ -88,11 +97,12 @@ def normalise(raw: DataFrame) -> DataFrame:
     return cells.frame.select(*_normalised(cells))
 
 
-def _cell_rules(cells: _Cells, file_name: str) -> list[Column]:
+def _cell_rules(cells: _Cells, file_name: str, kind: T.StructType = FINDING_TYPE) -> list[Column]:
     """Findings about clean cells: unreadable dates and numbers, and amounts too large to be compared."""
     common = {
         "row": F.col(sc.ROW) if sc.ROW in cells.names else None,
         "file_name": F.col(sc.FILE) if sc.FILE in cells.names else file_name,
+        "kind": kind,
     }
     rules = []
     for name, read in cells.read.items():
@@ -146,9 +156,9 @@ def canonical_left(
     return drop_usage_plan(_mapped(kept, kind, options), fixed.USAGE_PLAN_LEFT_COLUMN), rejects
 
 
-def _mapped(normalised: DataFrame, kind: str, options: Options) -> DataFrame:
+def _mapped(normalised: DataFrame, kind: str, options: Options, done: Collection[str] = ()) -> DataFrame:
     """All rows of a feed in the canonical columns of its kind, with their derived values."""
-    rows = sc.normalise_mapped(sc.map_canonical(normalised, kind, options), options)
+    rows = sc.normalise_mapped(sc.map_canonical(normalised, kind, options), options, done)
     if kind == fixed.MICROSOFT:
         return sc.reorder(sc.split_term(rows), fixed.RIGHT_LEADING_COLUMNS)
     rows = rows.withColumn("SkuId", tx.strip_leading_zeros(F.col("SkuId")))
@@ -189,19 +199,20 @@ def in_one_pass(raw: DataFrame, kind: str, options: Options = DEFAULTS, seen: Ob
 
     ``seen`` observes the counts that the whole-feed rules need while the rows pass.
     """
-    cells = _cleaned(raw)
-    noted = cells.frame.select(*_normalised(cells), found_by(_cell_rules(cells, "")).alias(sc.FOUND))
-    parsed, rules = row_rules(noted)
-    noted = parsed.select(
-        *[tx.column(parsed, n) for n in noted.columns if n != sc.FOUND], F.concat(sc.FOUND, found_by(rules)).alias(sc.FOUND))
+    cells = _cleaned(raw, filtered=False)
+    found = found_by(_cell_rules(cells, "", NOTE_TYPE), NOTE_TYPE)
+    noted = cells.frame.select(*_normalised(cells), (F.col(_ODD) == 0).alias(sc.PLAIN), found.alias(sc.FOUND))
     if kind != fixed.MICROSOFT:
         options = _with_old_names(noted, options, kind)
     if seen is not None:
         noted = noted.observe(seen, *blank_counts(noted))
+    parsed, rules = row_rules(noted, kind=NOTE_TYPE)
+    noted = parsed.select(
+        *[tx.column(parsed, n) for n in noted.columns if n != sc.FOUND], F.concat(sc.FOUND, found_by(rules, NOTE_TYPE)).alias(sc.FOUND))
     noted = noted.withColumn(sc.KEYED, sc.has_key(noted, kind, options))
-    rows = _mapped(noted, kind, options)
+    rows = _mapped(noted, kind, options, sc.in_its_form(noted, kind, options))
     plan = fixed.USAGE_PLAN_RIGHT_COLUMN if kind == fixed.MICROSOFT else fixed.USAGE_PLAN_LEFT_COLUMN
-    return rows.withColumn(sc.KEPT, F.col(sc.KEYED) & ~is_usage_plan(rows, plan))
+    return rows.withColumn(sc.KEPT, F.col(sc.KEYED) & ~is_usage_plan(rows, plan)).drop(sc.PLAIN)
 
 
 def import_feed(
@@ -222,17 +233,21 @@ def import_feed(
         except sc.MissingColumns as missing:  # an empty feed is the plainer message
             raise (empty if raw.isEmpty() else missing) from None
     seen = Observation()
-    staged = written(in_one_pass(raw, kind, options, seen), "import")
+    # What a place tells is not written, nor what is blank in every row.
+    whole = in_one_pass(raw.drop(sc.FILE), kind, options, seen)
+    blank = sc.unfilled(raw, kind, _with_old_names(raw, options, kind) if kind != fixed.MICROSOFT else options)
+    staged = written(whole.drop(*blank), "import")
     if not seen.get[ROWS]:
         raise empty
     offsets = block_offsets(staged)
-    shown = [c for c in staged.columns if c not in (PLACE, sc.FOUND, sc.KEYED, sc.KEPT)]
+    shown = [c for c in whole.columns if c not in (PLACE, sc.FOUND, sc.KEYED, sc.KEPT)] + [sc.FILE]
+    staged = with_file_name(staged.withColumns({n: F.lit("") for n in blank}))
     kept = staged.where(sc.KEPT).select(*[tx.column(staged, c) for c in shown], PLACE)
     rejects = staged.where(~F.col(sc.KEYED)).select(*_reject_columns(), sc.FILE, PLACE)
-    found = staged.select(PLACE, F.inline(sc.FOUND)).drop("row")
+    found = staged.select(PLACE, F.col(sc.FILE).alias("file_name"), F.inline(sc.FOUND), F.lit(False).alias("is_summary"))
     found = with_row_numbers(found, offsets, "row").select(*FINDING_TYPE.names)
-    whole = blank_findings_of(spark, raw, seen.get, path.rsplit("/", 1)[-1], options)
-    return Feed(with_row_numbers(kept, offsets), found.unionByName(whole), with_row_numbers(rejects, offsets))
+    rates = blank_findings_of(spark, raw, seen.get, path.rsplit("/", 1)[-1], options)
+    return Feed(with_row_numbers(kept, offsets), found.unionByName(rates), with_row_numbers(rejects, offsets))
 
 
 def import_right(spark: SparkSession, path: str, options: Options = DEFAULTS) -> Feed:

@@ -88,9 +88,17 @@ def scan_places(spark: SparkSession, path: str | Sequence[str], options: Options
         scans.append(scan.select(*[F.coalesce(f"c{i}", F.lit("")).alias(n) for i, n in enumerate(names)], "_file", PLACE))
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
     cells = [c for c in rows.columns if c not in ("_file", PLACE)]
-    # Spark gives names in the form they have in a URL.
-    spelt = F.when(F.contains("_file", F.lit("%")), F.url_decode(F.replace("_file", F.lit("+"), F.lit("%2B")))).otherwise(F.col("_file"))
-    return rows.select(*[(tx.cell(rows, c) if len(scans) > 1 else tx.column(rows, c)).alias(c) for c in cells], spelt.alias("_file"), PLACE)
+    return rows.select(*[(tx.cell(rows, c) if len(scans) > 1 else tx.column(rows, c)).alias(c) for c in cells], _spelt("_file").alias("_file"), PLACE)
+
+
+def _spelt(name: str) -> Column:
+    """A file's name from the form that Spark gives it, which is that of a URL."""
+    return F.when(F.contains(name, F.lit("%")), F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))).otherwise(F.col(name))
+
+
+def with_file_name(df: DataFrame) -> DataFrame:
+    """Rows with the name of the file they were read from, as their place tells it."""
+    return df.withColumn("_file", F.substring_index(f"{PLACE}.path", "/", -1)).withColumn("_file", _spelt("_file"))
 
 
 def scan_csv(spark: SparkSession, path: str | Sequence[str], options: Options = DEFAULTS) -> DataFrame:
