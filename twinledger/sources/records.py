@@ -49,11 +49,15 @@ def has_lone_quote(line: Column) -> Column:
 
 
 def files_of(spark: SparkSession, paths: str | Sequence[str]) -> list[File]:
-    """Every file that has a line: its first one, and whether any line has a lone quote. One pass over the text."""
+    """Every file that has a line: its first one, and whether any line has a lone quote. One pass over the text.
+
+    A set tells of lone quotes, since Spark would sort all lines by file for the first one beside a plain flag.
+    """
     lines = lines_of(spark, paths).withColumn("id", F.monotonically_increasing_id())
     place = F.when(F.trim("value") != "", F.struct("block", "id", "value"))
-    found = lines.groupBy("path").agg(F.min(place).alias("first"), F.bool_or(has_lone_quote(F.col("value"))).alias("broken"))
-    rows = found.select("path", F.col("first.value").alias("header"), "broken").where("header IS NOT NULL").collect()
+    lone = F.collect_set(F.when(has_lone_quote(F.col("value")), F.lit(True)))
+    found = lines.groupBy("path").agg(F.min(place).alias("first"), lone.alias("lone"))
+    rows = found.select("path", F.col("first.value").alias("header"), (F.size("lone") > 0).alias("broken")).where("header IS NOT NULL").collect()
     return sorted(File(*r) for r in rows)
 
 

@@ -9,14 +9,17 @@ from ..functions import numbers as num
 from ..functions import text as tx
 from ..operators.invoice_rules import with_severity
 from ..operators.positional_diff import order_differences
+from ..staging import shuffles_dropped
 
 
 def _now() -> Column:
     return F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
 
 
-def _csv(df: DataFrame, path: str) -> None:
-    df.write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
+def _csv(df: DataFrame, path: str, compression: str | None = None) -> None:
+    """The shuffle files behind a written report go with its end."""
+    with shuffles_dropped(df.sparkSession):
+        df.write.mode("errorifexists").option("header", True).option("escape", '"').csv(path, compression=compression)
 
 
 def findings_report(findings: DataFrame) -> DataFrame:
@@ -58,9 +61,9 @@ def write_key_diagnostics(diagnostics: DataFrame, path: str) -> None:
     _csv(diagnostics, path)
 
 
-def write_result(result: DataFrame, path: str, summary: DataFrame | None = None) -> None:
-    """A result table as CSV, its summary line beside it."""
-    _csv(result, f"{path}/rows")
+def write_result(result: DataFrame, path: str, summary: DataFrame | None = None, compression: str | None = None) -> None:
+    """A result table as CSV, its summary line beside it. ``compression`` (as "gzip") is for its rows: a large one is mostly digits."""
+    _csv(result, f"{path}/rows", compression)
     if summary is not None:
         _csv(summary, f"{path}/summary")
 
