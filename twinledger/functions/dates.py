@@ -46,8 +46,8 @@ def date_text(c: Column, stripped: bool = False) -> Column:
     """
     us = F.concat(F.right(c, F.lit(4)), F.lit("-"), F.translate(F.substring_index(c, "/", 2), "/", "-"))
     return (
-        F.when(c.rlike(ISO_DAY), F.when(c.try_cast("date").isNotNull(), F.left(c, F.lit(10))))
-        .when(c.rlike(US_DAY), us.try_cast("date").cast("string"))
+        F.when((F.length(c) == 10) & c.rlike(ISO_DAY), F.when(c.try_cast("date").isNotNull(), c))
+        .when(F.contains(c, F.lit("/")) & c.rlike(US_DAY), us.try_cast("date").cast("string"))
         .otherwise(parse_timestamp(c, stripped).cast("date").cast("string"))
     )
 

@@ -30,11 +30,12 @@ def with_row_numbers(df: DataFrame, offsets: DataFrame, row: str = "_row", place
     """Replaces a row's place by its 1-based number in its file.
 
     Only rows that show the number meet the offsets: where no later step reads it, the optimiser
-    drops this outer join, as it can neither add nor remove rows.
+    drops this outer join, as it can neither add nor remove rows. The offsets go to the rows, being one
+    row per block: by Spark's estimate of their size all rows of a large table would be shuffled and sorted for them.
     """
     at = F.col(place)
     number = F.col("_before") + at["nth"] - F.col("_first") + 1
-    joined = df.join(offsets, (at["path"] == F.col("_path")) & (at["block"] == F.col("_block")), "left")
+    joined = df.join(F.broadcast(offsets), (at["path"] == F.col("_path")) & (at["block"] == F.col("_block")), "left")
     return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != place], number.alias(row))
 
 

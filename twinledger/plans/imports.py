@@ -17,7 +17,7 @@ from ..functions import text as tx
 from ..operators import schema as sc
 from ..operators.data_quality import ROWS, blank_counts, blank_findings_of, quality_findings, row_rules
 from ..operators.filters import drop_usage_plan, is_usage_plan
-from ..operators.findings import FINDING_TYPE, NOTE_TYPE, collect_findings, found_by, rule_finding
+from ..operators.findings import FINDING_TYPE, NOTE_TYPE, collect_findings, found_by, of_notes, rule_finding
 from ..operators.ordinals import PLACE, block_offsets, with_row_numbers
 from ..options import DEFAULTS, Options
 from ..sources.feeds import detect_source, scan_places, with_file_name
@@ -244,8 +244,8 @@ def import_feed(
     staged = with_file_name(staged.withColumns({n: F.lit("") for n in blank}))
     kept = staged.where(sc.KEPT).select(*[tx.column(staged, c) for c in shown], PLACE)
     rejects = staged.where(~F.col(sc.KEYED)).select(*_reject_columns(), sc.FILE, PLACE)
-    found = staged.select(PLACE, F.col(sc.FILE).alias("file_name"), F.inline(sc.FOUND), F.lit(False).alias("is_summary"))
-    found = with_row_numbers(found, offsets, "row").select(*FINDING_TYPE.names)
+    notes = with_row_numbers(staged.select(PLACE, sc.FILE, F.inline(sc.FOUND)), offsets)
+    found = of_notes(notes, F.col(sc.ROW), F.col(sc.FILE))
     rates = blank_findings_of(spark, raw, seen.get, path.rsplit("/", 1)[-1], options)
     return Feed(with_row_numbers(kept, offsets), found.unionByName(rates), with_row_numbers(rejects, offsets))
 
